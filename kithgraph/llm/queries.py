@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import mixing
+from kithgraph.llm import mixing, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op9_simhash_groups": simhash.query,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE,
