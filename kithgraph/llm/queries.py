@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import mixing, simhash, sstable
+from kithgraph.llm import mixing, packing, simhash, sstable
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op4_sstable_tokens": sstable.query,
+    "op5_pack_sequences": packing.query,
     "op9_simhash_groups": simhash.query,
 }
 ORACLE_SQL = {
