@@ -1,12 +1,13 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import merkle, mixing, packing, simhash, sstable
+from kithgraph.llm import merkle, mixing, packing, secret_scan, simhash, sstable
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op4_sstable_tokens": sstable.query,
     "op5_pack_sequences": packing.query,
     "op7_merkle_fingerprints": merkle.query,
+    "op8_secret_spans": secret_scan.query,
     "op9_simhash_groups": simhash.query,
 }
 ORACLE_SQL = {

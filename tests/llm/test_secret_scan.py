@@ -1,0 +1,53 @@
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kithgraph.llm import secret_scan as S
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def contract(text):
+    found = [(0, *m.span()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
+    found += [(1, *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    found += [(2, *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(found, key=lambda s: (s[1], s[0]))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "PASSWD", "token", "Token", "api", "_", "key", "ſecret", "secret", "=", ":", " ", '"', "'", "AKIA", "A1B2C3D4E5F6G7", "deadbeef", "abc", "0123456789ab", "é", "\n", "zz"]), max_size=25).map("".join))
+def test_base_spans_follow_the_contract(text):
+    assert S.base_spans(text) == contract(text)
+
+
+def test_words_fit_no_encoding():
+    assert S.infer("keitlichenlichkeitbe") is S.infer("Keitlichenlichkeitbe") is S.infer("KEITLICHENLICHKEITBE") is None
+    assert S.infer("0123abcd") == 0 and S.infer("AZ34QD") == 1 and S.infer("zq09") == 2 and S.infer("aB3+/") == 3
+
+
+def test_battery_tells_random_from_regular():
+    r = random.Random(1)
+    letters = S.ALPHABETS[3][1][:64]
+    p = [S.battery("".join(r.choice(letters) for _ in range(48)), 3) for _ in range(400)]
+    assert 0.2 < sum(x > 0.5 for x in p) / 400 < 0.8 and sum(x < 0.001 for x in p) < 12
+    assert S.battery("ab12" * 20, 2) < 1e-6 and S.battery("a1" + "a" * 40, 2) < 1e-6
+
+
+def test_spans_and_redaction(spark):
+    r = random.Random(2)
+    key = lambda: "".join(r.choice(S.ALPHABETS[3][1][:64]) for _ in range(40))
+    secret = [key() for _ in range(60)]
+    plain = ["ab12-" * 12 + str(i) for i in range(60)]
+    rows = [(i, f"é {a} und {b} end", 0) for i, (a, b) in enumerate(zip(secret, plain, strict=True))]
+    rows += [(100, None, 0), (101, "", 0), (102, 'x token = "0123456789abcdef0123" y', 9), (102, 'x token = "0123456789abcdef0123" y', 9), (None, "word " * 50_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    found = S.spans(S.scan(docs).cache()).collect()
+    random_spans = {(x.doc_id, s.start, s.end) for x in found for s in x.spans if s.kind == 3}
+    assert len(random_spans & {(i, 2, 2 + len(a)) for i, a in enumerate(secret)}) >= 57
+    assert not {x for x in random_spans if x[1] != 2}
+    clean = {(x.doc_id, x.text, x.n_chars) for x in S.redacted(docs).collect()}
+    assert (102, "x [SECRET]\" y", 13) in clean and (100, None, 0) in clean and (None, "word " * 50_000, 1) in clean
+    assert S.redacted(docs.limit(0)).count() == 0 and S.redacted(docs).count() == len(rows)
+    assert S.spans(S.scan(docs.limit(0))).count() == 0
