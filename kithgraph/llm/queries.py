@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import merkle, mixing, packing, secret_scan, simhash, sstable
+from kithgraph.llm import merkle, mixing, packing, quality, secret_scan, simhash, sstable
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_merkle_fingerprints": merkle.query,
     "op8_secret_spans": secret_scan.query,
     "op9_simhash_groups": simhash.query,
+    "op10_quality_scores": quality.query,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE,
