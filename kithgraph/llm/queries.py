@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import merkle, mixing, packing, quality, secret_scan, simhash, sstable
+from kithgraph.llm import merkle, mixing, packing, quality, secret_scan, simhash, sstable, topk
 
 QUERIES = {
+    "op1_kd_topk": topk.query,
     "op2_mix_sources": mixing.query,
     "op4_sstable_tokens": sstable.query,
     "op5_pack_sequences": packing.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_quality_scores": quality.query,
 }
 ORACLE_SQL = {
+    "op1_kd_topk": topk.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op7_merkle_fingerprints": merkle.ORACLE,
 }
