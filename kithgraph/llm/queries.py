@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import merkle, mixing, packing, quality, secret_scan, simhash, sstable, topk
+from kithgraph.llm import lm, merkle, mixing, packing, quality, secret_scan, simhash, sstable, topk
 
 QUERIES = {
     "op1_kd_topk": topk.query,
     "op2_mix_sources": mixing.query,
+    "op3_gated_lm_scores": lm.query,
     "op4_sstable_tokens": sstable.query,
     "op5_pack_sequences": packing.query,
     "op7_merkle_fingerprints": merkle.query,
