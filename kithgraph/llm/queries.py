@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, each over its whole table with production parameters."""
 
-from kithgraph.llm import lm, merkle, mixing, packing, quality, secret_scan, simhash, sstable, topk
+from kithgraph.llm import lm, merkle, mixing, packing, quality, revisits, secret_scan, simhash, sstable, topk
 
 QUERIES = {
     "op1_kd_topk": topk.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_gated_lm_scores": lm.query,
     "op4_sstable_tokens": sstable.query,
     "op5_pack_sequences": packing.query,
+    "op6_warc_revisits": revisits.query,
     "op7_merkle_fingerprints": merkle.query,
     "op8_secret_spans": secret_scan.query,
     "op9_simhash_groups": simhash.query,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_kd_topk": topk.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
+    "op6_warc_revisits": revisits.ORACLE,
     "op7_merkle_fingerprints": merkle.ORACLE,
 }
