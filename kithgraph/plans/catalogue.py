@@ -1,4 +1,433 @@
 """The registered queries: name -> callable(spark, directory), and name -> DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from kithgraph.functions import scalars
+from kithgraph.operators import expand, graph, history, profile, timeline, tree
+from kithgraph.plans import sql
+from kithgraph.sources import standins
+from kithgraph.sources.standins import table
+from kithgraph.storage import written
+
+ROOT = sql.ROOT
+TREE_ROOT = 1
+RING_1, ALL_RINGS = {1: True}, {1: True, 2: True, 3: True}
+SENTIMENTS = {"positive", "neutral", "negative"}
+NOW_MS = 1_706_745_600_000  # 2024-02-01
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(select: str | None, *stages: dict[str, str]):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(run):
+        QUERIES[run.__name__] = run
+        if select:
+            ORACLE_SQL[run.__name__] = sql.query(select, *stages)
+        return run
+
+    return register
+
+
+def _vouch_net(spark: SparkSession, d: str) -> DataFrame:
+    return written(expand.ego_network(standins.vouches(spark, d), ROOT, expand.VOUCHES), "vouch-net")
+
+
+def _review_net(spark: SparkSession, d: str) -> DataFrame:
+    return written(expand.ego_network(standins.reviews(spark, d), ROOT, expand.REVIEWS), "review-net")
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return tree.rebuild(standins.invitation_edges(spark, d), TREE_ROOT)
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.points(standins.weekly_points(spark, d), standins.week_calendar(spark))
+
+
+# Profiles and scalars
+
+
+@query("SELECT profile_id, display_name, username, score FROM profiles WHERE username = 'customer000000042'")
+def profile_point_lookup(spark, d):
+    return profile.lookup(standins.profiles(spark, d).withColumn("userkeys", F.array().cast("array<string>")), " customer000000042 ").drop("userkeys")
+
+
+_IDENTIFIERS = "CASE WHEN profile_id % 3 = 0 THEN '0x' || substring(md5(CAST(profile_id AS VARCHAR)) || md5('x'), 1, 40) WHEN profile_id % 3 = 1 THEN '0x' || md5(CAST(profile_id AS VARCHAR)) ELSE coalesce(username, '') END"
+
+
+@query(f"SELECT profile_id, CASE WHEN regexp_full_match({_IDENTIFIERS}, '0x[a-fA-F0-9]{{40}}') THEN 'address' ELSE 'handle' END AS route FROM profiles")
+def address_or_handle(spark, d):
+    digest = F.md5(F.col("profile_id").cast("string").cast("binary"))
+    text = F.when(F.col("profile_id") % 3 == 0, F.concat(F.lit("0x"), F.substring(F.concat(digest, F.md5(F.lit("x").cast("binary"))), 1, 40))).when(F.col("profile_id") % 3 == 1, F.concat(F.lit("0x"), digest)).otherwise(F.coalesce("username", F.lit("")))
+    return standins.profiles(spark, d).select("profile_id", profile.route(text).alias("route"))
+
+
+@query("""SELECT p.profile_id, coalesce(positive, 0) AS positive, coalesce(neutral, 0) AS neutral, coalesce(negative, 0) AS negative, coalesce(g.n, 0) AS given, coalesce(g.cents, 0) AS given_cents, coalesce(g.n, 0) > 0 AS shows_networks
+  FROM profiles p LEFT JOIN (SELECT subject, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative FROM review GROUP BY subject) r ON r.subject = p.profile_id
+  LEFT JOIN (SELECT author, count(*) AS n, CAST(coalesce(sum(CAST(CAST(balance AS HUGEINT) // 10000000000000000 AS BIGINT)), 0) AS BIGINT) AS cents FROM vouch GROUP BY author) g ON g.author = p.profile_id""")
+def stats_card(spark, d):
+    count = lambda s: F.count(F.when(F.col("sentiment") == s, 1)).alias(s)
+    received = standins.reviews(spark, d).groupBy(F.col("subject").alias("profile_id")).agg(*map(count, ("positive", "neutral", "negative")))
+    cents = F.expr("cast(cast(balance as decimal(38,0)) div 10000000000000000 as bigint)")
+    given = standins.vouches(spark, d).groupBy(F.col("author").alias("profile_id")).agg(F.count("*").alias("given"), F.sum(cents).alias("given_cents"))
+    rows = standins.profiles(spark, d).join(received, "profile_id", "left").join(given, "profile_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("positive", "neutral", "negative", "given", "given_cents")}
+    return rows.select("profile_id", *[v.alias(k) for k, v in zero.items()], (zero["given"] > 0).alias("shows_networks"))
+
+
+@query("SELECT profile_id, coalesce(nullif(username, ''), nullif(display_name, ''), CAST(profile_id AS VARCHAR)) AS label, coalesce(username, CAST(profile_id AS VARCHAR)) AS target, CASE WHEN score > 0 THEN 'Score: ' || score ELSE '' END AS score_label FROM profiles")
+def label_fallback(spark, d):
+    number = F.col("profile_id").cast("string")
+    return standins.profiles(spark, d).select("profile_id", scalars.or_text(F.col("username"), F.col("display_name"), number).alias("label"), scalars.or_text(F.col("username"), number).alias("target"), scalars.score_label(F.col("score")).alias("score_label"))
+
+
+@query("SELECT profile_id, score, format('{:,}', score) AS shown FROM profiles")
+def thousands(spark, d):
+    return standins.profiles(spark, d).select("profile_id", "score", scalars.thousands(F.col("score")).alias("shown"))
+
+
+@query(None)
+def to_fixed(spark, d):
+    amount = F.col("score") / 8
+    return standins.profiles(spark, d).select("profile_id", *[scalars.to_fixed(amount, k).alias(f"fixed_{k}") for k in (1, 2, 4)])
+
+
+@query("""SELECT r2, r3, ring, CASE WHEN ring = 2 THEN NOT r2 WHEN ring = 3 AND NOT r2 THEN true ELSE r2 END AS next_2, CASE WHEN ring = 3 THEN NOT r3 ELSE r3 END AS next_3
+  FROM (VALUES (false), (true)) a(r2), (VALUES (false), (true)) b(r3), (VALUES (1), (2), (3)) c(ring)""")
+def toggle_ring(spark, d):
+    cases = [(r2, r3, ring, *[scalars.toggle_ring({1: True, 2: r2, 3: r3}, ring)[k] for k in (2, 3)]) for r2 in (False, True) for r3 in (False, True) for ring in (1, 2, 3)]
+    return spark.createDataFrame(cases, "r2 boolean, r3 boolean, ring int, next_2 boolean, next_3 boolean")
+
+
+# Expansion
+
+
+@query("SELECT author, subject, balance, ord FROM funded_vouch WHERE funded")
+def funded_vouches(spark, d):
+    return standins.vouches(spark, d).where(scalars.funded(F.col("balance")))
+
+
+@query("SELECT author, subject, ord FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY ord) AS n FROM vouch) WHERE n <= 5")
+def vouches_given_capped(spark, d):
+    return expand.first_n(standins.vouches(spark, d), "author", 5).select("author", "subject", "ord")
+
+
+@query("SELECT author, subject, ord FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ord) AS n FROM vouch) WHERE n <= 5")
+def vouches_received_capped(spark, d):
+    return expand.first_n(standins.vouches(spark, d), "subject", 5).select("author", "subject", "ord")
+
+
+@query("SELECT author, subject, ord, branch FROM v_l1", sql.VOUCH)
+def ego_l1(spark, d):
+    return expand.level1(standins.vouches(spark, d), ROOT, expand.VOUCHES).select("author", "subject", "ord", "branch")
+
+
+@query("SELECT id, place FROM v_ids", sql.VOUCH)
+def ego_l1_ids(spark, d):
+    return expand.level1_ids(standins.vouches(spark, d), ROOT, expand.VOUCHES)
+
+
+@query("SELECT author, subject, ord, place FROM r_inter", sql.REVIEW)
+def ego_l1_inter(spark, d):
+    edges = standins.reviews(spark, d)
+    return expand.level1_inter(edges, expand.level1_ids(edges, ROOT, expand.REVIEWS), expand.REVIEWS).select("author", "subject", "ord", "place")
+
+
+@query("SELECT author, subject, ord, place FROM v_l2", sql.VOUCH)
+def ego_l2(spark, d):
+    edges = standins.vouches(spark, d)
+    return expand.level2(edges, ROOT, expand.level1_ids(edges, ROOT, expand.VOUCHES), expand.VOUCHES).select("author", "subject", "ord", "place")
+
+
+@query("SELECT author, subject, ord, place FROM v_inter2", sql.VOUCH)
+def ego_l2_inter(spark, d):
+    edges = standins.vouches(spark, d)
+    ids = expand.level1_ids(edges, ROOT, expand.VOUCHES)
+    strangers = expand.level2_ids(expand.level2(edges, ROOT, ids, expand.VOUCHES), ROOT, ids, expand.VOUCHES)
+    return expand.level2_inter(edges, strangers, expand.VOUCHES).select("author", "subject", "ord", "place")
+
+
+@query("SELECT author, subject, attr AS balance, level, seq FROM v_net", sql.VOUCH)
+def ego_full_vouch(spark, d):
+    return _vouch_net(spark, d).select("author", "subject", "balance", "level", "seq")
+
+
+@query("SELECT author, subject, attr AS sentiment, level, seq FROM r_net", sql.REVIEW)
+def ego_full_review(spark, d):
+    return _review_net(spark, d).select("author", "subject", "sentiment", "level", "seq")
+
+
+# Graph
+
+
+@query("""SELECT level, count(*) AS n, (SELECT count(*) FROM v_l1) AS total, (SELECT count(DISTINCT (least(a.author, a.subject), greatest(a.author, a.subject))) FROM v_l1 a JOIN v_l1 b ON b.author = a.subject AND b.subject = a.author) AS reciprocal,
+  (SELECT count(*) FROM v_l1) - 2 * (SELECT count(DISTINCT (least(a.author, a.subject), greatest(a.author, a.subject))) FROM v_l1 a JOIN v_l1 b ON b.author = a.subject AND b.subject = a.author) AS one_way FROM v_l1 GROUP BY level""", sql.VOUCH)
+def vouch_level1_reciprocity(spark, d):
+    rows = expand.level1(standins.vouches(spark, d), ROOT, expand.VOUCHES)
+    return graph.level_counts(rows).crossJoin(F.broadcast(graph.reciprocity_summary(rows)))  # one row
+
+
+@query("SELECT id, level FROM v_min", sql.VOUCH)
+def min_levels(spark, d):
+    return graph.min_levels(_vouch_net(spark, d), ROOT)
+
+
+@query("SELECT n.id, level, kind, place, CASE WHEN place = 0 THEN NULL ELSE display_name END AS name, coalesce(score, 0) AS score FROM v_node n LEFT JOIN profiles p ON p.profile_id = n.id", sql.VOUCH)
+def graph_nodes(spark, d):
+    people = standins.profiles(spark, d).withColumnRenamed("profile_id", "id")
+    rows = graph.nodes(_vouch_net(spark, d), ROOT).join(people, "id", "left")
+    return rows.select("id", "level", "kind", "place", F.when(F.col("place") > 0, F.col("display_name")).alias("name"), F.coalesce("score", F.lit(0)).alias("score"))
+
+
+@query("SELECT id, level FROM v_shown", sql.VOUCH)
+def ring_filtered_nodes(spark, d):
+    return graph.visible(graph.nodes(_vouch_net(spark, d), ROOT), RING_1).select("id", "level")
+
+
+def _vouch_links(spark, d, rings=None):
+    net = _vouch_net(spark, d)
+    shown = graph.visible(graph.nodes(net, ROOT), rings or RING_1)
+    return graph.with_reciprocity(graph.links(net, shown), net)
+
+
+@query("SELECT source, target, seq, level, CAST(attr AS DOUBLE) / 1e18 AS amount FROM v_link", sql.VOUCH)
+def graph_links(spark, d):
+    return _vouch_links(spark, d).select("source", "target", "seq", "level", scalars.ether(scalars.parse_number(F.col("balance"))).alias("amount"))
+
+
+@query("SELECT source, target, seq, is_reciprocal FROM v_link", sql.VOUCH)
+def reciprocal_links(spark, d):
+    return _vouch_links(spark, d).select("source", "target", "seq", "is_reciprocal")
+
+
+@query("""SELECT * FROM (WITH p AS (SELECT count(DISTINCT (least(a.author, a.subject), greatest(a.author, a.subject))) AS reciprocal FROM vouch a JOIN vouch b ON b.author = a.subject AND b.subject = a.author)
+  SELECT (SELECT count(*) FROM vouch) AS total, reciprocal, (SELECT count(*) FROM vouch) - 2 * reciprocal AS one_way FROM p)""")
+def reciprocal_summary(spark, d):
+    return graph.reciprocity_summary(standins.vouches(spark, d))
+
+
+@query("SELECT level, count(*) AS n FROM v_net GROUP BY level", sql.VOUCH)
+def level_counts(spark, d):
+    return graph.level_counts(_vouch_net(spark, d))
+
+
+@query("SELECT s AS sentiment, count(attr) AS n FROM (VALUES ('positive'), ('neutral'), ('negative')) t(s) LEFT JOIN r_net ON attr = s GROUP BY s", sql.REVIEW)
+def sentiment_counts(spark, d):
+    return graph.sentiment_counts(_review_net(spark, d))
+
+
+@query("SELECT author, subject, sentiment, ord FROM review WHERE sentiment IN ('positive', 'negative')")
+def sentiment_filter(spark, d):
+    return standins.reviews(spark, d).where(F.col("sentiment").isin("positive", "negative"))
+
+
+@query("SELECT author, subject, arg_max(sentiment, ord) AS sentiment FROM review GROUP BY ALL")
+def edge_last_sentiment(spark, d):
+    return graph.last_sentiment(standins.reviews(spark, d))
+
+
+_ALL = sql.review_view("0, 1, 2, 3", "'positive', 'neutral', 'negative'", False)
+_HIDE = sql.review_view("0, 1, 2, 3", "'positive', 'negative'", True)
+
+
+def _all_reviews(spark, d, **settings):
+    return graph.review_view(_review_net(spark, d), ROOT, ALL_RINGS, settings.pop("sentiments", SENTIMENTS), **settings)
+
+
+@query("SELECT id, level FROM x_seen", sql.REVIEW, _ALL)
+def reachable_from_root(spark, d):
+    return _all_reviews(spark, d)[0].select("id", "level")
+
+
+@query(f"""SELECT DISTINCT ON (id) id, hops FROM (WITH RECURSIVE w AS (SELECT {ROOT}::BIGINT AS id, 0 AS hops UNION SELECT subject, hops + 1 FROM w JOIN (SELECT DISTINCT author, subject FROM vouch) ON author = id WHERE hops < 4) SELECT id, hops FROM w) WHERE hops <= 4 ORDER BY id, hops""")
+def vouch_reach_4(spark, d):
+    steps = standins.vouches(spark, d).select(F.col("author").alias("source"), F.col("subject").alias("target")).distinct()
+    seen = spark.range(1).select(F.lit(ROOT).cast("long").alias("id"), F.lit(0).alias("hops"))
+    for hops in range(1, 5):
+        after = steps.join(seen.where(F.col("hops") == hops - 1).select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        seen = written(seen.union(after.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hops))), "reach")
+    return seen
+
+
+@query("SELECT id, count(*) AS degree FROM (SELECT unnest([author, subject]) AS id FROM review) GROUP BY id")
+def degree_counts(spark, d):
+    return graph.degrees(standins.reviews(spark, d).select(F.col("author").alias("source"), F.col("subject").alias("target")))
+
+
+@query("SELECT id, level FROM x_shown", sql.REVIEW, _HIDE)
+def hide_low_degree(spark, d):
+    return _all_reviews(spark, d, sentiments={"positive", "negative"}, hide_isolated=True)[0].select("id", "level")
+
+
+@query("SELECT a, b, c FROM x_tri", sql.REVIEW, _ALL)
+def review_triangles(spark, d):
+    shown, rows = _all_reviews(spark, d)
+    return graph.triangles(rows, shown)
+
+
+_WHOLE = """WITH e AS (SELECT author AS s, subject AS t, arg_max(sentiment, ord) AS sentiment FROM review GROUP BY ALL),
+  p AS (SELECT s, t FROM e WHERE sentiment = 'positive' AND NOT EXISTS (SELECT 1 FROM e r WHERE r.s = e.t AND r.t = e.s))
+  SELECT x.s AS a, x.t AS b, y.t AS c FROM p x JOIN p y ON y.s = x.t JOIN p z ON z.s = y.t AND z.t = x.s WHERE x.s < x.t AND x.s < y.t"""
+
+
+@query(f"SELECT * FROM ({_WHOLE})")
+def all_triangles(spark, d):
+    """Every cycle of the whole review table, from its smallest id."""
+    rows = standins.reviews(spark, d).select(F.col("author").alias("source"), F.col("subject").alias("target"), "sentiment", F.col("ord").alias("seq"))
+    ids = rows.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("place", F.col("id"))
+    return graph.triangles(rows, ids)
+
+
+@query("SELECT source, target, seq, EXISTS (SELECT 1 FROM x_tri WHERE (a, b) = (source, target) OR (b, c) = (source, target) OR (c, a) = (source, target)) AS in_triangle FROM x_link", sql.REVIEW, _ALL)
+def triangle_links(spark, d):
+    shown, rows = _all_reviews(spark, d)
+    return graph.mark_triangles(rows, graph.triangles(rows, shown)).select("source", "target", "seq", "in_triangle")
+
+
+@query(f"SELECT p.display_name AS a, q.display_name AS b, r.display_name AS c FROM ({_WHOLE}) t JOIN profiles p ON p.profile_id = t.a JOIN profiles q ON q.profile_id = t.b JOIN profiles r ON r.profile_id = t.c")
+def triangle_names(spark, d):
+    rows, people = all_triangles(spark, d), standins.profiles(spark, d)
+    for side in ("a", "b", "c"):
+        rows = rows.withColumnRenamed(side, "profile_id").join(people.select("profile_id", F.col("display_name").alias(side)), "profile_id").drop("profile_id")
+    return rows.select("a", "b", "c")
+
+
+@query("SELECT source, target, seq, EXISTS (SELECT 1 FROM x_link y WHERE y.source = x.target AND y.target = x.source) AS both_ways FROM x_link x", sql.REVIEW, _ALL)
+def bidirectional_links(spark, d):
+    rows = _all_reviews(spark, d)[1]
+    return graph.with_reciprocity(rows, rows.select(F.col("source").alias("author"), F.col("target").alias("subject")), out="both_ways").select("source", "target", "seq", "both_ways")
+
+
+@query("SELECT author AS source, list_sort(list(DISTINCT subject)) AS targets FROM v_net GROUP BY author", sql.VOUCH)
+def adjacency_sets(spark, d):
+    return graph.adjacency(_vouch_net(spark, d).select(F.col("author").alias("source"), F.col("subject").alias("target")))
+
+
+# Tree
+
+
+@query("SELECT sender, invitee, level FROM tree", sql.TREE)
+def invite_tree(spark, d):
+    return _tree(spark, d).select("sender", "invitee", "level")
+
+
+@query("SELECT id, level, place FROM t_node", sql.TREE)
+def invite_levels(spark, d):
+    return tree.levels(tree.first_invitations(_tree(spark, d)), TREE_ROOT)
+
+
+@query("SELECT id, level, place, CASE WHEN p.profile_id IS NULL OR id % 7 = 0 THEN 'User ' || id ELSE display_name END AS name, CASE WHEN id % 7 <> 0 THEN username END AS username, CASE WHEN id % 7 = 0 THEN 0 ELSE coalesce(score, 0) END AS score FROM t_node LEFT JOIN profiles p ON p.profile_id = id", sql.TREE)
+def sender_info(spark, d):
+    people = standins.profiles(spark, d).where("profile_id % 7 <> 0")
+    return tree.with_sender_info(tree.levels(tree.first_invitations(_tree(spark, d)), TREE_ROOT), people)
+
+
+@query("SELECT source, target FROM (SELECT sender AS source, invitee AS target FROM t200) WHERE source IN (SELECT id FROM t_node WHERE level <= 2) AND target IN (SELECT id FROM t_node WHERE level <= 2)", sql.TREE)
+def invite_links(spark, d):
+    rows = written(tree.first_invitations(_tree(spark, d)), "invitations")
+    shown = graph.visible(tree.levels(rows, TREE_ROOT), {1: True, 2: True})
+    edges = rows.select(F.col("sender").alias("author"), F.col("invitee").alias("subject"), "level", "ord")
+    return graph.links(edges, shown).select("source", "target")
+
+
+# Timeline
+
+
+@query("SELECT * FROM point")
+def xp_points(spark, d):
+    return _points(spark, d)
+
+
+@query("SELECT user_key, sum(weekly) AS total FROM weekly GROUP BY user_key")
+def xp_season_total(spark, d):
+    return timeline.season_total(standins.weekly_points(spark, d))
+
+
+@query("SELECT user_key, arg_min(time, (abs(time - 1705300000), time)) AS time, arg_min(value, (abs(time - 1705300000), time)) AS value, arg_min(weekly, (abs(time - 1705300000), time)) AS weekly FROM point GROUP BY user_key")
+def xp_nearest(spark, d):
+    return timeline.nearest(_points(spark, d), F.lit(1_705_300_000))
+
+
+@query("SELECT '2024-01-01' AS start_date")
+def xp_first_start(spark, d):
+    return timeline.season_start(standins.week_calendar(spark))
+
+
+# History and cache
+
+
+def _searches(spark, d):
+    text = F.when(F.col("event_id") % 2 == 1, F.upper("event_type")).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select(text.alias("query"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_id").alias("ord"))
+
+
+@query("""SELECT query, timestamp, ord FROM (SELECT CASE WHEN event_id % 2 = 1 THEN upper(event_type) ELSE event_type END AS query, epoch_ms(ts) AS timestamp, event_id AS ord,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY timestamp DESC, ord DESC LIMIT 10""")
+def recent_searches(spark, d):
+    return history.recent_searches(_searches(spark, d))
+
+
+def _cache(spark, d):
+    """Entries of the cache, from events: a key, a version and an age each."""
+    return table(spark, d, "events").select(
+        F.concat(F.when(F.col("event_id") % 10 == 0, "xp-").otherwise("cache-"), F.col("event_type"), F.lit("-"), F.col("event_id")).alias("key"),
+        F.when(F.col("event_id") % 11 != 0, F.col("props")).alias("data"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.when(F.col("event_id") % 13 == 0, "0.9").otherwise("1.0").alias("version"),
+    )
+
+
+_CACHE = {"entries": "SELECT CASE WHEN event_id % 10 = 0 THEN 'xp-' ELSE 'cache-' END || event_type || '-' || event_id AS key, CASE WHEN event_id % 11 <> 0 THEN props END AS data, epoch_ms(ts) AS timestamp, CASE WHEN event_id % 13 = 0 THEN '0.9' ELSE '1.0' END AS version FROM events"}
+
+
+@query(f"SELECT key, version = '1.0' AND {NOW_MS} - timestamp <= 43200000 AS hit FROM entries", _CACHE)
+def cache_freshness(spark, d):
+    return _cache(spark, d).select("key", history.fresh(F.lit(NOW_MS), F.lit(history.OTHER_TTL)).alias("hit"))
+
+
+@query(f"SELECT key FROM entries WHERE NOT starts_with(key, 'cache-') OR (timestamp >= {NOW_MS} - 604800000 AND data IS NOT NULL)", _CACHE)
+def cache_eviction(spark, d):
+    return history.retained(_cache(spark, d), F.lit(NOW_MS)).select("key")
+
+
+# Encodings of the drawing
+
+
+@query("""SELECT source, target, seq, CASE WHEN is_reciprocal THEN w * 1.5::DOUBLE ELSE w END AS width FROM (SELECT *, greatest(1.0::DOUBLE,
+  CASE WHEN coalesce(CAST(attr AS DOUBLE) / 1e18, 0) <> 0 THEN greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1.5::DOUBLE * log10(CAST(attr AS DOUBLE) / 1e18 + 1))) ELSE 2.0::DOUBLE END - 0.3::DOUBLE * level) AS w FROM v_link)""", sql.VOUCH)
+def link_width(spark, d):
+    amount = scalars.ether(scalars.parse_number(F.col("balance")))
+    return _vouch_links(spark, d).select("source", "target", "seq", scalars.link_width(amount, F.col("level"), F.col("is_reciprocal")).alias("width"))
+
+
+@query("SELECT id, CASE WHEN place = 0 THEN 35 ELSE greatest(18, 25 - 2 * level) END AS radius, CASE WHEN place = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE - 0.1::DOUBLE * level END AS opacity FROM v_node", sql.VOUCH)
+def node_radius(spark, d):
+    root = F.col("place") == 0
+    return graph.nodes(_vouch_net(spark, d), ROOT).select("id", scalars.node_radius(root, F.col("level")).alias("radius"), F.when(root, F.lit(1.0)).otherwise(F.lit(0.9) - F.lit(0.1) * F.col("level")).alias("opacity"))
+
+
+@query("""SELECT id, CASE WHEN place = 0 THEN -1500.0::DOUBLE ELSE -800.0::DOUBLE / (level + 1) END AS charge, CASE WHEN place = 0 THEN 90 ELSE greatest(60, 70 - 3 * level) END AS collision, 150 + 250 * level AS ring FROM v_node""", sql.VOUCH)
+def force_params(spark, d):
+    root, level = F.col("place") == 0, F.col("level")
+    return graph.nodes(_vouch_net(spark, d), ROOT).select("id", F.when(root, F.lit(-1500.0)).otherwise(F.lit(-800.0) / (level + 1)).alias("charge"), F.when(root, 90).otherwise(F.greatest(F.lit(60), 70 - 3 * level)).alias("collision"), (150 + 250 * level).alias("ring"))
+
+
+@query("SELECT level, sentiment, count(*) AS n FROM (SELECT level, attr AS sentiment FROM r_net) GROUP BY GROUPING SETS ((level), (sentiment), (level, sentiment))", sql.REVIEW)
+def legend_grid(spark, d):
+    """An extension: the legends by level, by sentiment and by both, in one pass."""
+    return _review_net(spark, d).groupingSets([[F.col("level")], [F.col("sentiment")], [F.col("level"), F.col("sentiment")]], "level", "sentiment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT author AS root, count(*) AS given, count(*) FILTER (rn <= 50) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY ord) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY ord) AS n FROM funded_vouch) WHERE n <= 100 AND funded) GROUP BY author")
+def level1_of_everyone(spark, d):
+    """An extension: the direct given edges of every profile at once."""
+    rows = expand.first_n(standins.vouches(spark, d), "author", expand.VOUCHES.source_cap).where(expand.VOUCHES.keep())
+    place = F.row_number().over(W.partitionBy("author").orderBy("ord"))
+    return rows.withColumn("rn", place).groupBy(F.col("author").alias("root")).agg(F.count("*").alias("given"), F.count(F.when(F.col("rn") <= 50, 1)).alias("kept"))
