@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import table
+from kithgraph.llm.common import table, written
 
 WORDS = 8
 SECTION = 16
@@ -85,7 +85,7 @@ def with_next_text(docs: DataFrame, out: str = "next_text") -> DataFrame:
         inside = F.floor((F.col("doc_id") - F.element_at(low, at)) / F.element_at(width, at) * F.lit(parts))
         bucket = at.cast("long") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inside))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket).cast("long"))
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    tops = written(rows.groupBy("bucket").agg(F.max("doc_id").alias("top")), "merkle-tops")  # of known size, so Spark may send it to the texts
     heads = rows.join(tops.withColumnRenamed("bucket", "_tb"), (F.col("bucket") == F.col("_tb")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.max("text").alias("head"))
     down = W.orderBy(F.desc("bucket"))  # a row for each bucket
     after = tops.select(F.col("bucket").alias("_b"), F.coalesce(F.lead("bucket").over(down), F.first("bucket").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_next"))
