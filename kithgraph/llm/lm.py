@@ -1,7 +1,7 @@
 """Language-model scoring by a gated recurrent network in numpy with a class-factored output.
 
 Counts. Every training token (ASCII-lower-cased words, and an end after each document) is counted in
-Spark. The RANKED most frequent words go to the tasks with their counts; the counts of all others
+Spark. The most frequent words, RANKED at most, go to the tasks with their counts; the counts of all others
 reach the documents through a join on the word.
 
 Model. The WORDS most frequent words are outputs of their own, in classes of CLASS by frequency:
@@ -38,15 +38,15 @@ from kithgraph.llm.common import table, written
 
 FOLDS, HELD_FOLD = 7, 2
 RANKED = 100_000
-WORDS, CLASS, BUCKETS = 2048, 64, 64
-STATE, EMBED = 32, 24
+WORDS, CLASS, BUCKETS = 1024, 64, 48
+STATE, EMBED = 24, 16
 WINDOW, LANES, LEAST_STEPS = 16, 512, 80
 ROUNDS = 2
 RATE = 6e-3
 #: Training cuts longer documents into segments; scoring never cuts.
 SEGMENT = 512
 FAN = 64
-_CHUNK = 2_000_000
+_CHUNK = 4_000_000
 _END = b""
 _CLASSES = WORDS // CLASS + BUCKETS
 _START = WORDS + BUCKETS
@@ -154,31 +154,39 @@ class GatedLM:
     def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False):
         """The state after each of the inputs x (time, lane), from h; a start sets its lane to zero first."""
         p, (steps, lanes) = self.p, x.shape
-        table_ = p["embed"] @ p["input"] + p["gate"]
-        fed, out, kept = table_[x], np.empty((steps, lanes, STATE), np.float32), []
-        for t in range(steps):
-            keep = (x[t] != _START)[:, None]
-            h = h * keep
-            u = h @ p["loop"]
-            g = fed[t, :, : 2 * STATE] + u[:, : 2 * STATE]
-            np.negative(g, out=g)
-            np.exp(np.minimum(g, 60, out=g), out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            z, r = g[:, :STATE], g[:, STATE:]
-            n = np.tanh(fed[t, :, 2 * STATE :] + r * u[:, 2 * STATE :])
-            new = n + z * (h - n)
-            if keep_all:
-                kept.append((h, u[:, 2 * STATE :], z, r, n, keep))
-            h = out[t] = new
+        sign = np.ones(3 * STATE, np.float32)
+        sign[: 2 * STATE] = -1  # the gates' sums are needed negated
+        table_, loop = (p["embed"] @ p["input"] + p["gate"]) * sign, p["loop"] * sign
+        fed, out, kept, starts = table_[x], np.empty((steps, lanes, STATE), h.dtype), [], x == _START
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                if starts[t].any():
+                    h = h.copy()
+                    h[starts[t]] = 0
+                u = h @ loop
+                g = fed[t, :, : 2 * STATE] + u[:, : 2 * STATE]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                z, r = g[:, :STATE], g[:, STATE:]
+                un = u[:, 2 * STATE :]
+                n = r * un
+                n += fed[t, :, 2 * STATE :]
+                np.tanh(n, out=n)
+                new = h - n
+                new *= z
+                new += n
+                if keep_all:
+                    kept.append((h, un, z, r, n))
+                h = out[t] = new
         return out, h, kept
 
-    def _classes(self, h: np.ndarray):
-        a = h @ self.p["class"] + self.p["class_base"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(axis=1, keepdims=True)
-        return a, e, s
+    def _classes(self, h: np.ndarray) -> np.ndarray:
+        """The classes' logits, at most 0."""
+        a = h @ self.p["class"]
+        a += self.p["class_base"]
+        a -= a.max()
+        return a
 
     def _by_class(self, y: np.ndarray):
         """(class, rows) of the targets that are words."""
@@ -189,14 +197,16 @@ class GatedLM:
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(unit y) at each state; of a bucket as a whole."""
-        a, _, s = self._classes(h)
+        a = self._classes(h)
         c = np.where(y < WORDS, y // CLASS, y - WORDS + WORDS // CLASS)
-        out = (a[np.arange(len(y)), c] - np.log(s[:, 0])).astype(np.float64)
+        out = a[np.arange(len(y)), c].astype(np.float64)
+        out -= np.log(np.exp(a, out=a) @ np.ones(_CLASSES, a.dtype))
         for k, rows in self._by_class(y):
             at = slice(k * CLASS, (k + 1) * CLASS)
             w = h[rows] @ self.p["word"][at].T + self.p["word_base"][at]
-            w -= w.max(axis=1, keepdims=True)
-            out[rows] += w[np.arange(len(rows)), y[rows] - k * CLASS] - np.log(np.exp(w).sum(axis=1))
+            w -= w.max()
+            picked = w[np.arange(len(rows)), y[rows] - k * CLASS]
+            out[rows] += picked - np.log(np.exp(w, out=w) @ np.ones(CLASS, w.dtype))
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray):
@@ -206,37 +216,39 @@ class GatedLM:
         h, target = out.reshape(-1, STATE), y.reshape(-1)
         live = target >= 0
         scale = np.float32(1 / max(1, live.sum()))
-        _, e, s = self._classes(h)
+        da = self._classes(h)
+        np.exp(da, out=da)
         c = np.where(target < WORDS, target // CLASS, target - WORDS + WORDS // CLASS)
-        da = e / s
-        da[np.flatnonzero(live), c[live]] -= 1
-        da *= (live * scale)[:, None]
+        da *= (live * scale / (da @ np.ones(_CLASSES, da.dtype)))[:, None]
+        da[np.flatnonzero(live), c[live]] -= scale
         g = {"class": h.T @ da, "class_base": da.sum(axis=0), "word": np.zeros_like(p["word"]), "word_base": np.zeros_like(p["word_base"])}
         dh = da @ p["class"].T
         for k, rows in self._by_class(np.where(live, target, WORDS)):
             at = slice(k * CLASS, (k + 1) * CLASS)
             seen = h[rows]
             w = seen @ p["word"][at].T + p["word_base"][at]
-            w -= w.max(axis=1, keepdims=True)
+            w -= w.max()
             np.exp(w, out=w)
-            w /= w.sum(axis=1, keepdims=True)
-            w[np.arange(len(rows)), target[rows] - k * CLASS] -= 1
-            w *= scale
+            w *= (scale / (w @ np.ones(CLASS, w.dtype)))[:, None]
+            w[np.arange(len(rows)), target[rows] - k * CLASS] -= scale
             g["word"][at], g["word_base"][at] = w.T @ seen, w.sum(axis=0)
             dh[rows] += w @ p["word"][at]
         dh = dh.reshape(steps, lanes, STATE)
         fed, du = np.empty((steps, lanes, 3 * STATE), np.float32), np.empty((steps, lanes, 3 * STATE), np.float32)
         back, loop = np.zeros((lanes, STATE), np.float32), p["loop"].T.copy()
         for t in range(steps - 1, -1, -1):
-            before, un, z, r, n, keep = kept[t]
+            before, un, z, r, n = kept[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            fed[t, :, :STATE] = d * (before - n) * z * (1 - z)
-            fed[t, :, STATE : 2 * STATE] = dn * un * r * (1 - r)
+            dz = d * z
+            dn = d - dz
+            dn *= 1 - n * n
+            fed[t, :, :STATE] = dz * (before - n) * (1 - z)
+            fed[t, :, STATE : 2 * STATE] = dn * un * (r - r * r)
             fed[t, :, 2 * STATE :] = dn
             du[t] = fed[t]
             du[t, :, 2 * STATE :] *= r
-            back = (d * z + du[t] @ loop) * keep
+            back = dz + du[t] @ loop
+            back[x[t] == _START] = 0
         first = np.stack([k[0] for k in kept]).reshape(-1, STATE)
         fed, du, units = fed.reshape(-1, 3 * STATE), du.reshape(-1, 3 * STATE), x.reshape(-1)
         g["loop"], g["gate"] = first.T @ du, fed.sum(axis=0)
@@ -327,7 +339,14 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, GatedLM, DataFrame]:
     counted = written(counts(docs), "lm-counts")
     bucket = F.crc32(F.substring("word", -2, 2)) % BUCKETS
     sums = counted.groupBy(bucket.alias("b")).agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    ranked = [(bytes(r.word), r.n) for r in counted.orderBy(F.desc("n"), "word").limit(RANKED).collect()]
+    size = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")  # at most 64 * 16 steps of the counts
+    least, among = 0, 0
+    for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("v")).orderBy(F.desc("size")).collect():
+        if among + r.v > RANKED:
+            least = r.size + 1
+            break
+        among += r.v
+    ranked = sorted(((bytes(r.word), r.n) for r in counted.where(size >= least).collect()), key=lambda r: (-r[1], r[0]))
     vocabulary = Vocabulary(ranked, sum(r.n for r in sums), sum(r.v for r in sums), {r.b: r.s for r in sums})
     net = GatedLM(vocabulary)
     training = _held(docs.select("doc_id", "text")).where(~F.col("held_out"))
@@ -364,20 +383,34 @@ def scores(docs: DataFrame, vocabulary: Vocabulary, net: GatedLM, counted: DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, net = shared.value.prepare(), GatedLM().load(weights.value)
         mass = np.log10(words.mass)
-        for batch in _gathered(batches):
-            units, n, known, logs, rares, local = [], [], [], [], [], []
+        held: list[pd.DataFrame] = []
+        units: list[np.ndarray] = []
+
+        def scored() -> pd.DataFrame:
+            out = pd.concat(held, ignore_index=True)
+            out["model"] += net.score(units) / math.log(10)
+            held.clear()
+            units.clear()
+            return out
+
+        for batch in batches:
+            n, known, logs, local, rares = [], [], [], [], []
             for text in batch["text"]:
                 ranks, unit, rare = words.encode(text)
-                log = np.where(ranks >= 0, words.log[ranks], 0.0)
-                wide = unit >= WORDS
+                seen = ranks >= 0
+                log = words.log[ranks] * seen
+                wide = np.flatnonzero(unit >= WORDS)
                 units.append(unit)
                 n.append(len(ranks))
-                known.append(int(((ranks >= 0) & (words.n[ranks] > 0)).sum()))
+                known.append(int((seen & (words.n[ranks] > 0)).sum()))
                 logs.append(log.sum())
                 local.append(log[wide].sum() - mass[unit[wide] - WORDS].sum())
                 rares.append(rare)
-            sums = net.score(units) / math.log(10)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n": n, "known": known, "logs": logs, "model": sums + local, "rare": rares})
+            held.append(pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n": n, "known": known, "logs": logs, "model": local, "rare": rares}))
+            if sum(map(len, units)) >= _CHUNK:
+                yield scored()
+        if held:
+            yield scored()
 
     part = _held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     scored = part.mapInPandas(run, "doc_id long, held_out boolean, n long, known long, logs double, model double, rare array<binary>")
@@ -397,19 +430,6 @@ def scores(docs: DataFrame, vocabulary: Vocabulary, net: GatedLM, counted: DataF
     )
 
 
-def _gathered(batches: Iterator[pd.DataFrame], most: int = 12 << 20) -> Iterator[pd.DataFrame]:
-    """Batches joined until their texts are large enough to fill the lanes."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += int(batch["text"].str.len().fillna(0).sum())
-        if size >= most:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scores(docs, *learn(docs))
