@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,16 @@ def user_key(profile_id: Column) -> Column:
     return F.concat(F.lit("profileId:"), profile_id.cast("string"))
 
 
+def encoded_user_key(profile_id: Column) -> Column:
+    return F.url_encode(user_key(profile_id))
+
+
+def parse_int(text: Column) -> Column:
+    """The whole number that ``text`` starts with, or null."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1)
+    return F.when(digits != "", digits).try_cast("long")
+
+
 def score_label(score: Column) -> Column:
     return F.when(score > 0, F.concat(F.lit("Score: "), score.cast("string"))).otherwise("")
 
@@ -65,9 +77,18 @@ def thousands(number: Column) -> Column:
 
 
 def to_fixed(number: Column, digits: int) -> Column:
-    """The exact binary value rounded half up, with so many digits; a binary number has an exact decimal of bounded length."""
-    exact = F.round(number.cast("decimal(38,18)"), digits)
-    return exact.cast(f"decimal(38,{digits})").cast("string")
+    """The exact binary value rounded half away from 0, with so many digits (4 at most); null beyond 64-bit integers.
+
+    The part after the point is an exact whole number of 2**-60 (numbers below 2**-8 are cut there).
+    """
+    size = F.abs(number.cast("double"))
+    whole = F.floor(size)
+    parts = ((size - whole) * F.lit(float(1 << 60))).try_cast("long").cast("decimal(20,0)")
+    unit = F.lit(1 << 60).cast("decimal(20,0)")
+    raised = parts * F.lit(10**digits).cast("decimal(5,0)") + F.lit(1 << 59).cast("decimal(20,0)")
+    steps = F.call_function("div", raised, unit).cast("decimal(10,0)")
+    text = (whole.cast("decimal(20,0)") + steps * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})").cast("string")
+    return F.when(F.isnan(size), "NaN").otherwise(F.concat(F.when(number < 0, "-").otherwise(""), text))
 
 
 def plural(count: Column, word: str) -> Column:

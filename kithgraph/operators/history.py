@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kithgraph.sources.schemas import RECENT
+
 VERSION = "1.0"
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 PROFILE_TTL, OTHER_TTL, EVICTION_AGE = HOUR_MS, 12 * HOUR_MS, 7 * DAY_MS
@@ -23,6 +25,17 @@ def without(searches: DataFrame, query: str) -> DataFrame:
     return searches.where(F.lower("query") != query.lower())
 
 
+def parse_history(text: Column) -> Column:
+    """The array of searches in a JSON text; unreadable text is an empty history."""
+    kind = f"array<struct<{RECENT}>>"
+    return F.coalesce(F.from_json(text, kind), F.array().cast(kind))
+
+
+def upsert(searches: DataFrame, search: DataFrame, keep: int = STORED) -> DataFrame:
+    """The history with one more search (query, timestamp, ord, ...) in front; an older one of the same query goes."""
+    return recent_searches(searches.unionByName(search, allowMissingColumns=True), keep)
+
+
 def cache_key(kind: str, *parts: Column) -> Column:
     return F.concat_ws("-", F.lit("cache"), F.lit(kind), *[F.lower(p.cast("string")) for p in parts])
 
@@ -32,6 +45,16 @@ def fresh(now_ms: Column, ttl_ms: Column) -> Column:
     return F.coalesce((F.col("version") == VERSION) & (now_ms - F.col("timestamp") <= ttl_ms), F.lit(False))
 
 
+def cached(entries: DataFrame, key: str, now_ms: Column, ttl_ms: int = PROFILE_TTL) -> DataFrame:
+    """The entry under a key, if it is fresh; the key reaches the scan."""
+    return entries.where((F.col("key") == key) & fresh(now_ms, F.lit(ttl_ms)))
+
+
+def removed(entries: DataFrame, key: str | None = None, prefix: str = "cache-") -> DataFrame:
+    """What is left without one key, or without all keys of the prefix."""
+    return entries.where(F.col("key") != key) if key is not None else entries.where(~F.startswith("key", F.lit(prefix)))
+
+
 def retained(entries: DataFrame, now_ms: Column, prefix: str = "cache-") -> DataFrame:
     """What eviction leaves: other prefixes, and readable entries of at most seven days."""
     mine = F.startswith("key", F.lit(prefix))

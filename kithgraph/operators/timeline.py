@@ -46,3 +46,14 @@ def nearest(found: DataFrame, time: Column) -> DataFrame:
 def tooltip(weekly: Column) -> Column:
     """Null where nothing is shown."""
     return F.when(weekly > 0, F.concat(F.lit("+"), F.format_number(weekly, 0), F.lit(" XP")))
+
+
+def offered_seasons(seasons: Column) -> Column:
+    """The seasons to choose from: 0 and 1 where the source has none."""
+    both = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(f"Season {k}").alias("name")) for k in (0, 1)])
+    return F.when(F.size(F.coalesce(seasons, F.array().cast("array<struct<id:int,name:string>>"))) > 0, seasons).otherwise(both)
+
+
+def default_season(current: Column, seasons: Column) -> Column:
+    """The current season, else the first of those there are, else 0."""
+    return F.coalesce(current["id"], F.get(seasons, 0)["id"], F.lit(0))

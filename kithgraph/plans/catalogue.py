@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kithgraph.functions import scalars
+from kithgraph.functions import drawing, scalars
 from kithgraph.operators import expand, graph, history, profile, timeline, tree
 from kithgraph.plans import sql
 from kithgraph.sources import standins
@@ -368,8 +368,8 @@ def _searches(spark, d):
     return table(spark, d, "events").select(text.alias("query"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_id").alias("ord"))
 
 
-@query("""SELECT query, timestamp, ord FROM (SELECT CASE WHEN event_id % 2 = 1 THEN upper(event_type) ELSE event_type END AS query, epoch_ms(ts) AS timestamp, event_id AS ord,
-  row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY timestamp DESC, ord DESC LIMIT 10""")
+@query("""SELECT query, timestamp, ord FROM (SELECT CASE WHEN event_id % 2 = 1 THEN upper(event_type) ELSE event_type END AS query, epoch_us(ts) // 1000 AS timestamp, event_id AS ord,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY timestamp DESC, ord DESC LIMIT 10""")
 def recent_searches(spark, d):
     return history.recent_searches(_searches(spark, d))
 
@@ -384,7 +384,7 @@ def _cache(spark, d):
     )
 
 
-_CACHE = {"entries": "SELECT CASE WHEN event_id % 10 = 0 THEN 'xp-' ELSE 'cache-' END || event_type || '-' || event_id AS key, CASE WHEN event_id % 11 <> 0 THEN props END AS data, epoch_ms(ts) AS timestamp, CASE WHEN event_id % 13 = 0 THEN '0.9' ELSE '1.0' END AS version FROM events"}
+_CACHE = {"entries": "SELECT CASE WHEN event_id % 10 = 0 THEN 'xp-' ELSE 'cache-' END || event_type || '-' || event_id AS key, CASE WHEN event_id % 11 <> 0 THEN props END AS data, epoch_us(ts) // 1000 AS timestamp, CASE WHEN event_id % 13 = 0 THEN '0.9' ELSE '1.0' END AS version FROM events"}
 
 
 @query(f"SELECT key, version = '1.0' AND {NOW_MS} - timestamp <= 43200000 AS hit FROM entries", _CACHE)
@@ -415,8 +415,73 @@ def node_radius(spark, d):
 
 @query("""SELECT id, CASE WHEN place = 0 THEN -1500.0::DOUBLE ELSE -800.0::DOUBLE / (level + 1) END AS charge, CASE WHEN place = 0 THEN 90 ELSE greatest(60, 70 - 3 * level) END AS collision, 150 + 250 * level AS ring FROM v_node""", sql.VOUCH)
 def force_params(spark, d):
+    root, level, forces = F.col("place") == 0, F.col("level"), drawing.VOUCH_FORCES
+    return graph.nodes(_vouch_net(spark, d), ROOT).select("id", forces.charges(root, level).alias("charge"), forces.collisions(root, level).alias("collision"), forces.rings(level).alias("ring"))
+
+
+_COLOUR = "CASE {0} WHEN 0 THEN '#3b82f6' WHEN 1 THEN '#10b981' WHEN 2 THEN '#f59e0b' WHEN 3 THEN '#ef4444' ELSE '#64748b' END"
+
+
+@query(f"SELECT id, {_COLOUR.format('level')} AS colour, CASE WHEN place = 0 THEN 14.0::DOUBLE ELSE greatest(10.0::DOUBLE, 12.0::DOUBLE - 0.5::DOUBLE * level) END AS font, place = 0 OR level = 1 AS bold FROM v_node", sql.VOUCH)
+def node_style(spark, d):
     root, level = F.col("place") == 0, F.col("level")
-    return graph.nodes(_vouch_net(spark, d), ROOT).select("id", F.when(root, F.lit(-1500.0)).otherwise(F.lit(-800.0) / (level + 1)).alias("charge"), F.when(root, 90).otherwise(F.greatest(F.lit(60), 70 - 3 * level)).alias("collision"), (150 + 250 * level).alias("ring"))
+    return graph.nodes(_vouch_net(spark, d), ROOT).select("id", drawing.level_colour(level).alias("colour"), drawing.font_size(root, level).alias("font"), drawing.bold(root, level).alias("bold"))
+
+
+@query(f"SELECT source, target, seq, CASE WHEN is_reciprocal THEN {_COLOUR.format('level')} ELSE '#ef4444' END AS colour, CASE WHEN is_reciprocal THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS opacity FROM v_link", sql.VOUCH)
+def vouch_link_style(spark, d):
+    return _vouch_links(spark, d).select("source", "target", "seq", drawing.vouch_colour(F.col("level"), F.col("is_reciprocal")).alias("colour"), drawing.vouch_opacity(F.col("is_reciprocal")).alias("opacity"))
+
+
+@query("""SELECT source, target, seq, CASE sentiment WHEN 'positive' THEN '#10b981' WHEN 'negative' THEN '#ef4444' ELSE '#94a3b8' END AS colour,
+  CASE sentiment WHEN 'neutral' THEN 'dotted' WHEN 'negative' THEN 'dashed' ELSE 'solid' END AS stroke, 0.6::DOUBLE + (1.0::DOUBLE - 0.1::DOUBLE * n.level) AS opacity, greatest(1.5::DOUBLE, 2.5::DOUBLE - 0.3::DOUBLE * n.level) AS width
+  FROM x_link JOIN x_shown n ON n.id = target""", sql.REVIEW, _ALL)
+def review_link_style(spark, d):
+    shown, rows = _all_reviews(spark, d)
+    rows = rows.join(F.broadcast(shown.select(F.col("id").alias("target"), F.col("level").alias("tl"))), "target")  # shown is capped
+    return rows.select("source", "target", "seq", drawing.sentiment_colour(F.col("sentiment")).alias("colour"), drawing.sentiment_stroke(F.col("sentiment")).alias("stroke"), drawing.faded(0.6, F.col("tl")).alias("opacity"), drawing.thinned(2.5, 1.5, F.col("tl")).alias("width"))
+
+
+@query(f"""SELECT sender AS source, invitee AS target, {_COLOUR.format('n.level')} AS colour, 0.4::DOUBLE + (1.0::DOUBLE - 0.1::DOUBLE * n.level) AS opacity, greatest(1.0::DOUBLE, 2.0::DOUBLE - 0.3::DOUBLE * n.level) AS width,
+  180 + 100 * abs(n.level - m.level) AS distance FROM t200 JOIN t_node n ON n.id = invitee JOIN t_node m ON m.id = sender WHERE n.level <= 2 AND m.level <= 2""", sql.TREE)
+def invite_link_style(spark, d):
+    rows = written(tree.first_invitations(_tree(spark, d)), "invitations")
+    shown = written(graph.visible(tree.levels(rows, TREE_ROOT), {1: True, 2: True}), "invited")
+    edges = graph.links(rows.select(F.col("sender").alias("author"), F.col("invitee").alias("subject"), "level", "ord"), shown)
+    for side in ("source", "target"):
+        edges = edges.join(F.broadcast(shown.select(F.col("id").alias(side), F.col("level").alias(f"{side}_level"))), side)  # shown is capped
+    level = F.col("target_level")
+    return edges.select("source", "target", drawing.level_colour(level).alias("colour"), drawing.faded(0.4, level).alias("opacity"), drawing.thinned(2.0, 1.0, level).alias("width"), drawing.INVITATION_FORCES.distances(F.col("source_level"), level).alias("distance"))
+
+
+@query("""SELECT source, target, seq, round((sx + tx) / 2 + cos(turn) * (sr - tr) / 2 + CASE WHEN is_reciprocal AND far > 0 THEN dx * 12 / far ELSE 0 END, 4) + 0.0::DOUBLE AS x,
+  round((sy + ty) / 2 + sin(turn) * (sr - tr) / 2 + CASE WHEN is_reciprocal AND far > 0 THEN dy * 12 / far ELSE 0 END, 4) + 0.0::DOUBLE AS y, round(degrees(turn), 4) + 0.0::DOUBLE AS angle
+  FROM (SELECT *, tx - sx AS dx, ty - sy AS dy, atan2(ty - sy, tx - sx) AS turn, sqrt((tx - sx) * (tx - sx) + (ty - sy) * (ty - sy)) AS far FROM (
+    SELECT l.*, 10.0::DOUBLE * a.place AS sx, CAST(a.place * a.place % 97 AS DOUBLE) AS sy, 10.0::DOUBLE * b.place AS tx, CAST(b.place * b.place % 97 AS DOUBLE) AS ty,
+      CASE WHEN a.place = 0 THEN 35 ELSE greatest(18, 25 - 2 * a.level) END AS sr, CASE WHEN b.place = 0 THEN 35 ELSE greatest(18, 25 - 2 * b.level) END AS tr
+    FROM v_link l JOIN v_shown a ON a.id = source JOIN v_shown b ON b.id = target))""", sql.VOUCH)
+def arrow_places(spark, d):
+    """Arrows of links between nodes that stand at given points (here: a function of their order)."""
+    net = _vouch_net(spark, d)
+    shown = written(graph.visible(graph.nodes(net, ROOT), RING_1), "shown")
+    rows = graph.with_reciprocity(graph.links(net, shown), net)
+    for side in ("source", "target"):
+        rows = rows.join(F.broadcast(shown.select(F.col("id").alias(side), F.col("level").alias(f"{side}_level"), F.col("place").alias(f"{side}_place"))), side)  # shown is capped
+    at = {side: (10.0 * F.col(f"{side}_place"), (F.col(f"{side}_place") * F.col(f"{side}_place") % 97).cast("double")) for side in ("source", "target")}
+    rims = drawing.radii(F.col("source_place") == 0, F.col("source_level"), F.col("target_place") == 0, F.col("target_level"))
+    found = drawing.arrow(at["source"], at["target"], F.col("is_reciprocal"), rims)
+    return rows.select("source", "target", "seq", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in found.items()])
+
+
+@query("SELECT * FROM (VALUES (1, 4, 2), (2, 0, 2), (3, 7, 2), (4, 0, 0)) t(kind, season, offered) WHERE kind < 4 UNION ALL SELECT 4, 0, 2")
+def default_season(spark, d):
+    rows = spark.createDataFrame([(1, [(3, "c"), (4, "d")], (4,)), (2, [(0, "a"), (1, "b")], None), (3, [(7, "x"), (8, "y")], None), (4, None, None)], "kind int, seasons array<struct<id:int,name:string>>, current struct<id:int>")
+    return rows.select("kind", timeline.default_season(F.col("current"), F.col("seasons")).alias("season"), F.size(timeline.offered_seasons(F.col("seasons"))).alias("offered"))
+
+
+@query("SELECT profile_id, 'profileId%3A' || profile_id AS encoded, 'cache-vouches-' || profile_id || '-given' AS key FROM profiles")
+def keys_of_profiles(spark, d):
+    return standins.profiles(spark, d).select("profile_id", scalars.encoded_user_key(F.col("profile_id")).alias("encoded"), history.cache_key("vouches", F.col("profile_id"), F.lit("given")).alias("key"))
 
 
 @query("SELECT level, sentiment, count(*) AS n FROM (SELECT level, attr AS sentiment FROM r_net) GROUP BY GROUPING SETS ((level), (sentiment), (level, sentiment))", sql.REVIEW)

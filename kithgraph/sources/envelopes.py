@@ -43,3 +43,19 @@ def invitations(envelopes: DataFrame) -> DataFrame:
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, schemas.PROFILE)
+
+
+def weeks(spark: SparkSession, path: str) -> DataFrame:
+    """week, start_date, end_date, ord (the place in the file's array) of a season's calendar."""
+    rows = spark.read.schema("value STRING").text(path, wholetext=True).select(F.from_json("value", f"ARRAY<STRUCT<{schemas.XP_WEEKS}>>").alias("values"))
+    return unwrap(rows).select("week", F.col("startDate").alias("start_date"), F.col("endDate").alias("end_date"), "ord")
+
+
+def weekly(spark: SparkSession, path: str, user_key: str) -> DataFrame:
+    """user_key, week, weekly, cumulative of one user's season."""
+    rows = spark.read.schema("value STRING").text(path, wholetext=True).select(F.from_json("value", f"ARRAY<STRUCT<{schemas.XP_WEEKLY}>>").alias("values"))
+    return unwrap(rows).select(F.lit(user_key).alias("user_key"), "week", F.col("weeklyXp").alias("weekly"), F.col("cumulativeXp").alias("cumulative"))
+
+
+def seasons(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, schemas.SEASONS)
