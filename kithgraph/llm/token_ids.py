@@ -8,17 +8,20 @@ ids are kept by chunk: words come back often, and only new ones pass through the
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 #: Chunks kept by a Python worker, at most; further ones are encoded each time.
-KEPT = 400_000
+KEPT = 1_000_000
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" \s")
+#: A word of Latin letters, and a mark behind it: pieces of their own to the pre-tokenizer.
+_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]?)")
 
 
-class _Chunks(dict):
-    """chunk -> its ids as bytes, filled by the library on first sight."""
+class _Library:
+    """Ids, as little-endian bytes, of chunks that aren't known yet."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -28,46 +31,54 @@ class _Chunks(dict):
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
         self.library, self.tokenize = whole, whole.model.tokenize
-        self.size = 2 if whole.get_vocab_size() <= 1 << 16 else 4
+        self.size, self.kind = (2, "H") if whole.get_vocab_size() <= 1 << 16 else (4, "I")
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = dict(zip(printable, printable, strict=True)) | {b: 256 + i for i, b in enumerate(others)}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, piece: str) -> bytes:
-        if (ids := self.words.get(piece)) is None:
-            letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            ids = b"".join(t.id.to_bytes(self.size, "little") for t in self.tokenize(letters))
-            if len(self.words) < KEPT:
-                self.words[piece] = ids
-        return ids
+        self.spaced, self.plain = _Chunks(self, " "), _Chunks(self, "")
+
+    def ids(self, chunk: str) -> bytes:
+        simple = _WORD.fullmatch(chunk)
+        pieces = ([simple[1], simple[2]] if simple[2] else [chunk]) if simple else self.pieces(chunk)
+        if len(pieces) > 1:
+            return b"".join([self.spaced[p[1:]] if p[0] == " " else self.plain[p] for p in pieces])
+        letters = chunk.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.tokenize(letters)]).tobytes()
+
+
+class _Chunks(dict):
+    """chunk without the space before it -> its ids with that space, filled on first sight."""
+
+    def __init__(self, library: _Library, before: str):
+        self.library, self.before = library, before
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.word, self.pieces(chunk)))
+        ids = self.library.ids(self.before + chunk)
         if len(self) < KEPT:
             self[chunk] = ids
         return ids
 
 
-_CACHES: dict[str, _Chunks] = {}
+_LIBRARIES: dict[str, _Library] = {}
 
 
 def encoder(path: str):
     """A function from a text to its ids (unsigned, little-endian array); None is an empty text."""
-    chunks = _CACHES.setdefault(path, None) or _Chunks(path)
-    _CACHES[path] = chunks
-    kind, of = f"<u{chunks.size}", chunks.__getitem__
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = _Library(path)
+    library = _LIBRARIES[path]
+    kind, spaced, plain = f"<u{library.size}", library.spaced.__getitem__, library.plain.__getitem__
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, kind)
         if _ODD.search(text):
-            parts = _CUT.split(text)
+            found = [spaced(c[1:]) if c[0] == " " and len(c) > 1 else plain(c) for c in _CUT.split(text) if c]
         else:
             first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        return np.frombuffer(b"".join(map(of, parts)), kind)
+            found = [plain(first), *map(spaced, rest)] if first else map(spaced, rest)
+        return np.frombuffer(b"".join(found), kind)
 
     return encode
 
