@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import WORD, table, with_bucket_offsets, word_count, written
+from kithgraph.llm.common import WORD, fresh, table, with_bucket_offsets, word_count, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -66,17 +66,17 @@ def position(offset: Column, target: Column, knots: Sequence[tuple[float, float]
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, rounds, and position_k of each round (null if not taken).
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, schedules=SCHEDULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, the kept columns, and taken_k and position_k of each round (null if not taken).
 
     ``taken`` counts the words of all rounds; the document at which a source meets its target is taken in part.
     """
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = written(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ranked = sized.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
     ranked = with_bucket_offsets(ranked, ["source"], "_b", "size", "_before")
-    inside = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, -1)
     ranked = ranked.withColumn("_c", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ranked = ranked.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     rounds = []
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
         for i, knots in enumerate(schedules):
             at = F.when((F.col("place") == i % len(weights)) & (part > 0), position(start.cast("double"), F.col("target"), knots)).otherwise(at)
         rounds.append((part.alias(f"taken_{k + 1}"), at.alias(f"position_{k + 1}")))
-    parts = ranked.select("doc_id", "source", "size", "source_size", "target", *[c for pair in rounds for c in pair])
+    parts = ranked.select("doc_id", "source", *keep, "size", "source_size", "target", *[c for pair in rounds for c in pair])
     return parts.withColumn("taken", sum((F.col(f"taken_{k + 1}") for k in range(cap)), F.lit(0)).cast("long"))
 
 
@@ -95,19 +95,22 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` in training order, each as often as it is taken.
 
     A part of a document ends after its last taken word. n_chars, where there is one, follows the text.
-    Rows that share their doc_id and size are dealt alike. Range-sorted by position.
+    Range-sorted by position. Rows alike in doc_id, source and text are one row here, joined with the turns
+    of all of them, so each of them is dealt its own words; their other columns are those of one of them.
     """
     cap = settings.get("cap", CAP)
-    turns = mix(docs, **settings).select("doc_id", "source", "size", F.explode(F.array(*[F.struct(F.col(f"taken_{k + 1}").alias("part"), F.col(f"position_{k + 1}").alias("at")) for k in range(cap)])).alias("_t"))
-    turns = turns.where("_t.part > 0").dropDuplicates(["doc_id", "source", "size", "_t"])
-    turns = turns.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("_t.part").alias("_part"), F.col("_t.at").alias("_at"))
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    rows = rows.join(turns, rows["doc_id"].eqNullSafe(turns["_id"]) & rows["source"].eqNullSafe(turns["_src"]) & (rows["_words"] == turns["_size"]))
+    number, digest, turn = fresh(docs, "_number"), fresh(docs, "_digest"), fresh(docs, "_turn")
+    whole = F.xxhash64("doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+    keyed = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), digest: whole})
+    dealt = mix(keyed, keep=(number, digest), **settings)
+    turns = dealt.select(number, digest, F.explode(F.array(*[F.struct("size", F.col(f"taken_{k + 1}").alias("part"), F.col(f"position_{k + 1}").alias("at")) for k in range(cap)])).alias(turn)).where(F.col(f"{turn}.part") > 0)
+    rows = keyed.dropDuplicates([number, digest]).join(turns, [number, digest])
+    cut = F.col(f"{turn}.part") < F.col(f"{turn}.size")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    rows = rows.withColumn("text", F.when(F.col("_part") < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), F.col(f"{turn}.part").cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.orderBy("_at", "doc_id").select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.orderBy(f"{turn}.at", "doc_id").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
