@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Where the session names no shared folder (tests on one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints/kithgraph"
+from kithgraph.storage import shared_dir, written  # noqa: F401
 
 #: A word in the contracts: a run without ASCII space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the setting is missing."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that it is computed once and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +43,3 @@ def with_bucket_offsets(df: DataFrame, keys: list[str], bucket: str, value: str,
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-
-
-def schema_of(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
