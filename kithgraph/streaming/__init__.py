@@ -1 +1 @@
-"""Structured Streaming versions of the running counts."""
+"""The source application streams nothing, so there is nothing here yet."""
