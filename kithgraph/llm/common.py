@@ -23,6 +23,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with its columns but text renamed by their places, so that none can clash; and the new names in order."""
+    names = tuple(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns))
+    return docs.toDF(*names), names
+
+
 def with_bucket_offsets(df: DataFrame, keys: list[str], bucket: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same keys in smaller buckets.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import table
+from kithgraph.llm.common import numbered, table
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
@@ -156,13 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
 
 
 def scores(docs: DataFrame, net: ByteConv, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score of every document."""
-    name = "score" if "score" not in keep else "_score"
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    """The kept columns (none of them named score) and score of every document; a text crosses to Python once."""
+    rows = docs.select(*keep, *["text"] * ("text" not in keep))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["_text"]]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             out, i = [], 0
             while i < len(texts):  # about a megabyte at a time
                 j, size = i, 0
@@ -171,18 +170,16 @@ def scores(docs: DataFrame, net: ByteConv, keep: tuple[str, ...] = ("doc_id",))
                     j += 1
                 out.append(net.score(texts[i:j]))
                 i = j
-            yield batch.drop(columns="_text").assign(**{name: np.concatenate(out) if out else np.empty(0)})
+            yield batch[list(keep)].assign(score=np.concatenate(out) if out else np.empty(0))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(run, f"{kept}, {name} double")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInPandas(run, f"{kept}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, unchanged."""
-    columns = tuple(c for c in docs.columns)
-    net = train(docs, labels)
-    scored = scores(docs.withColumn("_whole", F.col("text")), net, (*[c for c in columns if c != "text"], "_whole"))
-    return scored.where(F.col("score") >= threshold).withColumnRenamed("_whole", "text").select(*columns)
+    rows, names = numbered(docs)
+    return scores(rows, train(docs, labels), names).where(F.col("score") >= threshold).select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

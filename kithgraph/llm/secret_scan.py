@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import table, written
+from kithgraph.llm.common import numbered, table, written
 
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 20
@@ -115,17 +115,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, base (spans) and candidates of every document, from its whole text."""
+    """The kept columns (none of them named base, candidates or spans), base (spans) and candidates of every document, from its whole text."""
     inner = f"base array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>, candidates array<struct<stratum:int,step:int,start:int,end:int>>"
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*keep, *["text"] * ("text" not in keep))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            base = [base_spans(t or "") for t in batch["_text"]]
-            judged = [candidates(t or "", b) for t, b in zip(batch["_text"], base, strict=True)]
-            yield batch.drop(columns="_text").assign(base=[[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b in base], candidates=[[dict(zip(("stratum", "step", "start", "end"), s, strict=True)) for s in b] for b in judged])
+            base = [base_spans(t or "") for t in batch["text"]]
+            judged = [candidates(t or "", b) for t, b in zip(batch["text"], base, strict=True)]
+            yield batch[list(keep)].assign(base=[[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b in base], candidates=[[dict(zip(("stratum", "step", "start", "end"), s, strict=True)) for s in b] for b in judged])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInPandas(run, f"{kept}, {inner}")
 
 
@@ -156,10 +156,10 @@ def spans(scanned: DataFrame, rate: float = RATE) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """The documents with every span's text replaced by ``mark``; overlapping spans are one. n_chars follows."""
-    columns = docs.columns
-    found = spans(written(scan(docs.withColumn("_whole", F.col("text")), (*[c for c in columns if c != "text"], "_whole")), "secrets"), rate)
+    rows, names = numbered(docs)
+    found = spans(written(scan(rows, names), "secrets"), rate)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("_whole")
+    text = F.col("text")
 
     def step(done, s):
         gap = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
@@ -167,10 +167,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> Dat
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    rows = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    hit = F.size("spans") > 0
+    rows = found.withColumns({"text": F.when(hit, clean).otherwise(text), "hit": hit})
+    if "n_chars" in docs.columns:
+        size = names[docs.columns.index("n_chars")]
+        rows = rows.withColumn(size, F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size)))
+    return rows.select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

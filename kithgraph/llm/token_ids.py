@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks kept by a Python worker, at most; further ones are encoded each time.
-KEPT = 1_000_000
+#: Chunks kept by a Python worker, at most (about 200 bytes each); further ones are encoded each time.
+KEPT = 300_000
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" \s")
 #: A word of Latin letters, and a mark behind it: pieces of their own to the pre-tokenizer.
@@ -55,7 +55,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.library.ids(self.before + chunk)
-        if len(self) < KEPT:
+        if len(self.library.spaced) + len(self.library.plain) < KEPT:
             self[chunk] = ids
         return ids
 

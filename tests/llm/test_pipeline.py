@@ -98,6 +98,16 @@ def test_packing(stages):
     assert used <= least * 1.02 + 1
 
 
+def test_clashing_columns(spark):
+    names = ["base", "candidates", "spans", "score", "c0", "hit", "_turn", "_quality"]
+    docs = spark.createDataFrame([(i, f"some plain words {i} " * 5, "en", "a", 99, *[f"{n}{i}" for n in names]) for i in range(12)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    want = {r.doc_id: r for r in docs.collect()}
+    for _, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, DIR), "test-clash")
+        assert docs.columns[5:] == names
+        assert all(tuple(r)[5:] == tuple(want[r.doc_id])[5:] for r in docs.collect())
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "some words here", None, "a", 15), (2, "some words here", None, "a", 15), (3, "x" * 30_000, "en", None, 30_000)]
