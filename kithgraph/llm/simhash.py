@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import table, written
+from kithgraph.llm.common import fresh, table, written
 from kithgraph.llm.components import components
 
 RADIUS = 3
@@ -53,15 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id and fp (signed 64 bits) of every row; and row, the long column of that name, if one is named."""
+    kept = ["doc_id"] if row is None else ["doc_id", "row"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": np.fromiter(map(fingerprint, rows["text"]), np.int64, len(rows))})
+            yield rows[kept].assign(fp=np.fromiter(map(fingerprint, rows["text"]), np.int64, len(rows)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([] if row is None else [F.col(row).alias("row")]))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def _far(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -176,21 +177,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return routed.groupBy("shard").applyInPandas(join, "u long, v long")
 
 
+def _rooted(prints: DataFrame, value: Column, radius: int = RADIUS, **settings) -> DataFrame:
+    """fp, least (the smallest ``value`` of its rows) and root (the name of its group) of every distinct fingerprint."""
+    distinct = written(prints.groupBy("fp").agg(F.min(value).alias("least")), "simhash-distinct")
+    roots = components(links(distinct, radius, **settings)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, **settings) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the group) for every row."""
     prints = written(fingerprints(docs), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct, radius, **settings)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, F.col("doc_id"), radius, **settings)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The document of smallest doc_id of every group; rows that share that doc_id (or have none) count as one."""
-    first = groups(docs, **settings).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of every group: that of smallest (doc_id, digest of the text), rows without doc_id last. Rows alike in both are one row here."""
+    number, digest = fresh(docs, "_number"), fresh(docs, "_digest")
+    ids = F.col("doc_id").cast("long")
+    rows = docs.withColumns({number: F.coalesce(ids, F.lit(0)), digest: F.xxhash64(ids.isNull(), "text")})
+    prints = written(fingerprints(rows, digest), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = _rooted(prints, order, **settings).groupBy("root").agg(F.min("least").alias("least"))
+    first = first.select(F.coalesce("least.doc_id", F.lit(0)).alias("_first"), F.col("least.row").alias("_text"))
+    kept = rows.join(first, (F.col(number) == F.col("_first")) & (F.col(digest) == F.col("_text")), "left_semi")
+    return kept.dropDuplicates([number, digest]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

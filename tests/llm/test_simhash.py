@@ -61,3 +61,12 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 4, 7]
     assert simhash.groups(docs.limit(0)).count() == 0
     assert simhash.fingerprint("") == 0 and simhash.fingerprint("x" * 100_000) != 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(300)) for c in "ABCDEF"}
+    rows = [(2, "A"), (5, "A"), (5, "B"), (None, "C"), (None, "D"), (None, "D"), (None, "E"), (None, "A"), (7, "F"), (7, "F"), (None, "F")]
+    docs = spark.createDataFrame([(i, text[c], c) for i, c in rows], "doc_id long, text string, _number string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r[2], r.doc_id) for r in got.collect()), key=str) == [("A", 2), ("B", 5), ("C", None), ("D", None), ("E", None), ("F", 7)]
