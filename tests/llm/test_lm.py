@@ -63,6 +63,15 @@ def test_lanes_carry_whole_documents(small):
     assert abs(total - 1) < 1e-4
 
 
+def test_two_thousand_words_have_probabilities_of_their_own():
+    words = [(f"w{i}".encode(), 5000 - i) for i in range(3000)]
+    vocabulary = lm.Vocabulary(words, sum(n for _, n in words), len(words), {}).prepare()
+    units = vocabulary.encode(" ".join(f"w{i}" for i in (0, 1500, 2000, 2500)))[1]
+    assert units[:3].tolist() == [1, 1501, 2001] and units[3] >= lm.WORDS == 2048
+    p = lm.GatedLM(vocabulary).p
+    assert lm.BUCKETS == 64 and p["loop"].shape == (32, 96) and p["embed"].shape == (2048 + 64 + 1, 24)
+
+
 def test_counts_and_base_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "RANKED", 40)  # the other words' counts come through the join
     texts = ["the cat sat on the mat", "The dog é sat", "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3, None, "", " \n", "rare%d unique", "word " * 3000]
