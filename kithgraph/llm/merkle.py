@@ -2,8 +2,10 @@
 
 A text is cut into paragraphs: its lines, and within a long line each run of WORDS words; cut end to
 end they give the text back. A leaf is a hash of a paragraph, a section hash covers SECTION leaves in
-order, and the root covers the sections. The fingerprint is ``root:sections:leaves`` (32, 8 and 8 hex
-digits each). Equal roots mean equal texts; where roots differ, differing sections and then differing
+order, and the root covers the sections. The fingerprint is ``root:sections:leaves``, all digests at
+full width (32 hex digits) unless fewer are asked for. Equal roots of full digests mean equal texts. The
+query's SQL fixes its sections and leaves, and what their hashes cover, at 8 digits: there a text of one
+section has a root of 32 bits, so equal roots only suggest equal texts. Where roots differ, differing sections and then differing
 leaves in them locate the edits. Likeness of two fingerprints is 1 for equal roots, else the share of
 leaves in common (Dice, each different leaf once).
 
@@ -24,6 +26,8 @@ from kithgraph.llm.common import table, written
 
 WORDS = 8
 SECTION = 16
+#: Hex digits of a section or leaf: all of an md5, and those of the query's SQL.
+FULL, SHORT = 32, 8
 #: Rows of neighbouring documents that a window holds, about.
 WINDOW_ROWS = 2048
 _INTERVALS = 64
@@ -33,13 +37,13 @@ def paragraph_pattern(words: int = WORDS) -> str:
     return rf"(?:[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]+){{1,{words}}}\n?|[\x20\x09-\x0D]"
 
 
-def leaves(text: Column, words: int = WORDS) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(paragraph_pattern(words)), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, 8))
+def leaves(text: Column, words: int = WORDS, digits: int = FULL) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(paragraph_pattern(words)), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, digits))
 
 
-def sections(leaf: Column) -> Column:
+def sections(leaf: Column, digits: int = FULL) -> Column:
     starts = F.when(F.size(leaf) > 0, F.sequence(F.lit(1), F.size(leaf), F.lit(SECTION))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(leaf, i, SECTION), "").cast("binary")), 1, 8))
+    return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(leaf, i, SECTION), "").cast("binary")), 1, digits))
 
 
 def fingerprint(leaf: Column, section: Column) -> Column:
@@ -53,14 +57,14 @@ def likeness(leaf_a: Column, leaf_b: Column) -> Column:
     return F.when(leaf_a == leaf_b, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
-def _digests(part: Column) -> Column:
-    return F.regexp_extract_all(part, F.lit("[0-9a-f]{8}"), F.lit(0))
+def _digests(part: Column, digits: int) -> Column:
+    return F.regexp_extract_all(part, F.lit(f"[0-9a-f]{{{digits}}}"), F.lit(0))
 
 
-def locate_edits(a: Column, b: Column) -> Column:
+def locate_edits(a: Column, b: Column, digits: int = FULL) -> Column:
     """Numbers (from 0) of the leaves of fingerprint ``b`` that differ from those of ``a`` at their place; only differing sections are opened."""
-    sa, sb = _digests(F.split_part(a, F.lit(":"), F.lit(2))), _digests(F.split_part(b, F.lit(":"), F.lit(2)))
-    la, lb = _digests(F.split_part(a, F.lit(":"), F.lit(3))), _digests(F.split_part(b, F.lit(":"), F.lit(3)))
+    sa, sb = _digests(F.split_part(a, F.lit(":"), F.lit(2)), digits), _digests(F.split_part(b, F.lit(":"), F.lit(2)), digits)
+    la, lb = _digests(F.split_part(a, F.lit(":"), F.lit(3)), digits), _digests(F.split_part(b, F.lit(":"), F.lit(3)), digits)
     some = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     unlike = lambda x, y, i: ~F.get(x, i).eqNullSafe(F.get(y, i))
     opened = F.filter(some(F.size(sb)), lambda s: unlike(sa, sb, s))
@@ -101,8 +105,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     rows = with_next_text(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), leaves(F.col("text")).alias("l"), leaves(F.col("edited")).alias("e"), leaves(F.col("next_text")).alias("n"))
-    rows = rows.withColumns({"s": sections(F.col("l")), "t": sections(F.col("e"))})
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[leaves(F.col(c), digits=SHORT).alias(c[0]) for c in ("edited", "next_text")], leaves(F.col("text"), digits=SHORT).alias("l"))
+    rows = rows.withColumns({"s": sections(F.col("l"), SHORT), "t": sections(F.col("e"), SHORT)})
     return rows.select(
         "doc_id",
         "n_chars",

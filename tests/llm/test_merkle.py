@@ -42,3 +42,14 @@ def test_roots_and_edits(spark):
     assert a == b != c
     pair = spark.createDataFrame([(a, b), (a, c)], "x string, y string")
     assert [r[0] for r in pair.select(merkle.locate_edits(F.col("x"), F.col("y"))).collect()] == [[], [333 // merkle.WORDS]]
+
+
+def test_texts_whose_short_digests_meet_have_roots_of_their_own(spark):
+    seen, i = {}, 0
+    while (short := hashlib.md5(f"w{i}".encode()).hexdigest()[:8]) not in seen:
+        seen[short] = i
+        i += 1
+    df = spark.createDataFrame([(1, f"w{seen[short]}"), (2, f"w{i}")], "doc_id long, text string").select("doc_id", merkle.leaves(F.col("text")).alias("l"))
+    a, b = [r.f for r in df.select("doc_id", merkle.fingerprint(F.col("l"), merkle.sections(F.col("l"))).alias("f")).orderBy("doc_id").collect()]
+    assert a.split(":")[0] != b.split(":")[0]
+    assert spark.createDataFrame([(a, b)], "x string, y string").select(merkle.locate_edits(F.col("x"), F.col("y"))).first()[0] == [0]
