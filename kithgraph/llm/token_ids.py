@@ -2,7 +2,8 @@
 
 The library's pre-tokenizer cuts a text into pieces that its model encodes on their own, and it
 always cuts before a space that stands before a visible character. So a text is split there, and
-ids are kept by chunk: words come back often, and only new ones pass through the library.
+ids are kept by chunk: words come back often, and only new ones pass through the library. A text that
+holds the name of a special token goes through the library whole, which reads it as that token.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ class _Library:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
         self.library, self.tokenize = whole, whole.model.tokenize
+        self.special = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.size, self.kind = (2, "H") if whole.get_vocab_size() <= 1 << 16 else (4, "I")
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,11 +69,14 @@ def encoder(path: str):
     if path not in _LIBRARIES:
         _LIBRARIES[path] = _Library(path)
     library = _LIBRARIES[path]
-    kind, spaced, plain = f"<u{library.size}", library.spaced.__getitem__, library.plain.__getitem__
+    kind, special, spaced, plain = f"<u{library.size}", library.special, library.spaced.__getitem__, library.plain.__getitem__
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, kind)
+        for name in special:
+            if name in text:
+                return np.array(library.library.encode(text, add_special_tokens=False).ids, kind)
         if _ODD.search(text):
             found = [spaced(c[1:]) if c[0] == " " and len(c) > 1 else plain(c) for c in _CUT.split(text) if c]
         else:

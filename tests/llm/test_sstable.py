@@ -54,3 +54,10 @@ def test_damage_is_seen(tmp_path):
     open(path, "wb").write(raw[:-9])
     with pytest.raises(ValueError):
         sstable.Reader(f"file://{path}")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "a", "é", "\n", "word"]), max_size=12).map("".join))
+def test_special_tokens_are_read_as_the_library_reads_them(text):
+    library = Tokenizer.from_file(token_ids.vocabulary())
+    assert token_ids.encoder(token_ids.vocabulary())(text).tolist() == library.encode(text, add_special_tokens=False).ids
