@@ -56,3 +56,36 @@ def test_small_corpus_with_odd_rows(spark):
     used, least = check(rows, docs, 64)
     assert used <= least * 1.02 + 1
     assert packing.packed_documents(df.limit(0)).count() == 0
+
+
+def test_evolution_saves_bins_where_best_fit_decreasing_does_not():
+    """Triples that fill a bin exactly: best fit spoils some of them."""
+    saved = 0
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        lengths = []
+        for _ in range(60):
+            a, b = int(r.integers(380, 490)), int(r.integers(256, 340))
+            lengths += [a, b, 1024 - a - b]
+        r.shuffle(lengths)
+        packer = packing.Packer(lengths, 1024, seed)
+        start, best = len(packer.born(0.0)), packer.evolve([], 40, 6)[0]
+        assert sorted(i for b in best for i in b) == list(range(180)) and all(sum(lengths[i] for i in b) <= 1024 for b in best)
+        assert len(best) < start
+        saved += start - len(best)
+    assert saved >= 6
+
+
+def test_pieces_that_fill_no_bin_together_end_in_several_levels(spark):
+    docs = spark.createDataFrame([(i, "word " * (30 + i % 25)) for i in range(400)], "doc_id long, text string")
+    rows = packing.packed_documents(docs, capacity=64, problem=40).collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()], 64)
+
+
+def test_special_tokens_and_wide_ids(spark):
+    """By the untouched library; ids beyond 2^53 stay exact beside nulls."""
+    library = Tokenizer.from_file(token_ids.vocabulary())
+    rows = [(2**53 + 1, "x<|endoftext|>y <|endoftext|>"), (None, "<|endoftext|"), (2**53 + 1, "another text"), (-(2**63), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {(i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows}
+    assert {(r.doc_id, r.ids_crc32) for r in packing.packed_documents(docs).collect()} == want
