@@ -1,47 +1,56 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the base spans (kinds assign, access, hex). Beside them, every run of key-like
-characters long enough to judge is a candidate if an encoding can be inferred for it (hex, base32,
-base36, base64; a run of letters in one case, or with one leading capital, is a word and fits none).
-Its symbols, as numbers in the encoding's alphabet, pass three tests of the hypothesis "drawn at
+characters long enough to judge is judged, whether a base span holds it or not, if an encoding can be
+inferred for it: the smallest of hex, base32, base36, base64 that has its symbols, or letters for a run of
+letters in one case. Its symbols, as numbers in the encoding's alphabet, pass three tests of "drawn at
 random": chi-squared uniformity over the alphabet, the number of runs above and below the middle, and
-serial correlation. Fisher's method joins them to one p-value. Over the whole corpus, in strata of
-encoding and length, the Benjamini-Hochberg step-up with Storey's estimate of the random share
-rejects the hypothesis for ordinary strings; at most RATE of these rejections are expected to hit a
-random string. What isn't rejected and lies outside the base spans is a span of kind random.
+serial correlation. Fisher's method joins them to one figure, -log10 p, which is small for random strings.
 
-The driver sees one threshold for each stratum, and there are at most 20 strata.
+The hypothesis to be rejected is "ordinary text". How it looks in the battery is learnt from the corpus: every
+document's text outside the judged runs, squeezed to the symbols of an alphabet (in the alphabet's case), is
+cut from end to end into windows of the bands' lengths, which pass the same tests. Within a stratum of
+encoding and length, the p-value of a run is the share of ordinary windows that look as random as it does, and
+the Benjamini-Hochberg step-up over all runs judged there gives its q-value. A run outside the base spans
+whose q is at most RATE is a span of kind random, so of the random spans of a stratum at most that share is
+expected to be ordinary text. A stratum without enough ordinary windows reports nothing. Of base spans the
+verdict is only reported; they stay.
 
-Defined cases: null text is empty; repeated rows are scanned each; ties in p share their fate; an empty
-table gives no rows; further columns are carried only if asked for.
+The driver sees counts by stratum and step, at most 30 strata of STEP_MOST + 1 steps.
+
+Defined cases: null text is empty; repeated rows are scanned each; ties in the figure share their fate; an
+empty table gives no rows; further columns are carried only if asked for, through Arrow and unchanged.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kithgraph.llm.common import numbered, table, written
 
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST = 20
+SHORTEST = 16
 RATE = 0.01
-#: p-values are kept in steps of -log10(p) / STEPS.
-STEPS = 100
+#: -log10 p of the battery is kept in steps of 1 / STEPS; whatever is less random than STEP_MOST counts as that.
+STEPS, STEP_MOST = 100, 600
 #: Length bands and alphabets.
-BANDS = (20, 28, 40, 64, 128)
+BANDS = (16, 20, 28, 40, 64, 128)
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
 )
 _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr][Dd]|[Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -49,7 +58,12 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}")
 _WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*")
 _TABLES = [{c: i for i, c in enumerate(letters)} for _, letters in ALPHABETS]
-_SPAN = "kind int, start int, end int"
+#: Bytes of ordinary text that an alphabet doesn't have, and the case it is read in.
+_OTHERS = [bytes(b for b in range(256) if b >= 128 or chr(b) not in letters) for _, letters in ALPHABETS]
+_CASES = (bytes.lower, bytes.upper, bytes.lower, bytes, bytes.lower)
+_NUMBERS = [np.array([letters.find(chr(b)) for b in range(128)], np.int16) for _, letters in ALPHABETS]
+#: Windows that pass the tests at a time.
+_BLOCK = 4096
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,82 +90,161 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(run: str, code: int) -> float:
-    """p-value of "drawn at random from this alphabet", by Fisher's method over the three tests."""
-    symbols = _TABLES[code]
-    size = 64 if code == 3 else len(symbols)
-    x = np.array([symbols[c] for c in (run if code in (1, 3) else run.lower())])
-    n = len(x)
-    counts = np.bincount(x, minlength=size)
-    chi = float((counts * counts).sum()) * size / n - n
+def encoding(run: str) -> int | None:
+    """As ``infer``, but a run of letters in one case is read in the alphabet of letters."""
+    code = infer(run)
+    return len(ALPHABETS) - 1 if code is None and run.isascii() and run.isalpha() and _WORD.fullmatch(run) else code
+
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution above z."""
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(np.float64)
+
+
+def tests(x: np.ndarray, size: int) -> np.ndarray:
+    """p-value of "drawn at random from this alphabet" of each row of symbol numbers, by Fisher's method over the three tests."""
+    rows, n = x.shape
+    wide = max(size, int(x.max()) + 1) if x.size else size
+    counts = np.bincount((np.arange(rows)[:, None] * wide + x).reshape(-1), minlength=rows * wide).reshape(rows, wide).astype(np.float64)
     df = size - 1
     # exact mean and variance of the statistic under a multinomial, for few symbols a cell
-    uniform = _normal_tail((chi - df) / math.sqrt(2 * df * (n - 1) / n))
+    uniform = _tail((np.einsum("ij,ij->i", counts, counts) * size / n - n - df) / math.sqrt(2 * df * (n - 1) / n))
     above = x >= size / 2
-    a, b = int(above.sum()), int(n - above.sum())
-    if a and b:
-        runs, mean = 1 + int((above[1:] != above[:-1]).sum()), 2 * a * b / n + 1
-        spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-12))
-        order = 2 * _normal_tail(abs(runs - mean) / spread)
-    else:
-        order = 2.0 ** (1 - n)
-    centred = x - x.mean()
-    power = float((centred * centred).sum())
-    serial = 2 * _normal_tail(abs(float((centred[1:] * centred[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 2.0 ** (1 - n)
-    s = -sum(math.log(max(p, 1e-100)) for p in (uniform, order, serial))
-    return math.exp(-s) * (1 + s + s * s / 2)
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(stratum, step, start, end) of the judged runs outside the base spans."""
+    a = above.sum(axis=1)
+    b, changes = n - a, (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    mean = 2 * a * b / n + 1
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-12))
+    order = np.where((a > 0) & (b > 0), 2 * _tail(np.abs(1 + changes - mean) / spread), 2.0 ** (1 - n))
+    centred = x - x.mean(axis=1, keepdims=True)
+    power = np.einsum("ij,ij->i", centred, centred)
+    product = np.einsum("ij,ij->i", centred[:, 1:], centred[:, :-1])
+    serial = np.where(power > 0, 2 * _tail(np.abs(product / np.maximum(power, 1e-12) + 1 / n) * math.sqrt(n)), 2.0 ** (1 - n))
+    s = -sum(np.log(np.maximum(p, 1e-100)) for p in (uniform, order, serial))
+    return np.exp(-s) * (1 + s + s * s / 2)
+
+
+def _size(code: int) -> int:
+    return 64 if code == 3 else len(ALPHABETS[code][1])
+
+
+def battery(run: str, code: int) -> float:
+    symbols = _TABLES[code]
+    return float(tests(np.array([[symbols[c] for c in (run if code in (1, 3) else run.lower())]]), _size(code))[0])
+
+
+def _steps(p: np.ndarray) -> np.ndarray:
+    return np.minimum(-np.log10(np.maximum(p, 1e-90)) * STEPS, STEP_MOST).astype(np.int64)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+    """(stratum, step, start, end, whether a base span holds it) of the judged runs."""
     found = []
     for m in _CANDIDATE.finditer(text):
         run, (start, end) = m.group(), m.span()
-        code = infer(run)
-        if code is not None and not any(a < end and start < b for _, a, b in base):
+        code = encoding(run)
+        if code is not None:
             band = sum(len(run) >= b for b in BANDS) - 1
-            found.append((code * len(BANDS) + band, int(-math.log10(max(battery(run, code), 1e-90)) * STEPS), start, end))
+            step = int(_steps(np.array([battery(run, code)]))[0])
+            found.append((code * len(BANDS) + band, step, start, end, any(a <= start and end <= b for _, a, b in base)))
     return found
 
 
+def ordinary(texts: list[str]) -> Counter[tuple[int, int]]:
+    """(stratum, step) -> windows of ordinary text; the bands' lengths take turns, beginning at a place that the text's length decides."""
+    seen: Counter[tuple[int, int]] = Counter()
+    plain = [_CANDIDATE.sub("", t).encode("utf-8", "replace") for t in texts]
+    for code, (others, case, numbers) in enumerate(zip(_OTHERS, _CASES, _NUMBERS, strict=True)):
+        squeezed = [case(t).translate(None, others) for t in plain]
+        starts: list[list[int]] = [[] for _ in BANDS]
+        before = 0
+        for t in squeezed:
+            at, left = before, len(t)
+            for band in itertools.cycle((*range(left % len(BANDS), len(BANDS)), *range(left % len(BANDS)))):
+                if left < SHORTEST:
+                    break
+                if left >= BANDS[band]:
+                    starts[band].append(at)
+                    at, left = at + BANDS[band], left - BANDS[band]
+            before += len(t)
+        x = numbers[np.frombuffer(b"".join(squeezed), np.uint8)]
+        for band, places in enumerate(starts):
+            for i in range(0, len(places), _BLOCK):
+                rows = x[np.array(places[i : i + _BLOCK])[:, None] + np.arange(BANDS[band])]
+                for step, n in zip(*np.unique(_steps(tests(rows, _size(code))), return_counts=True), strict=True):
+                    seen[code * len(BANDS) + band, int(step)] += int(n)
+    return seen
+
+
+_BASE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end")]))
+_JUDGED = T.ArrayType(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("stratum", "step", "start", "end")], T.StructField("inside", T.BooleanType())]))
+_ORDINARY = T.ArrayType(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("stratum", "step")], T.StructField("n", T.LongType())]))
+
+
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns (none of them named base, candidates or spans), base (spans) and candidates of every document, from its whole text."""
-    inner = f"base array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>, candidates array<struct<stratum:int,step:int,start:int,end:int>>"
+    """The kept columns (none of them named as the others), base (spans) and candidates of every document, from its whole text.
+
+    Further rows have ``ordinary`` instead, what a batch's ordinary text looks like, and nulls in all other columns.
+    """
     rows = docs.select(*keep, *["text"] * ("text" not in keep))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema.fields[: len(keep)]], T.StructField("base", _BASE), T.StructField("candidates", _JUDGED), T.StructField("ordinary", _ORDINARY)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t or "") for t in batch["text"]]
-            judged = [candidates(t or "", b) for t, b in zip(batch["text"], base, strict=True)]
-            yield batch[list(keep)].assign(base=[[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b in base], candidates=[[dict(zip(("stratum", "step", "start", "end"), s, strict=True)) for s in b] for b in judged])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([(c, pa.int32()) for c in ("kind", "start", "end")]))
+        judged = pa.list_(pa.struct([*[(c, pa.int32()) for c in ("stratum", "step", "start", "end")], ("inside", pa.bool_())]))
+        counted = pa.list_(pa.struct([("stratum", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInPandas(run, f"{kept}, {inner}")
+        def named(kind, lists):
+            return pa.array([[dict(zip([f.name for f in kind.value_type], s, strict=True)) for s in found] for found in lists], kind)
 
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                base = [base_spans(t) for t in texts]
+                kept = [batch.column(c) for c in keep]
+                found = [named(span, base), named(judged, map(candidates, texts, base)), pa.nulls(len(texts), counted)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=schema.names)
+                seen = [[(*k, n) for k, n in ordinary(texts).items()]]
+                if seen[0]:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, a.type) for a in kept], pa.nulls(1, span), pa.nulls(1, judged), named(counted, seen)], names=schema.names)
 
-def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """stratum -> the smallest step (-log10 p * STEPS) at which a string counts as ordinary.
+    return rows.mapInArrow(run, schema)
 
-    Counts by stratum and step are summed in Spark; a window sees the steps of one stratum. With m the
-    estimated number of random strings, p is rejected up to the largest p with p * m <= rate * rank.
-    """
-    counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.step").agg(F.count("*").alias("n"))
-    whole = W.partitionBy("stratum")
-    half = math.log10(2) * STEPS
-    ranked = counts.withColumn("rank", F.sum("n").over(whole.orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("random", F.greatest(F.lit(1.0), 2 * F.coalesce(F.sum(F.when(F.col("step") < half, F.col("n"))).over(whole), F.lit(0))))
-    passing = ranked.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) * F.col("random") <= rate * F.col("rank"))
-    return {r.stratum: r.least for r in passing.groupBy("stratum").agg(F.min("step").alias("least")).collect()}
+
+def q_values(scanned: DataFrame) -> np.ndarray:
+    """q by stratum (row) and step (column), 1 where nothing was judged."""
+    shape = (len(ALPHABETS) * len(BANDS), STEP_MOST + 1)
+
+    def counts(column: str, n) -> np.ndarray:
+        out = np.zeros(shape)
+        for r in scanned.select(F.explode(column).alias("c")).groupBy("c.stratum", "c.step").agg(n.alias("n")).collect():
+            out[r.stratum, r.step] = r.n
+        return out
+
+    return q_of(counts("candidates", F.count("*")), counts("ordinary", F.sum("c.n")))
+
+
+def q_of(judged: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Benjamini-Hochberg q-values from counts of judged runs and of ordinary windows by stratum and step."""
+    p = (1 + plain.cumsum(axis=1)) / (1 + plain.sum(axis=1, keepdims=True))
+    rank = judged.cumsum(axis=1)
+    raw = np.where(judged > 0, p * rank[:, -1:] / np.maximum(rank, 1), 1.0)
+    return np.minimum(np.minimum.accumulate(raw[:, ::-1], axis=1)[:, ::-1], 1.0)
 
 
 def spans(scanned: DataFrame, rate: float = RATE) -> DataFrame:
-    """Adds spans: base and random ones, sorted by start, then kind. ``scanned`` should be written, as it is read twice."""
-    limits = thresholds(scanned, rate)
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else None
-    keep = (lambda c: c["step"] < F.coalesce(limit[c["stratum"]], F.lit(1 << 30))) if limits else (lambda c: F.lit(True))
-    random = F.transform(F.filter("candidates", keep), lambda c: F.struct(F.lit(3).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    """The documents with spans added: base and random ones, sorted by start, then kind; and q, the judged runs' (start, end, q, whether inside a base span). ``scanned`` should be written, as it is read three times."""
+    q = q_values(scanned)
+    by_step = F.array(*[F.split(F.lit(",".join(f"{x:.4g}" for x in row)), ",").cast("array<double>") for row in q])
+    value = lambda c: F.element_at(F.element_at(by_step, c["stratum"] + 1), c["step"] + 1)
+    judged = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), value(c).alias("q"), c["inside"].alias("inside")))
+    rows = scanned.where(F.col("ordinary").isNull()).drop("ordinary").withColumn("q", judged)
+    random = F.transform(F.filter("q", lambda c: ~c["inside"] & (c["q"] <= rate)), lambda c: F.struct(F.lit(3).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     by_start = F.transform(F.array_sort(F.transform(F.concat("base", random), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return scanned.withColumn("spans", by_start)
+    return rows.withColumn("spans", by_start)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
@@ -175,9 +268,23 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> Dat
     return rows.select(*names).toDF(*docs.columns)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans(written(scan(table(spark, sf_dir, "documents")), "secrets"))
+def described(found: DataFrame, rate: float = RATE) -> DataFrame:
+    """The query's columns from the result of ``spans``; n_judged counts the judged runs, base_q lists those in base spans as start:end:q."""
     names = F.array(*map(F.lit, KINDS))
     line = lambda all_of: F.array_join(F.transform(all_of, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    inside = F.filter("q", lambda c: c["inside"])
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+        F.size("q").cast("long").alias("n_judged"),
+        F.array_join(F.transform(inside, lambda c: F.concat_ws(":", c["start"], c["end"], c["q"])), ",").alias("base_q"),
+    )
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(spans(written(scan(table(spark, sf_dir, "documents")), "secrets")))
