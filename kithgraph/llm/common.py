@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kithgraph.storage import shared_dir, written  # noqa: F401
 
@@ -29,6 +33,17 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return docs.toDF(*names), names
 
 
+def with_computed(rows: DataFrame, keep: tuple[str, ...], added: dict[str, T.DataType], work: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """The kept columns and those that ``work`` computes from each Arrow batch. Kept columns cross Python unchanged: pandas would turn a long beside a null into a double."""
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in keep], *[T.StructField(c, kind) for c, kind in added.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *work(batch)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def with_bucket_offsets(df: DataFrame, keys: list[str], bucket: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same keys in smaller buckets.
 

@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kithgraph.llm.common import fresh, table, written
+from kithgraph.llm.common import fresh, table, with_computed, written
 from kithgraph.llm.components import components
 
 RADIUS = 3
@@ -55,14 +57,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id and fp (signed 64 bits) of every row; and row, the long column of that name, if one is named."""
-    kept = ["doc_id"] if row is None else ["doc_id", "row"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows[kept].assign(fp=np.fromiter(map(fingerprint, rows["text"]), np.int64, len(rows)))
-
+    kept = ("doc_id",) if row is None else ("doc_id", "row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([] if row is None else [F.col(row).alias("row")]))
-    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
+    return with_computed(rows, kept, {"fp": T.LongType()}, lambda batch: [pa.array([*map(fingerprint, batch.column("text").to_pylist())], pa.int64())])
 
 
 def _far(points: np.ndarray, vantage: np.uint64) -> np.ndarray:

@@ -70,3 +70,35 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r[2], r.doc_id) for r in got.collect()), key=str) == [("A", 2), ("B", 5), ("C", None), ("D", None), ("E", None), ("F", 7)]
+
+
+def plain_simhash(text):
+    """Bit by bit, with an XXH64 of its own over whole shingles."""
+    import xxhash
+
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    votes = [0] * 64
+    for s in shingles:
+        h = int.from_bytes(xxhash.xxh64(s.encode(), seed=42).digest(), "big")
+        for bit in range(64):
+            votes[bit] += h >> bit & 1
+    return sum(1 << bit for bit in range(64) if 2 * votes[bit] > len(shingles))
+
+
+def test_fingerprints_are_simhashes(spark):
+    texts = ["one two three four", "One\tTWO\nthree", "a", "a b", "ÄÖ Äö   x", "repeat repeat repeat repeat", " \r\n", None, "x " * 3000, "tie a", "straße STRASSE   wide"]
+    assert [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts] == [plain_simhash(t) for t in texts]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: plain_simhash(r.text) for r in docs.collect()}
+    got = {r.doc_id: int(r.fingerprint, 16) for r in simhash.query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
+def test_wide_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "a b c d"), (None, "other words here now"), (2**53 + 1, "third text of all"), (-(2**63) + 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id for r in simhash.groups(docs).collect()), key=str) == sorted((i for i, _ in rows), key=str)
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == set(rows)
