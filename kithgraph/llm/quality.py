@@ -5,30 +5,28 @@ last one ends with the text). In a chunk, learned filters pass over embedded byt
 its largest answer. Mean, maximum and minimum over the chunks go through one hidden layer to a
 probability. Training (Adam, cross-entropy) only passes gradients through the winning positions.
 
-The network is fitted on the driver on at most TRAIN_ROWS labelled documents of at most TRAIN_BYTES
-bytes, those of smallest hash of their doc_id; scoring reads every byte of every document in tasks.
+The network is fitted on the driver on all chunks of at most TRAIN_ROWS labelled documents, those of
+smallest hash of their doc_id whatever their length; scoring reads every byte of every document in tasks.
 
 Defined cases: null and empty texts are one chunk of padding and get a score; a null label and rows
 without a label teach nothing; with no usable label, or only one class, the score is that of the
-smoothed base rate; repeated rows are scored each; an empty table gives no rows; other columns are
+smoothed base rate; of texts that share a doc_id the smallest teaches; repeated rows are scored each; an empty table gives no rows; other columns are
 never inputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kithgraph.llm.common import numbered, table
+from kithgraph.llm.common import numbered, table, with_computed
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
 TRAIN_ROWS = 2000
-TRAIN_BYTES = 32_000
 #: Passes over the sample; more of them where it is small, for STEPS_LEAST steps.
 EPOCHS = 8
 STEPS_LEAST = 250
@@ -140,13 +138,13 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> ByteConv:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteConv:
     """A network for P(quality = 1), from labelled documents that aren't held out."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_size"), "text").where(F.col("_size") <= most_bytes)
-    picked = known.join(sized.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = sized.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_quality")
-    found = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    picked = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_quality").agg(F.min("text").alias("text"))
+    found = sorted(sample.collect(), key=lambda r: r.doc_id)
     y = np.array([r._quality for r in found], np.float32)
     net = ByteConv(float((y.sum() + 1) / (len(y) + 2)))
     if len(set(y.tolist())) < 2:
@@ -159,21 +157,19 @@ def scores(docs: DataFrame, net: ByteConv, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns (none of them named score) and score of every document; a text crosses to Python once."""
     rows = docs.select(*keep, *["text"] * ("text" not in keep))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            out, i = [], 0
-            while i < len(texts):  # about a megabyte at a time
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
-                    size += len(texts[j])
-                    j += 1
-                out.append(net.score(texts[i:j]))
-                i = j
-            yield batch[list(keep)].assign(score=np.concatenate(out) if out else np.empty(0))
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInPandas(run, f"{kept}, score double")
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        out, i = [], 0
+        while i < len(texts):  # about a megabyte at a time
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
+                size += len(texts[j])
+                j += 1
+            out.append(net.score(texts[i:j]))
+            i = j
+        return [pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())]
+
+    return with_computed(rows, keep, {"score": T.DoubleType()}, work)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -59,3 +59,42 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.keep_good(docs.drop("score"), labels).count() == 5
     assert quality.scores(docs.limit(0), net).count() == 0
+
+
+def naive_score(net, text):
+    """The network position by position, in plain loops."""
+    p, size = net.p, quality.CHUNK
+    data = list(text) if len(text) > size else [*text, *[256] * (size - len(text))]
+    starts = [0] if len(data) == size else [*range(0, len(data) - size, quality.STEP), len(data) - size]
+    answers = []
+    for s in starts:
+        e = [p["embed"][b] for b in data[s : s + size]]
+        row = []
+        for f in range(quality.FILTERS):
+            best = max(sum(float(e[i + w] @ p["filter"][w * quality.EMBED : (w + 1) * quality.EMBED, f]) for w in range(quality.WIDTH)) for i in range(0, size - quality.WIDTH + 1, quality.STRIDE))
+            row.append(max(0.0, best + float(p["bias"][f])))
+        answers.append(row)
+    columns = list(zip(*answers, strict=True))
+    d = [*[sum(c) / len(c) for c in columns], *map(max, columns), *map(min, columns)]
+    z = [np.tanh(sum(x * float(p["hidden"][i, k]) for i, x in enumerate(d)) + float(p["shift"][k])) for k in range(quality.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(x * float(p["out"][k]) for k, x in enumerate(z)) + float(p["base"][0]))))
+
+
+def test_scores_match_plain_loops():
+    r = np.random.default_rng(4)
+    net = quality.ByteConv(0.3, seed=9)
+    net.p["bias"] += 0.1
+    texts = [b"", b"short text", bytes(r.integers(0, 256, 256, np.uint8)), bytes(r.integers(0, 256, 700, np.uint8))]
+    assert np.allclose(net.score(texts), [naive_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_wide_ids_and_long_texts_teach(spark):
+    rows = [(2**53 + 1, "good " * 9000), (2**53 + 1, "good words"), (None, "x"), (2**53 + 3, "bad words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(2**53 + 1, 1), (2**53 + 3, 0)], "doc_id long, quality int")
+    net = quality.train(docs, labels)
+    again = quality.train(docs.repartition(3), labels)
+    assert all((net.p[k] == again.p[k]).all() for k in net.p)
+    assert sorted((r.doc_id for r in quality.scores(docs, net).collect()), key=str) == sorted((i for i, _ in rows), key=str)
+    wide = spark.createDataFrame([(1, "a", 2**53 + 1), (2, "b", None)], "doc_id long, text string, n_chars long").coalesce(1)
+    assert {r.n_chars for r in quality.scores(wide, net, ("doc_id", "n_chars")).collect()} == {2**53 + 1, None}
