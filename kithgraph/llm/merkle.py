@@ -3,11 +3,10 @@
 A text is cut into paragraphs: its lines, and within a long line each run of WORDS words; cut end to
 end they give the text back. A leaf is a hash of a paragraph, a section hash covers SECTION leaves in
 order, and the root covers the sections. The fingerprint is ``root:sections:leaves``, all digests at
-full width (32 hex digits) unless fewer are asked for. Equal roots of full digests mean equal texts. The
-query's SQL fixes its sections and leaves, and what their hashes cover, at 8 digits: there a text of one
-section has a root of 32 bits, so equal roots only suggest equal texts. Where roots differ, differing sections and then differing
-leaves in them locate the edits. Likeness of two fingerprints is 1 for equal roots, else the share of
-leaves in common (Dice, each different leaf once).
+full width (32 hex digits). Equal roots mean equal texts. Where roots differ, differing sections and then
+differing leaves in them locate the edits. The likeness of two trees is the share of their nodes (root,
+sections, leaves) in common, a node as often as both have it: 1 for equal roots, and less for all others.
+``compare_with_edits`` can also give the share of different leaves in common, from shorter digests.
 
 Defined cases: null text is empty, with no leaves; two empty texts are alike (1); rows without doc_id
 stand last in descending order; repeated doc_ids stand in descending order of text; one row is its own
@@ -26,8 +25,8 @@ from kithgraph.llm.common import table, written
 
 WORDS = 8
 SECTION = 16
-#: Hex digits of a section or leaf: all of an md5, and those of the query's SQL.
-FULL, SHORT = 32, 8
+#: Hex digits of a section or leaf: all of an md5.
+FULL = 32
 #: Rows of neighbouring documents that a window holds, about.
 WINDOW_ROWS = 2048
 _INTERVALS = 64
@@ -52,11 +51,33 @@ def fingerprint(leaf: Column, section: Column) -> Column:
 
 
 def likeness(leaf_a: Column, leaf_b: Column) -> Column:
-    """0 to 1, from the leaves of two fingerprints."""
+    """0 to 1, from the leaves of two fingerprints: the share in common, each different leaf once."""
     a, b = F.array_distinct(leaf_a), F.array_distinct(leaf_b)
     return F.when(leaf_a == leaf_b, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
+def _with_nodes(rows: DataFrame, trees: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds for each name the sections and leaves of a tree (names of columns), every digest with the number of its occurrence, so that they are all different.
+
+    Digests are sorted, and runs of equal ones are numbered through, so the work is that of sorting.
+    """
+    steps = [
+        ("s", lambda k, leaf, section: F.array_sort(F.concat(leaf, section))),
+        ("p", lambda k, leaf, section: F.filter(F.zip_with(F.sequence(F.lit(0), F.size(f"_{k}s")), F.zip_with(f"_{k}s", F.concat(F.array(F.lit(None).cast("string")), f"_{k}s"), lambda x, before: ~x.eqNullSafe(before)), lambda i, new: F.when(new, i)), lambda i: i.isNotNull())),
+        ("c", lambda k, leaf, section: F.zip_with(F.array_distinct(f"_{k}s"), F.zip_with(f"_{k}p", F.slice(f"_{k}p", 2, F.greatest(F.lit(0), F.size(f"_{k}p"))), lambda a, b: b - a), lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(":", x, i)))),
+        ("", lambda k, leaf, section: F.flatten(F.filter(f"_{k}c", lambda c: c.isNotNull()))),
+    ]
+    for suffix, step in steps:
+        rows = rows.withColumns({f"_{k}{suffix}" if suffix else k: step(k, F.col(leaf), F.col(section)) for k, (leaf, section) in trees.items()})
+    return rows.drop(*[f"_{k}{suffix}" for k in trees for suffix, _ in steps if suffix])
+
+
+def tree_likeness(nodes_a: Column, nodes_b: Column, same: Column) -> Column:
+    """0 to 1, from two trees' numbered nodes and whether their roots are equal; 1 for equal roots only."""
+    common = F.size(F.array_intersect(nodes_a, nodes_b)) + F.when(same, 1).otherwise(0)
+    return F.lit(2.0) * common / (F.size(nodes_a) + F.size(nodes_b) + 2)
+
+
 def _digests(part: Column, digits: int) -> Column:
     return F.regexp_extract_all(part, F.lit(f"[0-9a-f]{{{digits}}}"), F.lit(0))
 
@@ -65,11 +86,16 @@ def locate_edits(a: Column, b: Column, digits: int = FULL) -> Column:
     """Numbers (from 0) of the leaves of fingerprint ``b`` that differ from those of ``a`` at their place; only differing sections are opened."""
     sa, sb = _digests(F.split_part(a, F.lit(":"), F.lit(2)), digits), _digests(F.split_part(b, F.lit(":"), F.lit(2)), digits)
     la, lb = _digests(F.split_part(a, F.lit(":"), F.lit(3)), digits), _digests(F.split_part(b, F.lit(":"), F.lit(3)), digits)
+    return located(sa, sb, la, lb)
+
+
+def located(sections_a: Column, sections_b: Column, leaves_a: Column, leaves_b: Column) -> Column:
+    """As ``locate_edits``, from the digests."""
     some = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     unlike = lambda x, y, i: ~F.get(x, i).eqNullSafe(F.get(y, i))
-    opened = F.filter(some(F.size(sb)), lambda s: unlike(sa, sb, s))
+    opened = F.filter(some(F.size(sections_b)), lambda s: unlike(sections_a, sections_b, s))
     inside = F.flatten(F.transform(opened, lambda s: F.transform(F.sequence(F.lit(0), F.lit(SECTION - 1)), lambda i: s * SECTION + i)))
-    return F.filter(inside, lambda i: (i < F.size(lb)) & unlike(la, lb, i))
+    return F.filter(inside, lambda i: (i < F.size(leaves_b)) & unlike(leaves_a, leaves_b, i))
 
 
 def with_next_text(docs: DataFrame, out: str = "next_text") -> DataFrame:
@@ -100,14 +126,18 @@ def with_next_text(docs: DataFrame, out: str = "next_text") -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("_lead", "head").alias(out))
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text (second half replaced from the next document), and their likeness."""
+def with_edits(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256; leaves of the text (l), the edited text (e: second half replaced from the next document) and the next (n); sections of all (s, t, u)."""
     rows = with_next_text(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[leaves(F.col(c), digits=SHORT).alias(c[0]) for c in ("edited", "next_text")], leaves(F.col("text"), digits=SHORT).alias("l"))
-    rows = rows.withColumns({"s": sections(F.col("l"), SHORT), "t": sections(F.col("e"), SHORT)})
-    return rows.select(
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[leaves(F.col(c)).alias(a) for c, a in (("text", "l"), ("edited", "e"), ("next_text", "n"))])
+    return rows.withColumns({"s": sections(F.col("l")), "t": sections(F.col("e")), "u": sections(F.col("n"))})
+
+
+def compare_with_edits(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and the share of their leaves in common."""
+    return with_edits(docs).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -118,8 +148,23 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     )
 
 
+def compare_trees(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and of its edited text, the likeness of the whole trees, and the numbers (from 0, comma-joined) of the leaves in which the edited text differs."""
+    rows = _with_nodes(with_edits(docs), {"a": ("l", "s"), "b": ("e", "t"), "c": ("n", "u")})
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint(F.col("l"), F.col("s")).alias("fingerprint"),
+        fingerprint(F.col("e"), F.col("t")).alias("edited_fingerprint"),
+        tree_likeness(F.col("a"), F.col("b"), F.col("s") == F.col("t")).alias("near_edited"),
+        tree_likeness(F.col("a"), F.col("c"), F.col("s") == F.col("u")).alias("near_next"),
+        F.array_join(located(F.col("s"), F.col("t"), F.col("l"), F.col("e")), ",").alias("edits"),
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_edits(table(spark, sf_dir, "documents"))
+    return compare_trees(table(spark, sf_dir, "documents"))
 
 
 ORACLE = rf"""
@@ -134,20 +179,30 @@ WITH rows AS (
   SELECT *, concat(substring(text, 1, n_chars - n_chars // 2), substring(next_text, 1, n_chars // 2)) AS edited FROM paired
 ), leafed AS (
   SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
-    list_transform(regexp_extract_all(text, '{paragraph_pattern()}'), lambda p: substring(md5(p), 1, 8)) AS l,
-    list_transform(regexp_extract_all(edited, '{paragraph_pattern()}'), lambda p: substring(md5(p), 1, 8)) AS e,
-    list_transform(regexp_extract_all(next_text, '{paragraph_pattern()}'), lambda p: substring(md5(p), 1, 8)) AS n
+    list_transform(regexp_extract_all(text, '{paragraph_pattern()}'), lambda p: md5(p)) AS l,
+    list_transform(regexp_extract_all(edited, '{paragraph_pattern()}'), lambda p: md5(p)) AS e,
+    list_transform(regexp_extract_all(next_text, '{paragraph_pattern()}'), lambda p: md5(p)) AS n
   FROM changed
 ), sectioned AS (
   SELECT *,
-    array_to_string(list_transform(range(0, len(l), {SECTION}), lambda i: substring(md5(array_to_string(l[i + 1 : i + {SECTION}], '')), 1, 8)), '') AS s,
-    array_to_string(list_transform(range(0, len(e), {SECTION}), lambda i: substring(md5(array_to_string(e[i + 1 : i + {SECTION}], '')), 1, 8)), '') AS t
+    list_transform(range(0, len(l), {SECTION}), lambda i: md5(array_to_string(l[i + 1 : i + {SECTION}], ''))) AS s,
+    list_transform(range(0, len(e), {SECTION}), lambda i: md5(array_to_string(e[i + 1 : i + {SECTION}], ''))) AS t,
+    list_transform(range(0, len(n), {SECTION}), lambda i: md5(array_to_string(n[i + 1 : i + {SECTION}], ''))) AS u
   FROM leafed
+), sorted AS (
+  SELECT *, list_sort(list_concat(l, s)) AS ls, list_sort(list_concat(e, t)) AS es, list_sort(list_concat(n, u)) AS ns FROM sectioned
+), numbered AS (
+  SELECT *,
+    list_transform(ls, lambda x, i: concat(x, ':', i - list_position(ls, x))) AS a,
+    list_transform(es, lambda x, i: concat(x, ':', i - list_position(es, x))) AS b,
+    list_transform(ns, lambda x, i: concat(x, ':', i - list_position(ns, x))) AS c
+  FROM sorted
 )
 SELECT doc_id, n_chars, edited_sha256,
-  concat_ws(':', md5(s), s, array_to_string(l, '')) AS fingerprint,
-  concat_ws(':', md5(t), t, array_to_string(e, '')) AS edited_fingerprint,
-  CASE WHEN l = e THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(l, e)) / (len(list_distinct(l)) + len(list_distinct(e))) END AS near_edited,
-  CASE WHEN l = n THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(l, n)) / (len(list_distinct(l)) + len(list_distinct(n))) END AS near_next
-FROM sectioned
+  concat_ws(':', md5(array_to_string(s, '')), array_to_string(s, ''), array_to_string(l, '')) AS fingerprint,
+  concat_ws(':', md5(array_to_string(t, '')), array_to_string(t, ''), array_to_string(e, '')) AS edited_fingerprint,
+  2.0::DOUBLE * (len(list_intersect(a, b)) + CASE WHEN s = t THEN 1 ELSE 0 END) / (len(a) + len(b) + 2) AS near_edited,
+  2.0::DOUBLE * (len(list_intersect(a, c)) + CASE WHEN s = u THEN 1 ELSE 0 END) / (len(a) + len(c) + 2) AS near_next,
+  array_to_string(list_filter(range(0, len(e)), lambda i: e[i + 1] IS DISTINCT FROM l[i + 1]), ',') AS edits
+FROM numbered
 """
