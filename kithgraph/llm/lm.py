@@ -9,12 +9,16 @@ P(word) = P(class | state) P(word | class, state). All other words, known or not
 classes by their last two bytes, with P(word | bucket) = (count + 1) / (sum of counts + 1 over the
 bucket's known words, + 1 for an unknown one). Output biases start at the unigram model.
 
-Training uses every training document once: in each of ROUNDS rounds, each task trains the current
-model on its share of one slice by truncated backpropagation (windows of WINDOW tokens over many
-lanes, Adam), and the tasks' weights are averaged by tokens, in groups of at most FAN tasks at a time.
+Training uses every training document once. A text is encoded once, into a written table of units; in
+each of ROUNDS rounds the documents of one slice, dealt by a hash of id and text to groups of about
+GROUP tokens, train the current model by truncated backpropagation: windows of WINDOW tokens over many
+lanes (Adam), the state carried from window to window through a whole document however long it is, and
+cleared only where a document starts. The groups' weights are averaged by tokens, FAN of them at a
+time. The groups follow from the table alone, so scores don't change with the cluster's layout (but
+for the last digits of sums).
 
 Scoring carries the state across windows from a document's first token to its end; many documents run
-side by side in lanes.
+side by side in lanes. Columns pass through Arrow unchanged, so ids of any size stay exact beside nulls.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and are scored each;
 a null doc_id is read as empty text for the split; with no training rows every count is 0; an empty
@@ -24,6 +28,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +46,18 @@ FOLDS, HELD_FOLD = 7, 2
 RANKED = 100_000
 WORDS, CLASS, BUCKETS = 2048, 64, 64
 STATE, EMBED = 32, 24
-WINDOW, LANES, LEAST_STEPS = 16, 512, 80
+WINDOW, LANES, LEAST_STEPS = 32, 256, 80
 ROUNDS = 2
 RATE = 6e-3
-#: Training cuts longer documents into segments; scoring never cuts.
+#: Targets of a training step at least: where only the ends of long documents are left, their windows are joined to segments of so many.
 SEGMENT = 512
+#: Tokens of a training group, about.
+GROUP = 2_000_000
 FAN = 64
 _CHUNK = 4_000_000
+#: Rows of the output layer that are worked on at a time, so that they stay in the processor's cache.
+_ROWS = 1024
+_TEXTS = 512
 _END = b""
 _CLASSES = WORDS // CLASS + BUCKETS
 _START = WORDS + BUCKETS
@@ -64,23 +75,32 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_FOLD)
 
 
+def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """A text column as UTF-8; null is empty."""
+    return [t or b"" for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """word (binary; empty: the end), n over the training documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+
+        def found():
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(words_of(text))
-            seen[_END] += len(batch)
+            for text in _texts(batch):
+                seen.update(text.lower().split())
+            seen[_END] += batch.num_rows
             if len(seen) > 400_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                yield found()
                 seen.clear()
         if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            yield found()
 
     training = _held(docs.select("doc_id", "text")).where(~F.col("held_out")).select("text")
-    return training.mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -101,21 +121,31 @@ class Vocabulary:
 
     def prepare(self):
         """In a task: the look-up table, and log10(count + 1)."""
-        self.rank = {w: i for i, w in enumerate(self.words)}
+        self.rank = _Ranks((w, i) for i, w in enumerate(self.words))
         self.unit = np.array([i if i < WORDS else WORDS + bucket_of(w) for i, w in enumerate(self.words)], np.int32)
         self.log = np.log10(self.n + 1)
         return self
 
+    def encode_words(self, words: list[bytes], count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (-1: not ranked) and units of the network of the words; ``count`` of them, if ``words`` is an iterator."""
+        ranks = np.fromiter(map(self.rank.__getitem__, words), np.int32, len(words) if count is None else count)
+        units, far = self.unit[np.maximum(ranks, 0)], np.flatnonzero(ranks < 0)
+        units[far] = WORDS - 1 - ranks[far]
+        ranks[far] = -1
+        return ranks, units
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ranks (-1: not ranked) and units of the network of each token with the end, and the words that aren't ranked."""
-        words = words_of(text)
-        rank = self.rank
-        ranks = np.array([*[rank.get(w, -1) for w in words], 0], np.int64)
-        units, rare = self.unit[ranks], []
-        if len(far := np.flatnonzero(ranks < 0)):
-            rare = [words[i] for i in far.tolist()]
-            units[far] = [WORDS + bucket_of(w) for w in rare]
-        return ranks, units, rare
+        """Ranks and units of each token with the end, and the words that aren't ranked."""
+        words = [*words_of(text), _END]
+        ranks, units = self.encode_words(words)
+        return ranks, units, [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
+
+
+class _Ranks(dict):
+    """word -> rank; -1 - its bucket for a word without rank."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - bucket_of(word)
 
 
 class GatedLM:
@@ -124,6 +154,7 @@ class GatedLM:
     def __init__(self, vocabulary: Vocabulary | None = None, seed: int = 11):
         r = np.random.default_rng(seed)
         normal = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
+        self.rooms: dict[str, np.ndarray] = {}
         self.p = {
             "embed": normal(_START + 1, EMBED, scale=0.3),
             "input": normal(EMBED, 3 * STATE, scale=EMBED**-0.5),
@@ -144,142 +175,245 @@ class GatedLM:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
     def load(self, flat: np.ndarray) -> GatedLM:
+        return self._view(flat.astype(np.float32))
+
+    def _view(self, flat: np.ndarray) -> GatedLM:
+        """From now on the parameters are parts of ``flat``."""
         at = 0
         for k in sorted(self.p):
             size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            self.p[k] = flat[at : at + size].reshape(self.p[k].shape)
             at += size
         return self
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False):
-        """The state after each of the inputs x (time, lane), from h; a start sets its lane to zero first."""
+    def _room(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        """An array of undefined content that the next call with this name takes back: fresh memory for every window costs more than the work on it."""
+        size = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < size or self.rooms[name].dtype != kind:
+            self.rooms[name] = np.empty(size, kind)
+        return self.rooms[name][:size].reshape(shape)
+
+    def _parts(self, weights: np.ndarray) -> list[np.ndarray]:
+        """The columns of both gates (update, reset) and those of the candidate, each contiguous."""
+        return [np.ascontiguousarray(weights[:, : 2 * STATE]), np.ascontiguousarray(weights[:, 2 * STATE :])]
+
+    def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False, passing: bool = False):
+        """The state after each of the inputs x (time, lane), from h; a start sets its lane to zero first.
+
+        With ``keep_all`` also what the way back needs: states before each step, both gates, candidate, and its recurrent part.
+        These, and with ``passing`` the states, last until the next call.
+        """
         p, (steps, lanes) = self.p, x.shape
-        sign = np.ones(3 * STATE, np.float32)
-        sign[: 2 * STATE] = -1  # the gates' sums are needed negated
-        table_, loop = (p["embed"] @ p["input"] + p["gate"]) * sign, p["loop"] * sign
-        fed, out, kept, starts = table_[x], np.empty((steps, lanes, STATE), h.dtype), [], x == _START
+        kind = np.result_type(p["loop"].dtype, h.dtype)
+        fed, loops = self._parts(p["embed"] @ p["input"] + p["gate"]), self._parts(p["loop"])
+        fed[0] *= -1  # the gates' sums are needed negated
+        loops[0] *= -1
+        every = self._room("every", (steps + 1, lanes, STATE), kind) if keep_all or passing else np.empty((steps + 1, lanes, STATE), kind)
+        every[0] = h
+        size = steps if keep_all else 1
+        gates = self._room("gates", (size, lanes, 2 * STATE), kind)
+        candidates, mixed, row, rows = (self._room(name, (*lead, lanes, width), kind) for name, lead, width in (("candidates", (size,), STATE), ("mixed", (size,), STATE), ("row", (), STATE), ("rows", (), 2 * STATE)))
+        reset = x == _START
+        at_start = reset.any(axis=1).tolist()
         with np.errstate(over="ignore"):
             for t in range(steps):
-                if starts[t].any():
-                    h = h.copy()
-                    h[starts[t]] = 0
-                u = h @ loop
-                g = fed[t, :, : 2 * STATE] + u[:, : 2 * STATE]
+                k = t if keep_all else 0
+                g, n, u, before, new = gates[k], candidates[k], mixed[k], every[t], every[t + 1]
+                if at_start[t]:
+                    before = np.where(reset[t][:, None], kind.type(0), before)
+                np.matmul(before, loops[0], out=g)
+                np.take(fed[0], x[t], axis=0, out=rows, mode="clip")
+                g += rows
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
-                z, r = g[:, :STATE], g[:, STATE:]
-                un = u[:, 2 * STATE :]
-                n = r * un
-                n += fed[t, :, 2 * STATE :]
+                np.matmul(before, loops[1], out=u)
+                np.take(fed[1], x[t], axis=0, out=row, mode="clip")
+                np.multiply(g[:, STATE:], u, out=n)
+                n += row
                 np.tanh(n, out=n)
-                new = h - n
-                new *= z
+                np.subtract(before, n, out=new)
+                new *= g[:, :STATE]
                 new += n
-                if keep_all:
-                    kept.append((h, un, z, r, n))
-                h = out[t] = new
-        return out, h, kept
-
-    def _classes(self, h: np.ndarray) -> np.ndarray:
-        """The classes' logits, at most 0."""
-        a = h @ self.p["class"]
-        a += self.p["class_base"]
-        a -= a.max()
-        return a
-
-    def _by_class(self, y: np.ndarray):
-        """(class, rows) of the targets that are words."""
-        c = np.where(y < WORDS, y // CLASS, -1)
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(WORDS // CLASS + 1))
-        return [(k, order[cuts[k] : cuts[k + 1]]) for k in range(WORDS // CLASS) if cuts[k] < cuts[k + 1]]
+        return every[1:], every[steps], (every, gates, candidates, mixed, reset)
+
+    def _sorted(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Rows with a target in the order of its class, their classes, and where each class of words starts."""
+        inner = WORDS // CLASS
+        c = np.where(y < 0, _CLASSES, np.where(y < WORDS, y // CLASS, y - WORDS + inner)).astype(np.uint16)
+        order = np.argsort(c, kind="stable")[: int((y >= 0).sum())]
+        c = c[order]
+        return order, c.astype(np.int64), np.searchsorted(c, np.arange(inner + 1)).tolist()
+
+    def _weights(self):
+        """The output layers' weights, with bases lowered so that no logit of a state, which is inside (-1, 1), is over 60; and whether rows may lie so far below that they need a maximum of their own."""
+        p = self.p
+        words, reach = p["word_base"].reshape(-1, CLASS), np.abs(p["word"]).sum(axis=1).reshape(-1, CLASS)
+        most, most_in = float((p["class_base"] + np.abs(p["class"]).sum(axis=0)).max()), (words + reach).max(axis=1, keepdims=True)
+        least, least_in = float((p["class_base"] - np.abs(p["class"]).sum(axis=0)).max()), (words - reach).max(axis=1, keepdims=True)
+        far = most - least > 130 or float((most_in - least_in).max()) > 130
+        kind = p["word"].dtype.type
+        return p["class"], p["class_base"] - kind(most - 60), p["word"], (words - (most_in - kind(60))).reshape(-1), far
+
+    @staticmethod
+    def _exp(a: np.ndarray, far: bool) -> np.ndarray:
+        """exp in place, each row up to a factor."""
+        if far:
+            a -= a.max(axis=1, keepdims=True)
+        return np.exp(a, out=a)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(unit y) at each state; of a bucket as a whole."""
-        a = self._classes(h)
-        c = np.where(y < WORDS, y // CLASS, y - WORDS + WORDS // CLASS)
-        out = a[np.arange(len(y)), c].astype(np.float64)
-        out -= np.log(np.exp(a, out=a) @ np.ones(_CLASSES, a.dtype))
-        for k, rows in self._by_class(y):
-            at = slice(k * CLASS, (k + 1) * CLASS)
-            w = h[rows] @ self.p["word"][at].T + self.p["word_base"][at]
-            w -= w.max()
-            picked = w[np.arange(len(rows)), y[rows] - k * CLASS]
-            out[rows] += picked - np.log(np.exp(w, out=w) @ np.ones(CLASS, w.dtype))
+        outer, outer_base, inner, inner_base, far = self._weights()
+        order, c, cuts = self._sorted(y)
+        h, y, found = h[order], y[order], np.empty(len(order))
+        ones = np.ones(max(_CLASSES, CLASS), h.dtype)
+        for at in range(0, len(order), _ROWS):
+            a = h[at : at + _ROWS] @ outer
+            a += outer_base
+            found[at : at + _ROWS] = self._share(a, c[at : at + _ROWS], ones, far)
+        for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for at in range(start, end, _ROWS):
+                to, of = min(end, at + _ROWS), slice(k * CLASS, (k + 1) * CLASS)
+                a = h[at:to] @ inner[of].T
+                a += inner_base[of]
+                found[at:to] += self._share(a, y[at:to] - k * CLASS, ones, far)
+        out = np.empty(len(order))
+        out[order] = found
         return out
 
+    def _share(self, a: np.ndarray, target: np.ndarray, ones: np.ndarray, far: bool) -> np.ndarray:
+        """Log of each row's share of exp(a) at its target."""
+        picked = np.arange(len(a)) * a.shape[1] + target
+        e = self._exp(a, far)
+        with np.errstate(divide="ignore"):
+            return np.log(e.reshape(-1)[picked] / (e @ ones[: a.shape[1]]))
+
     def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray):
         """Of the mean cross-entropy over targets y >= 0, back to the start of the window; and the last state."""
         p, (steps, lanes) = self.p, x.shape
-        out, last, kept = self.states(x, h0, keep_all=True)
-        h, target = out.reshape(-1, STATE), y.reshape(-1)
-        live = target >= 0
-        scale = np.float32(1 / max(1, live.sum()))
-        da = self._classes(h)
-        np.exp(da, out=da)
-        c = np.where(target < WORDS, target // CLASS, target - WORDS + WORDS // CLASS)
-        da *= (live * scale / (da @ np.ones(_CLASSES, da.dtype)))[:, None]
-        da[np.flatnonzero(live), c[live]] -= scale
-        g = {"class": h.T @ da, "class_base": da.sum(axis=0), "word": np.zeros_like(p["word"]), "word_base": np.zeros_like(p["word_base"])}
-        dh = da @ p["class"].T
-        for k, rows in self._by_class(np.where(live, target, WORDS)):
-            at = slice(k * CLASS, (k + 1) * CLASS)
-            seen = h[rows]
-            w = seen @ p["word"][at].T + p["word_base"][at]
-            w -= w.max()
-            np.exp(w, out=w)
-            w *= (scale / (w @ np.ones(CLASS, w.dtype)))[:, None]
-            w[np.arange(len(rows)), target[rows] - k * CLASS] -= scale
-            g["word"][at], g["word_base"][at] = w.T @ seen, w.sum(axis=0)
-            dh[rows] += w @ p["word"][at]
-        dh = dh.reshape(steps, lanes, STATE)
-        fed, du = np.empty((steps, lanes, 3 * STATE), np.float32), np.empty((steps, lanes, 3 * STATE), np.float32)
-        back, loop = np.zeros((lanes, STATE), np.float32), p["loop"].T.copy()
+        out, last, (every, gates, candidates, mixed, reset) = self.states(x, h0, keep_all=True)
+        kind = every.dtype
+        outer, outer_base, inner, inner_base, far = self._weights()
+        order, c, cuts = self._sorted(y.reshape(-1))
+        target, h = y.reshape(-1)[order], self._room("states", (len(order), STATE), kind)
+        np.take(out.reshape(-1, STATE), order, axis=0, out=h, mode="clip")
+        scale, ones = kind.type(1 / max(1, len(order))), np.ones(max(_CLASSES, CLASS, _ROWS), kind)
+        g = {k: np.zeros_like(p[k]) for k in ("class", "class_base", "word", "word_base")}
+        back, turned = self._room("back", h.shape, kind), np.ascontiguousarray(outer.T)
+
+        def layer(at: int, to: int, weights, base, aim, into, into_base) -> np.ndarray:
+            a = h[at:to] @ weights
+            a += base
+            self._exp(a, far)
+            a *= (scale / (a @ ones[: a.shape[1]]))[:, None]
+            a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= scale
+            into += h[at:to].T @ a
+            into_base += ones[: to - at] @ a
+            return a
+
+        for at in range(0, len(order), _ROWS):
+            to = min(len(order), at + _ROWS)
+            a = layer(at, to, outer, outer_base, c[at:to], g["class"], g["class_base"])
+            np.matmul(a, turned, out=back[at:to])
+        for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            of = slice(k * CLASS, (k + 1) * CLASS)
+            for at in range(start, end, _ROWS):
+                to = min(end, at + _ROWS)
+                a = layer(at, to, inner[of].T, inner_base[of], target[at:to] - k * CLASS, g["word"][of].T, g["word_base"][of])
+                back[at:to] += a @ inner[of]
+        wanted = self._room("wanted", (steps * lanes, STATE), kind)
+        if len(order) < len(wanted):
+            wanted[:] = 0
+        wanted[order] = back
+        wanted = wanted.reshape(steps, lanes, STATE)
+        both, d = self._room("both", (steps, lanes, 2 * STATE), kind), self._room("steps", (2, steps, lanes, STATE), kind)
+        loops, carry = [np.ascontiguousarray(a.T) for a in self._parts(p["loop"])], np.zeros((lanes, STATE), kind)
+        dh, dz, rest = (np.empty((lanes, STATE), kind) for _ in range(3))
+        at_start = reset.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            before, un, z, r, n = kept[t]
-            d = dh[t] + back
-            dz = d * z
-            dn = d - dz
-            dn *= 1 - n * n
-            fed[t, :, :STATE] = dz * (before - n) * (1 - z)
-            fed[t, :, STATE : 2 * STATE] = dn * un * (r - r * r)
-            fed[t, :, 2 * STATE :] = dn
-            du[t] = fed[t]
-            du[t, :, 2 * STATE :] *= r
-            back = dz + du[t] @ loop
-            back[x[t] == _START] = 0
-        first = np.stack([k[0] for k in kept]).reshape(-1, STATE)
-        fed, du, units = fed.reshape(-1, 3 * STATE), du.reshape(-1, 3 * STATE), x.reshape(-1)
-        g["loop"], g["gate"] = first.T @ du, fed.sum(axis=0)
-        g["input"] = p["embed"][units].T @ fed
-        cell = (units[:, None].astype(np.int64) * EMBED + np.arange(EMBED)).reshape(-1)
-        g["embed"] = np.bincount(cell, (fed @ p["input"].T).reshape(-1), p["embed"].size).reshape(p["embed"].shape).astype(np.float32)
+            before, n, u = every[t], candidates[t], mixed[t]
+            z, r, update, gate = gates[t, :, :STATE], gates[t, :, STATE:], both[t, :, :STATE], both[t, :, STATE:]
+            loop, dn = d[0, t], d[1, t]
+            if at_start[t]:
+                before = np.where(reset[t][:, None], kind.type(0), before)
+            np.add(wanted[t], carry, out=dh)
+            np.multiply(dh, z, out=dz)
+            np.subtract(dh, dz, out=dn)
+            np.multiply(n, n, out=rest)
+            np.subtract(1, rest, out=rest)
+            dn *= rest
+            np.subtract(before, n, out=rest)
+            rest *= dz
+            np.subtract(1, z, out=dh)
+            np.multiply(rest, dh, out=update)
+            np.multiply(dn, r, out=loop)
+            np.multiply(loop, u, out=rest)
+            np.subtract(1, r, out=dh)
+            np.multiply(rest, dh, out=gate)
+            np.matmul(both[t], loops[0], out=rest)
+            np.add(dz, rest, out=carry)
+            np.matmul(loop, loops[1], out=rest)
+            carry += rest
+            if at_start[t]:
+                carry[reset[t]] = 0
+        first, units, gone = every[:-1].reshape(-1, STATE), x.reshape(-1), np.flatnonzero(reset)
+        back, loop, dn = both.reshape(-1, 2 * STATE), d[0].reshape(-1, STATE), d[1].reshape(-1, STATE)
+        g["loop"] = np.concatenate([first.T @ a - first[gone].T @ a[gone] for a in (back, loop)], axis=1)
+        fed, seen = (back, dn), p["embed"][units]
+        g["gate"] = np.concatenate([np.ones(len(units), kind) @ a for a in fed])
+        g["input"] = np.concatenate([seen.T @ a for a in fed], axis=1)
+        moved = sum(a @ w.T for a, w in zip(fed, self._parts(p["input"]), strict=True))
+        order = np.argsort(units.astype(np.uint16), kind="stable")
+        units = units[order]
+        cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][units[cuts]] = np.add.reduceat(moved[order], cuts, axis=0)
         return g, last
 
     def train(self, pieces: list[np.ndarray], rate: float) -> int:
         """One pass over the sequences of units; returns their tokens."""
         total = sum(map(len, pieces))
         lanes = int(min(LANES, max(8, total // (WINDOW * LEAST_STEPS))))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        w = self.flat()
+        self._view(w)
+        m, v, held, live, step, f = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w), 0, 0, np.float32
+        least = min(SEGMENT, lanes * WINDOW // 2)
+
+        def move() -> None:
+            nonlocal live, step
+            a = held * f(1 / live)
+            a *= f(min(1.0, 1.0 / (math.sqrt(float(a @ a)) + 1e-9)))
+            held[:], live, step = 0, 0, step + 1
+            np.multiply(m, f(0.9), out=m)
+            np.multiply(v, f(0.99), out=v)
+            v[:] += f(0.01) * (a * a)
+            a *= f(0.1)
+            m[:] += a
+            np.multiply(v, f(1 / (1 - 0.99**step)), out=a)
+            np.sqrt(a, out=a)
+            a += f(1e-6)
+            np.divide(m, a, out=a)
+            a *= f(rate / (1 - 0.9**step))
+            w[:] -= a
+
         for x, y, _, h in _windows(pieces, lanes, WINDOW):
             g, last = self.gradients(x, y, h[: x.shape[1]])
             h[: x.shape[1]] = last
-            size, step = math.sqrt(sum(float((a * a).sum()) for a in g.values())), step + 1
-            clip = min(1.0, 1.0 / (size + 1e-9))
-            for k, a in g.items():
-                a *= np.float32(clip)
-                m[k] += np.float32(0.1) * (a - m[k])
-                v[k] += np.float32(0.01) * (a * a - v[k])
-                self.p[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
+            n = int((y >= 0).sum())
+            held += f(n) * np.concatenate([g[k].ravel() for k in sorted(self.p)])
+            live += n
+            if live >= least:
+                move()
+        if live:
+            move()
         return total
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Sum of natural log P(unit) of each whole sequence."""
         out = np.zeros(len(sequences))
-        for x, y, of, h in _windows(sequences, LANES, 2 * WINDOW):
-            states, last, _ = self.states(x, h[: x.shape[1]])
+        for x, y, of, h in _windows(sequences, LANES, WINDOW):
+            states, last, _ = self.states(x, h[: x.shape[1]], passing=True)
             h[: x.shape[1]] = last
             live = y.reshape(-1) >= 0
             found = self.log_probability(states.reshape(-1, STATE)[live], y.reshape(-1)[live])
@@ -333,8 +467,46 @@ def _averaged(updates: DataFrame) -> np.ndarray | None:
     return None
 
 
-def learn(docs: DataFrame) -> tuple[Vocabulary, GatedLM, DataFrame]:
-    """The vocabulary, the trained network, and the written table of all counts."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Every document once, written: doc_id, held_out, slot (a hash of id and text), its units (16 bits each), and the sums that need no network."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sums = ("n", "known", "logs", "local")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.prepare()
+        mass = np.log10(words.mass)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(start, _TEXTS)
+                texts = [[*t.lower().split(), _END] for t in _texts(batch)]
+                size = np.array([len(t) for t in texts], np.int64)
+                ranks, units = words.encode_words(itertools.chain.from_iterable(texts), int(size.sum()))
+                at = np.cumsum(np.append(0, size))[:-1]
+                seen = ranks >= 0
+                log = words.log[ranks] * seen
+                wide = units >= WORDS
+                local = np.where(wide, log - mass[np.where(wide, units - WORDS, 0)], 0.0)
+                known = seen & (words.n[ranks] > 0)
+                flat, ends = units.astype("<u2").tobytes(), (2 * np.append(at, len(units))).tolist()
+                far = [np.flatnonzero(ranks[a // 2 : b // 2] < 0).tolist() for a, b in itertools.pairwise(ends)]
+                columns = {
+                    **{c: batch.column(c) for c in ("doc_id", "held_out", "slot")},
+                    **dict(zip(sums, (pa.array(size), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(log, at)), pa.array(np.add.reduceat(local, at))), strict=True)),
+                    "units": pa.array([flat[a:b] for a, b in itertools.pairwise(ends)], pa.binary()),
+                    "rare": pa.array([[t[i] for i in f] for t, f in zip(texts, far, strict=True)], pa.list_(pa.binary())),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    part = _held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("slot", F.xxhash64("doc_id", "text"))
+    return written(part.mapInArrow(run, "doc_id long, held_out boolean, slot long, n long, known long, logs double, local double, units binary, rare array<binary>").withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
+
+
+def _units(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(u, "<u2").astype(np.int32) for u in batch.column("units").to_pylist()]
+
+
+def learn(docs: DataFrame, group: int | None = None) -> tuple[Vocabulary, GatedLM, DataFrame, DataFrame]:
+    """The vocabulary, the trained network, and the written tables of all counts and of the encoded documents."""
     spark = docs.sparkSession
     counted = written(counts(docs), "lm-counts")
     bucket = F.crc32(F.substring("word", -2, 2)) % BUCKETS
@@ -348,78 +520,68 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, GatedLM, DataFrame]:
         among += r.v
     ranked = sorted(((bytes(r.word), r.n) for r in counted.where(size >= least).collect()), key=lambda r: (-r[1], r[0]))
     vocabulary = Vocabulary(ranked, sum(r.n for r in sums), sum(r.v for r in sums), {r.b: r.s for r in sums})
-    net = GatedLM(vocabulary)
-    training = _held(docs.select("doc_id", "text")).where(~F.col("held_out"))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    net, rows = GatedLM(vocabulary), encoded(docs, vocabulary)
+    groups = max(1, math.ceil(vocabulary.total / ROUNDS / (group or GROUP)))
     for number in range(ROUNDS):
         weights = spark.sparkContext.broadcast(net.flat())
 
-        def run(batches: Iterator[pd.DataFrame], weights=weights, rate=RATE / (1 + number)) -> Iterator[pd.DataFrame]:
-            words, net, held, size, tokens, task = shared.value.prepare(), GatedLM().load(weights.value), [], 0, 0, None
+        def run(batches: Iterator[pa.RecordBatch], weights=weights, rate=RATE / (1 + number)) -> Iterator[pa.RecordBatch]:
+            net, held, size, tokens, task = GatedLM().load(weights.value), [], 0, 0, None
             for batch in batches:
-                for text, part in zip(batch["text"], batch["part"], strict=True):
-                    units, task = words.encode(text)[1], part
-                    held += [units[i : i + SEGMENT] for i in range(0, len(units), SEGMENT)]
+                task = batch.column("part")[0].as_py() if batch.num_rows else task
+                for units in _units(batch):
+                    held.append(units)
                     size += len(units)
                     if size >= _CHUNK:
                         tokens, held, size = tokens + net.train(held, rate), [], 0
             if held:
                 tokens += net.train(held, rate)
             if tokens:
-                yield pd.DataFrame({"task": [int(task)], "tokens": [float(tokens)], "weights": [net.flat().tobytes()]})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "tokens": [float(tokens)], "weights": [net.flat().tobytes()]})
 
-        chosen = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == number).select("text", F.spark_partition_id().alias("part"))
-        mean = _averaged(written(chosen.mapInPandas(run, "task long, tokens double, weights binary"), "lm-round"))
+        chosen = rows.where(~F.col("held_out") & (F.pmod("slot", F.lit(ROUNDS)) == number)).select("slot", "units")
+        dealt = chosen.repartition(groups, "slot").sortWithinPartitions("slot").select("units", F.spark_partition_id().alias("part"))
+        mean = _averaged(written(dealt.mapInArrow(run, "task long, tokens double, weights binary"), "lm-round"))
         if mean is not None:
             net.load(mean)
-    return vocabulary, net, counted
+    return vocabulary, net, counted, rows
 
 
-def scores(docs: DataFrame, vocabulary: Vocabulary, net: GatedLM, counted: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, from its whole text."""
+def scores(docs: DataFrame, vocabulary: Vocabulary, net: GatedLM, counted: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, from its whole text; ``rows``: the documents encoded before."""
     spark = docs.sparkSession
-    shared, weights = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(net.flat())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, net = shared.value.prepare(), GatedLM().load(weights.value)
-        mass = np.log10(words.mass)
-        held: list[pd.DataFrame] = []
-        units: list[np.ndarray] = []
-
-        def scored() -> pd.DataFrame:
-            out = pd.concat(held, ignore_index=True)
-            out["model"] += net.score(units) / math.log(10)
+    rows = encoded(docs, vocabulary) if rows is None else rows
+    weights = spark.sparkContext.broadcast(net.flat())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, held, units, size = GatedLM().load(weights.value), [], [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            found, at = net.score(units) / math.log(10), 0
+            for batch in held:
+                columns = {c: batch.column(c) for c in ("doc_id", "held_out", "n", "known", "logs", "row")}
+                yield pa.RecordBatch.from_pydict(columns | {"model": pa.array(batch.column("local").to_numpy() + found[at : at + batch.num_rows])})
+                at += batch.num_rows
             held.clear()
             units.clear()
-            return out
 
         for batch in batches:
-            n, known, logs, local, rares = [], [], [], [], []
-            for text in batch["text"]:
-                ranks, unit, rare = words.encode(text)
-                seen = ranks >= 0
-                log = words.log[ranks] * seen
-                wide = np.flatnonzero(unit >= WORDS)
-                units.append(unit)
-                n.append(len(ranks))
-                known.append(int((seen & (words.n[ranks] > 0)).sum()))
-                logs.append(log.sum())
-                local.append(log[wide].sum() - mass[unit[wide] - WORDS].sum())
-                rares.append(rare)
-            held.append(pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n": n, "known": known, "logs": logs, "model": local, "rare": rares}))
-            if sum(map(len, units)) >= _CHUNK:
-                yield scored()
+            held.append(batch.drop_columns(["units"]))
+            units += (new := _units(batch))
+            size += sum(map(len, new))
+            if size >= _CHUNK:
+                yield from scored()
+                size = 0
         if held:
-            yield scored()
+            yield from scored()
 
-    part = _held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    scored = part.mapInPandas(run, "doc_id long, held_out boolean, n long, known long, logs double, model double, rare array<binary>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    found = rare.join(counted, "word").groupBy("row").agg(F.sum("k").alias("seen"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"))
+    part = rows.select("doc_id", "held_out", "n", "known", "logs", "local", "units", "row")
+    scored = part.mapInArrow(run, "doc_id long, held_out boolean, n long, known long, logs double, row long, model double")
+    rare = rows.select("row", F.explode("rare").alias("word"))
+    found = rare.join(counted, "word").groupBy("row").agg(F.count("*").alias("seen"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
     zero = F.lit(0.0)
-    rows = scored.drop("rare").join(found, "row", "left")
-    return rows.select(
+    found = scored.join(found, "row", "left")
+    return found.select(
         "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),

@@ -93,3 +93,27 @@ def test_counts_and_base_scores(spark, monkeypatch):
 def test_the_model_beats_the_base_on_held_out_documents(spark):
     got = lm.query(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert got["score"].sum() > 0.95 * got["base_score"].sum() and len(got) > 100
+
+
+def test_scores_follow_from_the_table_alone(spark):
+    """Ids beyond 2^53 beside nulls, one id with several texts, and a document longer than many windows; the layout doesn't matter."""
+    rows = [(2**53 + 1, "a b c"), (None, "d e"), (2**53 + 1, "other words"), (3, "word and word " * 2000), *[(i, f"w{i % 7} and w{i % 3} or so") for i in range(10, 60)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for layout in (docs.coalesce(1), docs.repartition(5)):
+        vocabulary, net, counted, encoded = lm.learn(layout, group=2000)
+        got = lm.scores(layout, vocabulary, net, counted, encoded).collect()
+        found.append(sorted(((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 3)) for r in got)))
+        assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    assert found[0] == found[1]
+    again = lm.scores(docs, vocabulary, net, counted).collect()
+    assert sorted(((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 3)) for r in again)) == found[0]
+
+
+def test_state_is_carried_in_training_and_only_starts_clear_it(small):
+    r = np.random.default_rng(2)
+    long = r.integers(0, 24, 300).astype(np.int32)
+    windows = list(lm._windows([long], 8, lm.WINDOW))
+    assert sum((x == lm._START).sum() - (y < 0).sum() for x, y, _, _ in windows) == 1
+    net = lm.GatedLM(seed=8)
+    assert net.train([long, long[:50]], 1e-3) == 350
