@@ -95,12 +95,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` in training order, each as often as it is taken.
 
     A part of a document ends after its last taken word. n_chars, where there is one, follows the text.
-    Range-sorted by position. Rows alike in doc_id, source and text are one row here, joined with the turns
-    of all of them, so each of them is dealt its own words; their other columns are those of one of them.
+    Range-sorted by position. Rows alike in every column (maps apart) are one row here, joined with the turns
+    of all of them, so each of them is dealt its own words. Documents without words are taken with none, so
+    they don't stand in the mix.
     """
     cap = settings.get("cap", CAP)
     number, digest, turn = fresh(docs, "_number"), fresh(docs, "_digest"), fresh(docs, "_turn")
-    whole = F.xxhash64("doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+    told = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.xxhash64(*[x for c in told for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
     keyed = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), digest: whole})
     dealt = mix(keyed, keep=(number, digest), **settings)
     turns = dealt.select(number, digest, F.explode(F.array(*[F.struct("size", F.col(f"taken_{k + 1}").alias("part"), F.col(f"position_{k + 1}").alias("at")) for k in range(cap)])).alias(turn)).where(F.col(f"{turn}.part") > 0)
