@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Chunks kept by a Python worker, at most (about 200 bytes each); further ones are encoded each time.
-KEPT = 300_000
+KEPT = 500_000
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" \s")
 #: A word of Latin letters, and a mark behind it: pieces of their own to the pre-tokenizer.
