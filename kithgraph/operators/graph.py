@@ -85,6 +85,12 @@ def last_sentiment(rows: DataFrame, source: str = "author", target: str = "subje
     return rows.groupBy(source, target).agg(F.max_by("sentiment", order).alias("sentiment"))
 
 
+def legend(rows: DataFrame) -> DataFrame:
+    """level, n, place of every level but 0, in order; the window sees a row a level."""
+    counts = rows.where(F.col("level") != 0).groupBy("level").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.orderBy("level")))
+
+
 def visible_reviews(edges: DataFrame, found: DataFrame, rings: dict[int, bool], sentiments: set[str]) -> DataFrame:
     """Reviews of a shown sentiment between nodes whose rings are shown."""
     rows = edges.where(F.col("sentiment").isin(*sentiments) if sentiments else F.lit(False))

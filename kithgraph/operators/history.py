@@ -36,6 +36,26 @@ def upsert(searches: DataFrame, search: DataFrame, keep: int = STORED) -> DataFr
     return recent_searches(searches.unionByName(search, allowMissingColumns=True), keep)
 
 
+def shown(histories: DataFrame, owner: str = "user_id", gone: str | None = None, most: int = SHOWN) -> DataFrame:
+    """owner, query, timestamp, place of each owner's latest searches, from the JSON text in ``history``; one query may be deleted.
+
+    Letter case aside, the latest search of a query counts; ties by query. A window sees one owner's searches.
+    """
+    rows = histories.select(owner, F.explode(parse_history(F.col("history"))).alias("_s")).select(owner, "_s.query", "_s.timestamp")
+    rows = rows if gone is None else without(rows, gone)
+    latest = W.partitionBy(owner, F.lower("query")).orderBy(F.desc("timestamp"), F.desc("query"))
+    rows = rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
+    place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("timestamp"), F.desc("query")))
+    return rows.select(owner, "query", "timestamp", place.alias("place")).where(F.col("place") <= most)
+
+
+def stringified(searches: DataFrame, owner: str = "user_id") -> DataFrame:
+    """owner, history: the JSON text of each owner's searches, newest first."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("timestamp").alias("t"), "query")), asc=False)
+    entry = F.transform(ordered, lambda s: F.struct(s["query"].alias("query"), s["t"].alias("timestamp")))
+    return searches.groupBy(owner).agg(F.to_json(entry).alias("history"))
+
+
 def cache_key(kind: str, *parts: Column) -> Column:
     return F.concat_ws("-", F.lit("cache"), F.lit(kind), *[F.lower(p.cast("string")) for p in parts])
 

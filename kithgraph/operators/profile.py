@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithgraph.functions.scalars import ADDRESS, ether, is_address, or_text, to_fixed, truthy
+from kithgraph.functions.scalars import ADDRESS, ether, is_address, or_text, to_fixed, trimmed, truthy
 
 
 def lookup(profiles: DataFrame, identifier: str) -> DataFrame:
@@ -18,6 +18,18 @@ def lookup(profiles: DataFrame, identifier: str) -> DataFrame:
     return profiles.where(F.col("username") == wanted)
 
 
+def resolve(profiles: DataFrame, identifiers: DataFrame, text: str = "identifier") -> DataFrame:
+    """The identifiers' rows with profile_id: trimmed; empty ones go, addresses meet the user keys and others the handles, letter case counting for handles only.
+
+    One equi-join with a table of keys, so no profile's keys are scanned once for each identifier.
+    """
+    wanted = trimmed(F.col(text))
+    asked = identifiers.where(wanted != "").withColumn("_wanted", F.when(is_address(wanted), F.concat(F.lit("address:"), F.lower(wanted))).otherwise(F.concat(F.lit("handle:"), wanted)))
+    addresses = F.filter(F.transform("userkeys", F.lower), lambda k: F.startswith(k, F.lit("address:")))
+    keys = profiles.select("profile_id", F.explode(F.concat(F.coalesce(addresses, F.array().cast("array<string>")), F.array(F.concat(F.lit("handle:"), "username")))).alias("_key"))
+    return asked.join(keys, F.col("_wanted") == F.col("_key")).drop("_wanted", "_key")
+
+
 def route(identifier: Column) -> Column:
     return F.when(is_address(identifier), "address").otherwise("handle")
 

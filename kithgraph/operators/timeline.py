@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.functions.scalars import epoch_seconds, iso_seconds
@@ -43,6 +44,17 @@ def nearest(found: DataFrame, time: Column) -> DataFrame:
     return found.groupBy("user_key").agg(F.min_by(F.struct("time", "value", "weekly"), away).alias("p")).select("user_key", "p.*")
 
 
+def series(found: DataFrame) -> DataFrame:
+    """Each user's points in order of time, then week, with their places from 1."""
+    place = F.row_number().over(W.partitionBy("user_key").orderBy("time", "week"))
+    return found.withColumn("place", place).orderBy("user_key", "place")
+
+
+def with_entry(entries: Column, key: Column, value: Column) -> Column:
+    """The map with one entry set, whether the key was there or not."""
+    return F.map_concat(F.map_filter(entries, lambda k, _: k != key), F.create_map(key, value))
+
+
 def tooltip(weekly: Column) -> Column:
     """Null where nothing is shown."""
     return F.when(weekly > 0, F.concat(F.lit("+"), F.format_number(weekly, 0), F.lit(" XP")))

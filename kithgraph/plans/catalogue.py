@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from kithgraph.functions import drawing, scalars
 from kithgraph.operators import expand, graph, history, profile, timeline, tree
 from kithgraph.plans import sql
-from kithgraph.sources import standins
+from kithgraph.sources import envelopes, schemas, standins
 from kithgraph.sources.standins import table
 from kithgraph.storage import written
 
@@ -496,3 +498,132 @@ def level1_of_everyone(spark, d):
     rows = expand.first_n(standins.vouches(spark, d), "author", expand.VOUCHES.source_cap).where(expand.VOUCHES.keep())
     place = F.row_number().over(W.partitionBy("author").orderBy("ord"))
     return rows.withColumn("rn", place).groupBy(F.col("author").alias("root")).agg(F.count("*").alias("given"), F.count(F.when(F.col("rn") <= 50, 1)).alias("kept"))
+
+
+# Identifiers, envelopes, legends, series, histories
+
+
+_ADDRESS = "'0x' || substring(md5(CAST(profile_id AS VARCHAR)) || md5('x'), 1, 40)"
+
+
+@query(f"""SELECT asked, profile_id FROM (SELECT profile_id AS asked, CASE WHEN profile_id % 4 = 0 THEN '0X' || upper(substring({_ADDRESS}, 3)) WHEN profile_id % 4 = 1 THEN lower({_ADDRESS}) WHEN profile_id % 4 = 2 THEN username END AS wanted FROM profiles) q
+  JOIN profiles p ON wanted <> '' AND (wanted = p.username OR (regexp_full_match(wanted, '0x[a-fA-F0-9]{{40}}') AND lower(wanted) = lower('0x' || substring(md5(CAST(p.profile_id AS VARCHAR)) || md5('x'), 1, 40))))""")
+def identifier_lookup(spark, d):
+    digest = F.md5(F.col("profile_id").cast("string").cast("binary"))
+    address = F.concat(F.lit("0x"), F.substring(F.concat(digest, F.md5(F.lit("x").cast("binary"))), 1, 40))
+    people = standins.profiles(spark, d).withColumn("userkeys", F.array(F.concat(F.lit("address:"), address), F.lit("service:x")))
+    turn = F.col("profile_id") % 4
+    text = F.when(turn == 0, F.concat(F.lit("0X"), F.upper(F.substring(address, 3, 40)))).when(turn == 1, F.concat(F.lit("  "), address, F.lit(" "))).when(turn == 2, F.concat(F.lit(" "), "username", F.lit("  "))).otherwise("   ")
+    return profile.resolve(people, people.select(F.col("profile_id").alias("asked"), text.alias("identifier"))).select("asked", "profile_id")
+
+
+def _enveloped(rows: DataFrame, owner: str, element, schema: str) -> DataFrame:
+    """Each owner's rows as a JSON envelope, in the order of ord, and parsed again."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("ord", element.alias("v")))), lambda x: x["v"])
+    text = rows.groupBy(owner).agg(F.to_json(F.struct(values.alias("values"), F.count("*").alias("total"))).alias("json"))
+    return text.select(F.from_json("json", schema).alias("e")).select("e.*")
+
+
+@query("SELECT author, subject, balance, row_number() OVER (PARTITION BY author ORDER BY ord) - 1 AS ord FROM vouch")
+def envelope_vouches(spark, d):
+    element = F.struct(F.col("author").alias("authorProfileId"), F.col("subject").alias("subjectProfileId"), "balance")
+    return envelopes.vouches(_enveloped(standins.vouches(spark, d), "author", element, schemas.VOUCHES)).select("author", "subject", "balance", "ord")
+
+
+@query("SELECT author, subject, sentiment, place AS ord FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY ord) - 1 AS place FROM review) WHERE ord % 5 <> 0")
+def envelope_reviews(spark, d):
+    person = lambda c: F.struct(F.col(c).alias("profileId"))
+    element = F.struct(F.when(F.col("ord") % 5 == 0, "vote").otherwise("review").alias("type"), F.struct(F.col("sentiment").alias("score")).alias("data"), person("author").alias("author"), person("subject").alias("subject"))
+    return envelopes.reviews(_enveloped(standins.reviews(spark, d), "author", element, schemas.REVIEWS)).select("author", "subject", "sentiment", "ord")
+
+
+@query("SELECT sender, CASE WHEN invitee % 3 = 0 THEN invitee + 1000000 ELSE invitee END AS invitee FROM invitation")
+def envelope_invitations(spark, d):
+    user = F.struct((F.col("invitee") + 1_000_000).alias("id"), F.when(F.col("invitee") % 3 != 0, F.col("invitee")).alias("profileId"))
+    element = F.struct(F.col("sender").alias("senderProfileId"), F.lit(1).alias("level"), user.alias("user"))
+    return envelopes.invitations(_enveloped(standins.invitation_edges(spark, d), "sender", element, schemas.INVITATIONS)).select("sender", "invitee")
+
+
+@query("SELECT level, count(*) AS n, row_number() OVER (ORDER BY level) AS place FROM v_node WHERE level <> 0 GROUP BY level", sql.VOUCH)
+def legend_by_level(spark, d):
+    return graph.legend(graph.nodes(_vouch_net(spark, d), ROOT))
+
+
+@query("SELECT author, count(DISTINCT subject) AS n, count(DISTINCT subject) || CASE WHEN count(DISTINCT subject) = 1 THEN ' profile' ELSE ' profiles' END AS label FROM vouch GROUP BY author")
+def distinct_counts_with_plurals(spark, d):
+    return standins.vouches(spark, d).groupBy("author").agg(F.countDistinct("subject").alias("n")).select("author", "n", scalars.plural(F.col("n"), "profile").alias("label"))
+
+
+@query("SELECT author, subject, ord FROM (SELECT author, subject, ord FROM v_l1 UNION ALL SELECT author, subject, ord FROM v_inter)", sql.VOUCH)
+def ego_without_room(spark, d):
+    """The capacity gate: no level 2 where the profiles around the root leave no room."""
+    return expand.ego_network(standins.vouches(spark, d), ROOT, replace(expand.VOUCHES, node_cap=6)).select("author", "subject", "ord")
+
+
+@query("SELECT author, subject, sentiment FROM review WHERE false")
+def graph_without_sentiments(spark, d):
+    rows = standins.reviews(spark, d)
+    shown = rows.select(F.col("author").alias("id"), F.lit(1).alias("level")).distinct()
+    return graph.visible_reviews(rows, shown, ALL_RINGS, set()).select(F.col("source").alias("author"), F.col("target").alias("subject"), "sentiment")
+
+
+@query("SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY time, week) AS place FROM point")
+def xp_series(spark, d):
+    return timeline.series(_points(spark, d))
+
+
+@query("SELECT user_key, week, CASE WHEN weekly >= 1 THEN '+' || format('{:,}', CAST(floor(weekly) AS BIGINT)) || ' XP' END AS shown FROM weekly")
+def xp_tooltips(spark, d):
+    rows = standins.weekly_points(spark, d)
+    return rows.select("user_key", "week", timeline.tooltip(F.floor("weekly").cast("long")).alias("shown"))
+
+
+@query("SELECT user_key, week, CAST(time AS BIGINT) AS seconds FROM point")
+def xp_times_from_milliseconds(spark, d):
+    """Odd weeks give their time in milliseconds."""
+    time = F.when(F.col("week") % 2 == 1, F.col("time") * 1000 + 999).otherwise(F.col("time"))
+    return _points(spark, d).select("user_key", "week", scalars.epoch_seconds(time).alias("seconds"))
+
+
+@query("SELECT profile_id, 1 AS season_0, CASE WHEN profile_id % 2 = 0 THEN score ELSE 7 END AS season_1, CASE WHEN profile_id % 2 = 1 THEN score END AS season_2, CASE WHEN profile_id % 2 = 0 THEN 2 ELSE 3 END AS entries FROM profiles")
+def series_of_seasons(spark, d):
+    """A season's series replaced where there is one, else added."""
+    old = F.create_map(F.lit(0), F.lit(1).cast("long"), F.lit(1), F.lit(7).cast("long"))
+    new = timeline.with_entry(old, (F.col("profile_id") % 2 + 1).cast("int"), F.col("score"))
+    return standins.profiles(spark, d).select("profile_id", new.alias("m")).select("profile_id", *[F.element_at("m", F.lit(k)).cast("int" if k == 0 else "long").alias(f"season_{k}") for k in (0, 1, 2)], F.size("m").alias("entries"))
+
+
+@query("""SELECT profile_id, CASE profile_id % 5 WHEN 0 THEN profile_id WHEN 1 THEN -profile_id WHEN 2 THEN 12 END AS whole, profile_id % 5 NOT IN (0, 1, 2) AS is_nan FROM profiles""")
+def whole_numbers_of_texts(spark, d):
+    number, turn = F.col("profile_id").cast("string"), F.col("profile_id") % 5
+    text = F.when(turn == 0, F.concat(F.lit(" "), number, F.lit("px"))).when(turn == 1, F.concat(F.lit("-"), number)).when(turn == 2, F.lit("12.75 x")).when(turn == 3, F.concat(F.lit("x"), number)).otherwise("")
+    whole = scalars.parse_int(text)
+    return standins.profiles(spark, d).select("profile_id", whole.alias("whole"), whole.isNull().alias("is_nan"))
+
+
+_EIGHTHS = {"eighth": "SELECT profile_id, CASE WHEN score < 0 THEN '-' ELSE '' END AS sign, abs(score) * 125 AS n FROM profiles"}
+
+
+@query("SELECT profile_id, sign || ((n + 50) // 1000) || '.' || ((n + 50) // 100 % 10) AS fixed_1, sign || ((n + 5) // 1000) || '.' || lpad(CAST((n + 5) // 10 % 100 AS VARCHAR), 2, '0') AS fixed_2, sign || (n // 1000) || '.' || lpad(CAST(n * 10 % 10000 AS VARCHAR), 4, '0') AS fixed_4 FROM eighth", _EIGHTHS)
+def to_fixed_eighths(spark, d):
+    amount = F.col("score") / 8
+    return standins.profiles(spark, d).select("profile_id", *[scalars.to_fixed(amount, k).alias(f"fixed_{k}") for k in (1, 2, 4)])
+
+
+_KEPT_SEARCHES = {
+    "search": "SELECT user_id, CASE WHEN event_id % 2 = 1 THEN upper(event_type) ELSE event_type END AS query, epoch_us(ts) // 1000 AS timestamp FROM events",
+    "latest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lower(query) ORDER BY timestamp DESC, query DESC) AS n FROM search WHERE lower(query) <> 'click') WHERE n = 1",
+}
+
+
+@query("SELECT user_id, query, timestamp, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, query DESC) AS place FROM latest) WHERE place <= 3", _KEPT_SEARCHES)
+def searches_shown(spark, d):
+    """Every user's history as JSON text, read back, one query deleted, the latest three shown."""
+    text = F.when(F.col("event_id") % 2 == 1, F.upper("event_type")).otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select("user_id", text.alias("query"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return history.shown(history.stringified(rows), "user_id", "Click", 3)
+
+
+@query("SELECT key FROM entries WHERE NOT starts_with(key, 'cache-')", _CACHE)
+def cache_cleared(spark, d):
+    return history.removed(_cache(spark, d)).select("key")

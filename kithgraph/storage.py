@@ -11,8 +11,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints/kithgraph"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the setting is missing."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; a local one only where the setting is missing and all tasks run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
