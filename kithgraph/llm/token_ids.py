@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Chunks kept by a Python worker, at most (about 200 bytes each); further ones are encoded each time.
-KEPT = 500_000
+KEPT = 300_000
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" \s")
 #: A word of Latin letters, and a mark behind it: pieces of their own to the pre-tokenizer.
@@ -37,9 +37,17 @@ class _Library:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = dict(zip(printable, printable, strict=True)) | {b: 256 + i for i, b in enumerate(others)}
+        self.space, self.marks = chr(self.letters[32]), {*".,;:!?"}
         self.spaced, self.plain = _Chunks(self, " "), _Chunks(self, "")
 
     def ids(self, chunk: str) -> bytes:
+        space = chunk[0] == " "
+        word = chunk[1:] if space else chunk
+        if word.isascii():  # the usual case, without a pattern
+            if word.isalpha():
+                return array(self.kind, [t.id for t in self.tokenize(self.space + word if space else word)]).tobytes()
+            if word[-1:] in self.marks and word[:-1].isalpha():
+                return (self.spaced if space else self.plain)[word[:-1]] + self.plain[word[-1]]
         simple = _WORD.fullmatch(chunk)
         pieces = ([simple[1], simple[2]] if simple[2] else [chunk]) if simple else self.pieces(chunk)
         if len(pieces) > 1:
