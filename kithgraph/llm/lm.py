@@ -193,9 +193,9 @@ class GatedLM:
             self.rooms[name] = np.empty(size, kind)
         return self.rooms[name][:size].reshape(shape)
 
-    def _parts(self, weights: np.ndarray) -> list[np.ndarray]:
-        """The columns of both gates (update, reset) and those of the candidate, each contiguous."""
-        return [np.ascontiguousarray(weights[:, : 2 * STATE]), np.ascontiguousarray(weights[:, 2 * STATE :])]
+    def _parts(self, name: str) -> list[np.ndarray]:
+        """The columns of update gate, reset gate and candidate, each contiguous."""
+        return [np.ascontiguousarray(self.p[name][:, i * STATE : (i + 1) * STATE]) for i in range(3)]
 
     def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False, passing: bool = False):
         """The state after each of the inputs x (time, lane), from h; a start sets its lane to zero first.
@@ -205,14 +205,16 @@ class GatedLM:
         """
         p, (steps, lanes) = self.p, x.shape
         kind = np.result_type(p["loop"].dtype, h.dtype)
-        fed, loops = self._parts(p["embed"] @ p["input"] + p["gate"]), self._parts(p["loop"])
-        fed[0] *= -1  # the gates' sums are needed negated
-        loops[0] *= -1
+        fed = p["embed"] @ p["input"] + p["gate"]
+        fed = [np.ascontiguousarray(fed[:, i * STATE : (i + 1) * STATE]) for i in range(3)]
+        loops = self._parts("loop")
+        for a in (*fed[:2], *loops[:2]):
+            a *= -1  # the gates' sums are needed negated
         every = self._room("every", (steps + 1, lanes, STATE), kind) if keep_all or passing else np.empty((steps + 1, lanes, STATE), kind)
         every[0] = h
         size = steps if keep_all else 1
-        gates = self._room("gates", (size, lanes, 2 * STATE), kind)
-        candidates, mixed, row, rows = (self._room(name, (*lead, lanes, width), kind) for name, lead, width in (("candidates", (size,), STATE), ("mixed", (size,), STATE), ("row", (), STATE), ("rows", (), 2 * STATE)))
+        gates = self._room("gates", (size, 2, lanes, STATE), kind)
+        candidates, mixed, row = (self._room(name, (*lead, lanes, STATE), kind) for name, lead in (("candidates", (size,)), ("mixed", (size,)), ("row", ())))
         reset = x == _START
         at_start = reset.any(axis=1).tolist()
         with np.errstate(over="ignore"):
@@ -221,19 +223,20 @@ class GatedLM:
                 g, n, u, before, new = gates[k], candidates[k], mixed[k], every[t], every[t + 1]
                 if at_start[t]:
                     before = np.where(reset[t][:, None], kind.type(0), before)
-                np.matmul(before, loops[0], out=g)
-                np.take(fed[0], x[t], axis=0, out=rows, mode="clip")
-                g += rows
+                for i in (0, 1):
+                    np.matmul(before, loops[i], out=g[i])
+                    np.take(fed[i], x[t], axis=0, out=row, mode="clip")
+                    g[i] += row
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
-                np.matmul(before, loops[1], out=u)
-                np.take(fed[1], x[t], axis=0, out=row, mode="clip")
-                np.multiply(g[:, STATE:], u, out=n)
+                np.matmul(before, loops[2], out=u)
+                np.take(fed[2], x[t], axis=0, out=row, mode="clip")
+                np.multiply(g[1], u, out=n)
                 n += row
                 np.tanh(n, out=n)
                 np.subtract(before, n, out=new)
-                new *= g[:, :STATE]
+                new *= g[0]
                 new += n
         return every[1:], every[steps], (every, gates, candidates, mixed, reset)
 
@@ -246,46 +249,42 @@ class GatedLM:
         return order, c.astype(np.int64), np.searchsorted(c, np.arange(inner + 1)).tolist()
 
     def _weights(self):
-        """The output layers' weights, with bases lowered so that no logit of a state, which is inside (-1, 1), is over 60; and whether rows may lie so far below that they need a maximum of their own."""
+        """The output layers' weights with bases lowered to at most 0, which keeps exponentials finite: a state is inside (-1, 1)."""
         p = self.p
-        words, reach = p["word_base"].reshape(-1, CLASS), np.abs(p["word"]).sum(axis=1).reshape(-1, CLASS)
-        most, most_in = float((p["class_base"] + np.abs(p["class"]).sum(axis=0)).max()), (words + reach).max(axis=1, keepdims=True)
-        least, least_in = float((p["class_base"] - np.abs(p["class"]).sum(axis=0)).max()), (words - reach).max(axis=1, keepdims=True)
-        far = most - least > 130 or float((most_in - least_in).max()) > 130
-        kind = p["word"].dtype.type
-        return p["class"], p["class_base"] - kind(most - 60), p["word"], (words - (most_in - kind(60))).reshape(-1), far
+        words = p["word_base"].reshape(-1, CLASS)
+        return p["class"], p["class_base"] - p["class_base"].max(), p["word"], (words - words.max(axis=1, keepdims=True)).reshape(-1)
 
     @staticmethod
-    def _exp(a: np.ndarray, far: bool) -> np.ndarray:
+    def _exp(a: np.ndarray) -> np.ndarray:
         """exp in place, each row up to a factor."""
-        if far:
-            a -= a.max(axis=1, keepdims=True)
+        if a.size and (most := float(a.max())) > 60:  # rows far apart can't lose all of their weight then
+            a -= a.max(axis=1, keepdims=True) if most > 80 else a.dtype.type(most - 60)
         return np.exp(a, out=a)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(unit y) at each state; of a bucket as a whole."""
-        outer, outer_base, inner, inner_base, far = self._weights()
+        outer, outer_base, inner, inner_base = self._weights()
         order, c, cuts = self._sorted(y)
         h, y, found = h[order], y[order], np.empty(len(order))
         ones = np.ones(max(_CLASSES, CLASS), h.dtype)
         for at in range(0, len(order), _ROWS):
             a = h[at : at + _ROWS] @ outer
             a += outer_base
-            found[at : at + _ROWS] = self._share(a, c[at : at + _ROWS], ones, far)
+            found[at : at + _ROWS] = self._share(a, c[at : at + _ROWS], ones)
         for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
             for at in range(start, end, _ROWS):
                 to, of = min(end, at + _ROWS), slice(k * CLASS, (k + 1) * CLASS)
                 a = h[at:to] @ inner[of].T
                 a += inner_base[of]
-                found[at:to] += self._share(a, y[at:to] - k * CLASS, ones, far)
+                found[at:to] += self._share(a, y[at:to] - k * CLASS, ones)
         out = np.empty(len(order))
         out[order] = found
         return out
 
-    def _share(self, a: np.ndarray, target: np.ndarray, ones: np.ndarray, far: bool) -> np.ndarray:
+    def _share(self, a: np.ndarray, target: np.ndarray, ones: np.ndarray) -> np.ndarray:
         """Log of each row's share of exp(a) at its target."""
         picked = np.arange(len(a)) * a.shape[1] + target
-        e = self._exp(a, far)
+        e = self._exp(a)
         with np.errstate(divide="ignore"):
             return np.log(e.reshape(-1)[picked] / (e @ ones[: a.shape[1]]))
 
@@ -294,7 +293,7 @@ class GatedLM:
         p, (steps, lanes) = self.p, x.shape
         out, last, (every, gates, candidates, mixed, reset) = self.states(x, h0, keep_all=True)
         kind = every.dtype
-        outer, outer_base, inner, inner_base, far = self._weights()
+        outer, outer_base, inner, inner_base = self._weights()
         order, c, cuts = self._sorted(y.reshape(-1))
         target, h = y.reshape(-1)[order], self._room("states", (len(order), STATE), kind)
         np.take(out.reshape(-1, STATE), order, axis=0, out=h, mode="clip")
@@ -305,7 +304,7 @@ class GatedLM:
         def layer(at: int, to: int, weights, base, aim, into, into_base) -> np.ndarray:
             a = h[at:to] @ weights
             a += base
-            self._exp(a, far)
+            self._exp(a)
             a *= (scale / (a @ ones[: a.shape[1]]))[:, None]
             a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= scale
             into += h[at:to].T @ a
@@ -327,43 +326,43 @@ class GatedLM:
             wanted[:] = 0
         wanted[order] = back
         wanted = wanted.reshape(steps, lanes, STATE)
-        both, d = self._room("both", (steps, lanes, 2 * STATE), kind), self._room("steps", (2, steps, lanes, STATE), kind)
-        loops, carry = [np.ascontiguousarray(a.T) for a in self._parts(p["loop"])], np.zeros((lanes, STATE), kind)
+        # per step: update gate, reset gate, candidate's recurrent part, candidate
+        d, carry = self._room("steps", (4, steps, lanes, STATE), kind), np.zeros((lanes, STATE), kind)
+        loops = [np.ascontiguousarray(a.T) for a in self._parts("loop")]
         dh, dz, rest = (np.empty((lanes, STATE), kind) for _ in range(3))
         at_start = reset.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            before, n, u = every[t], candidates[t], mixed[t]
-            z, r, update, gate = gates[t, :, :STATE], gates[t, :, STATE:], both[t, :, :STATE], both[t, :, STATE:]
-            loop, dn = d[0, t], d[1, t]
+            before, (z, r), n, u = every[t], gates[t], candidates[t], mixed[t]
             if at_start[t]:
                 before = np.where(reset[t][:, None], kind.type(0), before)
+            update, gate, loop, dn = d[0, t], d[1, t], d[2, t], d[3, t]
             np.add(wanted[t], carry, out=dh)
             np.multiply(dh, z, out=dz)
             np.subtract(dh, dz, out=dn)
             np.multiply(n, n, out=rest)
             np.subtract(1, rest, out=rest)
             dn *= rest
-            np.subtract(before, n, out=rest)
-            rest *= dz
-            np.subtract(1, z, out=dh)
-            np.multiply(rest, dh, out=update)
+            np.subtract(before, n, out=update)
+            update *= dz
+            np.subtract(1, z, out=rest)
+            update *= rest
             np.multiply(dn, r, out=loop)
-            np.multiply(loop, u, out=rest)
-            np.subtract(1, r, out=dh)
-            np.multiply(rest, dh, out=gate)
-            np.matmul(both[t], loops[0], out=rest)
-            np.add(dz, rest, out=carry)
-            np.matmul(loop, loops[1], out=rest)
-            carry += rest
+            np.multiply(loop, u, out=gate)
+            np.subtract(1, r, out=rest)
+            gate *= rest
+            carry = dz
+            for part, weights in zip((update, gate, loop), loops, strict=True):
+                np.matmul(part, weights, out=rest)
+                carry += rest
             if at_start[t]:
                 carry[reset[t]] = 0
-        first, units, gone = every[:-1].reshape(-1, STATE), x.reshape(-1), np.flatnonzero(reset)
-        back, loop, dn = both.reshape(-1, 2 * STATE), d[0].reshape(-1, STATE), d[1].reshape(-1, STATE)
-        g["loop"] = np.concatenate([first.T @ a - first[gone].T @ a[gone] for a in (back, loop)], axis=1)
-        fed, seen = (back, dn), p["embed"][units]
+        first, units = every[:-1].reshape(-1, STATE), x.reshape(-1)
+        back, gone = d.reshape(4, -1, STATE), np.flatnonzero(reset)
+        g["loop"] = np.concatenate([first.T @ back[i] - first[gone].T @ back[i][gone] for i in range(3)], axis=1)
+        fed, seen = (back[0], back[1], back[3]), p["embed"][units]
         g["gate"] = np.concatenate([np.ones(len(units), kind) @ a for a in fed])
         g["input"] = np.concatenate([seen.T @ a for a in fed], axis=1)
-        moved = sum(a @ w.T for a, w in zip(fed, self._parts(p["input"]), strict=True))
+        moved = sum(a @ w.T for a, w in zip(fed, self._parts("input"), strict=True))
         order = np.argsort(units.astype(np.uint16), kind="stable")
         units = units[order]
         cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
