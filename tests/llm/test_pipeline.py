@@ -115,3 +115,18 @@ def test_odd_rows(spark):
         for _, stage in cp.STAGES:
             docs = written(stage(spark, docs, DIR), "test-odd")
             docs.collect()
+
+
+def test_ids_and_texts_stay_exact_in_every_stage(spark):
+    """Ids beyond 2^53 beside nulls and one id with two texts, in one batch."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda c: " ".join(f"{c}{i} word" for i in range(60))
+    rows = [(2**53 + 1, words("a"), "en", "s", 2**53 + 3), (None, words("b"), "en", "s", None), (2**53 + 1, words("c"), "en", "s", 7), (None, words("d"), None, "s", 8)]
+    docs = spark.createDataFrame(rows, schema).coalesce(1)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(map(tuple, cp.quality.keep_good(docs, none).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, cp.simhash.keep_one(docs).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, cp.secret_scan.redacted(docs).collect()), key=str) == sorted(rows, key=str)
+    mixed = cp.mixing.mixed_documents(docs)
+    assert {(r.doc_id, r.text[:2]) for r in mixed.collect()} == {(r[0], r[1][:2]) for r in rows}
+    assert {r.doc_id for r in cp.packing.packed_documents(mixed).collect()} == {2**53 + 1, None}
