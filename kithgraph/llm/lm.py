@@ -225,13 +225,13 @@ class GatedLM:
                     before = np.where(reset[t][:, None], kind.type(0), before)
                 for i in (0, 1):
                     np.matmul(before, loops[i], out=g[i])
-                    np.take(fed[i], x[t], axis=0, out=row, mode="clip")
+                    fed[i].take(x[t], axis=0, out=row, mode="clip")
                     g[i] += row
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
                 np.matmul(before, loops[2], out=u)
-                np.take(fed[2], x[t], axis=0, out=row, mode="clip")
+                fed[2].take(x[t], axis=0, out=row, mode="clip")
                 np.multiply(g[1], u, out=n)
                 n += row
                 np.tanh(n, out=n)
@@ -249,42 +249,44 @@ class GatedLM:
         return order, c.astype(np.int64), np.searchsorted(c, np.arange(inner + 1)).tolist()
 
     def _weights(self):
-        """The output layers' weights with bases lowered to at most 0, which keeps exponentials finite: a state is inside (-1, 1)."""
+        """The output layers' weights with bases lowered to at most 0, and what no sum of an output can exceed: a state is inside [-1, 1]."""
         p = self.p
         words = p["word_base"].reshape(-1, CLASS)
-        return p["class"], p["class_base"] - p["class_base"].max(), p["word"], (words - words.max(axis=1, keepdims=True)).reshape(-1)
+        most = max(np.abs(p["class"]).sum(axis=0).max(), np.abs(p["word"]).sum(axis=1).max())
+        return p["class"], p["class_base"] - p["class_base"].max(), p["word"], (words - words.max(axis=1, keepdims=True)).reshape(-1), most
 
     @staticmethod
-    def _exp(a: np.ndarray) -> np.ndarray:
+    def _exp(a: np.ndarray, bound: float) -> np.ndarray:
         """exp in place, each row up to a factor."""
-        if a.size and (most := float(a.max())) > 60:  # rows far apart can't lose all of their weight then
+        if bound > 60 and a.size and (most := float(a.max())) > 60:  # rows far apart can't lose all of their weight then
             a -= a.max(axis=1, keepdims=True) if most > 80 else a.dtype.type(most - 60)
         return np.exp(a, out=a)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(unit y) at each state; of a bucket as a whole."""
-        outer, outer_base, inner, inner_base = self._weights()
+        outer, outer_base, inner, inner_base, bound = self._weights()
         order, c, cuts = self._sorted(y)
-        h, y, found = h[order], y[order], np.empty(len(order))
+        y, found = y[order], np.empty(len(order))
+        h = h.take(order, axis=0, out=self._room("taken", (len(order), STATE), h.dtype), mode="clip")
         ones = np.ones(max(_CLASSES, CLASS), h.dtype)
         for at in range(0, len(order), _ROWS):
             a = h[at : at + _ROWS] @ outer
             a += outer_base
-            found[at : at + _ROWS] = self._share(a, c[at : at + _ROWS], ones)
+            found[at : at + _ROWS] = self._share(a, c[at : at + _ROWS], ones, bound)
         for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
             for at in range(start, end, _ROWS):
                 to, of = min(end, at + _ROWS), slice(k * CLASS, (k + 1) * CLASS)
                 a = h[at:to] @ inner[of].T
                 a += inner_base[of]
-                found[at:to] += self._share(a, y[at:to] - k * CLASS, ones)
+                found[at:to] += self._share(a, y[at:to] - k * CLASS, ones, bound)
         out = np.empty(len(order))
         out[order] = found
         return out
 
-    def _share(self, a: np.ndarray, target: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    def _share(self, a: np.ndarray, target: np.ndarray, ones: np.ndarray, bound: float) -> np.ndarray:
         """Log of each row's share of exp(a) at its target."""
         picked = np.arange(len(a)) * a.shape[1] + target
-        e = self._exp(a)
+        e = self._exp(a, bound)
         with np.errstate(divide="ignore"):
             return np.log(e.reshape(-1)[picked] / (e @ ones[: a.shape[1]]))
 
@@ -293,10 +295,10 @@ class GatedLM:
         p, (steps, lanes) = self.p, x.shape
         out, last, (every, gates, candidates, mixed, reset) = self.states(x, h0, keep_all=True)
         kind = every.dtype
-        outer, outer_base, inner, inner_base = self._weights()
+        outer, outer_base, inner, inner_base, bound = self._weights()
         order, c, cuts = self._sorted(y.reshape(-1))
         target, h = y.reshape(-1)[order], self._room("states", (len(order), STATE), kind)
-        np.take(out.reshape(-1, STATE), order, axis=0, out=h, mode="clip")
+        out.reshape(-1, STATE).take(order, axis=0, out=h, mode="clip")
         scale, ones = kind.type(1 / max(1, len(order))), np.ones(max(_CLASSES, CLASS, _ROWS), kind)
         g = {k: np.zeros_like(p[k]) for k in ("class", "class_base", "word", "word_base")}
         back, turned = self._room("back", h.shape, kind), np.ascontiguousarray(outer.T)
@@ -304,7 +306,7 @@ class GatedLM:
         def layer(at: int, to: int, weights, base, aim, into, into_base) -> np.ndarray:
             a = h[at:to] @ weights
             a += base
-            self._exp(a)
+            self._exp(a, bound)
             a *= (scale / (a @ ones[: a.shape[1]]))[:, None]
             a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= scale
             into += h[at:to].T @ a
@@ -326,48 +328,52 @@ class GatedLM:
             wanted[:] = 0
         wanted[order] = back
         wanted = wanted.reshape(steps, lanes, STATE)
-        # per step: update gate, reset gate, candidate's recurrent part, candidate
-        d, carry = self._room("steps", (4, steps, lanes, STATE), kind), np.zeros((lanes, STATE), kind)
-        loops = [np.ascontiguousarray(a.T) for a in self._parts("loop")]
-        dh, dz, rest = (np.empty((lanes, STATE), kind) for _ in range(3))
+        # side by side for each step and lane: candidate, update gate, reset gate, candidate's recurrent part
+        d, carry = self._room("steps", (steps, lanes, 4 * STATE), kind), np.zeros((lanes, STATE), kind)
+        back_loop = np.ascontiguousarray(p["loop"].T)
+        dh, dz, dn, update, rest = (np.empty((lanes, STATE), kind) for _ in range(5))
         at_start = reset.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
             before, (z, r), n, u = every[t], gates[t], candidates[t], mixed[t]
             if at_start[t]:
                 before = np.where(reset[t][:, None], kind.type(0), before)
-            update, gate, loop, dn = d[0, t], d[1, t], d[2, t], d[3, t]
+            to_candidate, to_update, to_reset, to_loop = (d[t, :, i * STATE : (i + 1) * STATE] for i in range(4))
             np.add(wanted[t], carry, out=dh)
             np.multiply(dh, z, out=dz)
             np.subtract(dh, dz, out=dn)
+            np.subtract(before, n, out=update)
+            update *= dn
+            np.multiply(update, z, out=to_update)
             np.multiply(n, n, out=rest)
             np.subtract(1, rest, out=rest)
             dn *= rest
-            np.subtract(before, n, out=update)
-            update *= dz
-            np.subtract(1, z, out=rest)
-            update *= rest
-            np.multiply(dn, r, out=loop)
-            np.multiply(loop, u, out=gate)
+            to_candidate[:] = dn
+            dn *= r
+            to_loop[:] = dn
+            dn *= u
             np.subtract(1, r, out=rest)
-            gate *= rest
-            carry = dz
-            for part, weights in zip((update, gate, loop), loops, strict=True):
-                np.matmul(part, weights, out=rest)
-                carry += rest
+            np.multiply(dn, rest, out=to_reset)
+            np.matmul(d[t, :, STATE:], back_loop, out=carry)
+            carry += dz
             if at_start[t]:
                 carry[reset[t]] = 0
         first, units = every[:-1].reshape(-1, STATE), x.reshape(-1)
-        back, gone = d.reshape(4, -1, STATE), np.flatnonzero(reset)
-        g["loop"] = np.concatenate([first.T @ back[i] - first[gone].T @ back[i][gone] for i in range(3)], axis=1)
-        fed, seen = (back[0], back[1], back[3]), p["embed"][units]
-        g["gate"] = np.concatenate([np.ones(len(units), kind) @ a for a in fed])
-        g["input"] = np.concatenate([seen.T @ a for a in fed], axis=1)
-        moved = sum(a @ w.T for a, w in zip(fed, self._parts("input"), strict=True))
+        back, gone = d.reshape(-1, 4 * STATE), np.flatnonzero(reset)
+        fed, looped = back[:, : 3 * STATE], back[:, STATE:]
+        g["loop"] = first.T @ looped
+        if len(gone):
+            g["loop"] -= first[gone].T @ looped[gone]
+        seen = self._room("seen", (len(units), EMBED), kind)
+        p["embed"].take(units, axis=0, out=seen, mode="clip")
+        turn = np.r_[STATE : 3 * STATE, :STATE]  # fed's columns in the order of the parameters
+        g["gate"] = (np.ones(len(units), kind) @ fed)[turn]
+        g["input"] = (seen.T @ fed)[:, turn]
+        moved = np.matmul(fed, p["input"][:, np.r_[2 * STATE : 3 * STATE, : 2 * STATE]].T, out=self._room("moved", (len(units), EMBED), kind))
         order = np.argsort(units.astype(np.uint16), kind="stable")
         units = units[order]
         cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
         g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][units[cuts]] = np.add.reduceat(moved[order], cuts, axis=0)
+        g["embed"][units[cuts]] = np.add.reduceat(moved.take(order, axis=0, out=seen, mode="clip"), cuts, axis=0)
         return g, last
 
     def train(self, pieces: list[np.ndarray], rate: float) -> int:
@@ -414,9 +420,10 @@ class GatedLM:
         for x, y, of, h in _windows(sequences, LANES, WINDOW):
             states, last, _ = self.states(x, h[: x.shape[1]], passing=True)
             h[: x.shape[1]] = last
-            live = y.reshape(-1) >= 0
-            found = self.log_probability(states.reshape(-1, STATE)[live], y.reshape(-1)[live])
-            out += np.bincount(of.reshape(-1)[live], found, len(sequences))
+            states, y, of = states.reshape(-1, STATE), y.reshape(-1), of.reshape(-1)
+            if not (live := y >= 0).all():
+                states, y, of = states[live], y[live], of[live]
+            out += np.bincount(of, self.log_probability(states, y), len(sequences))
         return out
 
 
