@@ -131,17 +131,21 @@ def triangles(rows: DataFrame, shown: DataFrame) -> DataFrame:
     """a, b, c: cycles of three edges whose last sentiment is positive and whose reverse doesn't exist among ``rows``.
 
     Each cycle comes once, from the node that stands first among ``shown``. Edges with a reverse go
-    before the join, which is then an equi-join on single edges.
+    before the join, which is then an equi-join on single edges. The join meets at each cycle's node
+    of least degree, so a hub pairs only with nodes of its own size, not with all its neighbours.
     """
     last = last_sentiment(rows, "source", "target", "seq")
     back = rows.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
-    single = last.where(F.col("sentiment") == "positive").join(back, ["source", "target"], "left_anti")
-    order = shown.select("id", "place")
-    single = single.join(order.select(F.col("id").alias("source"), F.col("place").alias("sp")), "source").join(order.select(F.col("id").alias("target"), F.col("place").alias("tp")), "target")
-    x = single.where("sp < tp").select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("sp").alias("ap"))
-    y = single.select(F.col("source").alias("b"), F.col("target").alias("c"), F.col("tp").alias("cp"))
-    z = single.select(F.col("source").alias("c"), F.col("target").alias("a"))
-    return x.join(y, "b").where("ap < cp").join(z, ["c", "a"]).select("a", "b", "c")
+    single = last.where(F.col("sentiment") == "positive").join(back, ["source", "target"], "left_anti").select("source", "target")
+    rank = shown.select("id", "place").join(degrees(single), "id").select("id", F.struct("degree", "place").alias("rank"))
+    for end, name in (("source", "sr"), ("target", "tr")):
+        single = single.join(rank.select(F.col("id").alias(end), F.col("rank").alias(name)), end)
+    x = single.where("sr < tr").select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("sr.place").alias("ap"), F.col("tr.place").alias("bp"))
+    y = single.where("tr < sr").select(F.col("target").alias("a"), F.col("source").alias("c"), F.col("sr.place").alias("cp"))
+    z = single.select(F.col("source").alias("b"), F.col("target").alias("c"))
+    found, least = x.join(y, "a").join(z, ["b", "c"]), F.least("ap", "bp", "cp")
+    turned = [F.when(F.col("ap") == least, F.col(i)).when(F.col("bp") == least, F.col(j)).otherwise(F.col(k)).alias(n) for n, i, j, k in (("a", "a", "b", "c"), ("b", "b", "c", "a"), ("c", "c", "a", "b"))]
+    return found.select(*turned)
 
 
 def mark_triangles(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -199,3 +199,16 @@ def test_empty_tables(spark):
     assert expand.ego_network(none, 1, expand.VOUCHES).count() == 0
     assert ids(graph.nodes(expand.ego_network(none, 1, expand.VOUCHES), 1), "place") == [1]
     assert graph.triangles(spark.createDataFrame([], "source long, target long, sentiment string, seq long"), spark.createDataFrame([], "id long, place int")).count() == 0
+
+
+def test_triangles_around_hubs_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    pairs = {frozenset(r.sample(range(30), 2)) for _ in range(100)} | {frozenset((hub, n)) for hub in (0, 1) for n in range(2, 30)}
+    ends = {tuple(r.sample(sorted(p), 2)) for p in sorted(pairs, key=sorted)}
+    ends |= {(t, s) for s, t in sorted(ends) if r.random() < 0.1}
+    rows = [(s, t, r.choice(("positive", "positive", "positive", "negative")), i) for i, (s, t) in enumerate(sorted(ends))]
+    place = {n: p for p, n in enumerate(r.sample(range(30), 27))}
+    single = {(s, t) for s, t, kind, _ in rows if kind == "positive" and (t, s) not in ends and s in place and t in place}
+    want = {(a, b, c) for a, b in single for b2, c in single if b2 == b and (c, a) in single and place[a] < min(place[b], place[c])}
+    got = graph.triangles(spark.createDataFrame(rows, "source long, target long, sentiment string, seq long"), spark.createDataFrame([(n, p) for n, p in place.items()], "id long, place int"))
+    assert len(want) > 5 and sorted(tuple(x) for x in got.collect()) == sorted(want)
