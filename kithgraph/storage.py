@@ -18,9 +18,22 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
+    """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors. ``discard`` removes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> bool:
+    """Removes all tables that ``written`` made in this application; whether there were any.
+
+    Results read these tables lazily, so call it when they are stored and no DataFrame over them is read again.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
