@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kithgraph.snapshots import Snapshots
 from kithgraph.sources.schemas import RECENT
 
 VERSION = "1.0"
@@ -82,6 +83,31 @@ def retained(entries: DataFrame, now_ms: Column, prefix: str = "cache-") -> Data
     return entries.where(~mine | ~old)
 
 
-def save(entries: DataFrame, path: str) -> None:
-    """The cache as a table; a failed write leaves the old one to its next run."""
-    entries.write.mode("overwrite").parquet(path)
+def merged(entries: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The entries with more of them written over; of one key's new entries the latest counts (ties: the larger data). Entries without a key go."""
+    columns = ["key", "data", "timestamp", "version"]
+    latest = more.where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.struct("data", "timestamp", "version"), F.struct("timestamp", "data")).alias("_e")).select("key", "_e.*")
+    return latest if entries is None else latest.unionByName(entries.select(*columns).join(latest.select("key"), "key", "left_anti"))
+
+
+def stored_size(entries: DataFrame) -> int:
+    """Characters of all keys and data."""
+    return entries.agg(F.coalesce(F.sum(F.length("key") + F.length(F.coalesce("data", F.lit("")))), F.lit(0)).alias("n")).first().n
+
+
+def put(store: Snapshots, more: DataFrame, now_ms: int, quota: int | None = None) -> int | None:
+    """Writes entries into the cache; returns the new version's number.
+
+    Beyond ``quota`` characters what ``retained`` leaves out is evicted, once; where that isn't enough nothing changes and the result
+    is None. A write that fails leaves the version before it, and writers that meet take turns.
+    """
+
+    def change(entries: DataFrame | None) -> DataFrame | None:
+        after = merged(entries, more)
+        if quota is not None and stored_size(after) > quota:
+            after = retained(after, F.lit(now_ms))
+            if stored_size(after) > quota:
+                return None
+        return after
+
+    return store.update(change)

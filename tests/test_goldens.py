@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import drawing, scalars
 from kithgraph.operators import expand, graph, history, profile, timeline, tree
+from kithgraph.snapshots import Snapshots
 from kithgraph.sources import envelopes, schemas
 from kithgraph.storage import written
 
@@ -173,8 +174,9 @@ def test_history_and_cache(spark, tmp_path):
     assert history.cached(entries, "cache-a", F.lit(now), ttl).count() == 1 and history.cached(entries, "cache-b", F.lit(now), ttl).count() == 0
     assert {r.key for r in history.retained(entries, F.lit(now)).collect()} == {"cache-a", "cache-b", "cache-c", "xp-f"}
     assert history.removed(entries, "cache-a").count() == 5 and {r.key for r in history.removed(entries).collect()} == {"xp-f"}
-    history.save(entries, str(tmp_path / "cache"))
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 6
+    store = Snapshots(spark, str(tmp_path / "cache"))
+    history.put(store, entries, now)
+    assert store.read().count() == 6
 
 
 def test_envelopes_and_profiles(spark, tmp_path):
