@@ -3,6 +3,7 @@
 An edge table has author, subject, ord (its place in the source's list) and attributes. Every cap is
 an ordered one and comes before the predicates that the application applies after the source's own
 limit, so "first N" is the same on every run. Sets of ids are bounded by the caps of the ExpandSpec.
+Instead of a table, ``edges`` may be a LookupStore of one: each step then reads only the files that hold its ids.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.functions.scalars import funded, truthy
+from kithgraph.sources.lookup_store import LookupStore
 from kithgraph.storage import written
 
+Edges = DataFrame | LookupStore
+
 
 @dataclass(frozen=True)
 class ExpandSpec:
@@ -48,20 +52,21 @@ def first_n(edges: DataFrame, key: str, n: int) -> DataFrame:
     return edges.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
 
-def direct(edges: DataFrame, root: int, own: str, spec: ExpandSpec, raw: bool = False) -> DataFrame:
+def direct(edges: Edges, root: int, own: str, spec: ExpandSpec, raw: bool = False) -> DataFrame:
     """The root's own edges on one side; raw: before the check of the far end."""
     far = "subject" if own == "author" else "author"
-    rows = edges.where(F.col(own) == root).orderBy("ord").limit(spec.source_cap).where(spec.keep()).orderBy("ord").limit(spec.level1_cap)
+    mine = edges.find(own, [root], spec.source_cap) if isinstance(edges, LookupStore) else edges.where(F.col(own) == root)
+    rows = mine.orderBy("ord").limit(spec.source_cap).where(spec.keep()).orderBy("ord").limit(spec.level1_cap)
     return rows.where(truthy(F.col(far))) if spec.known_ends and not raw else rows
 
 
-def level1(edges: DataFrame, root: int, spec: ExpandSpec) -> DataFrame:
+def level1(edges: Edges, root: int, spec: ExpandSpec) -> DataFrame:
     """Given, then received edges: phase 0, branch 0 and 1."""
     sides = [direct(edges, root, own, spec).withColumns({"phase": F.lit(0), "place": F.lit(0), "branch": F.lit(k)}) for k, own in enumerate(("author", "subject"))]
     return sides[0].unionByName(sides[1]).withColumn("level", F.lit(1))
 
 
-def level1_ids(edges: DataFrame, root: int, spec: ExpandSpec) -> DataFrame:
+def level1_ids(edges: Edges, root: int, spec: ExpandSpec) -> DataFrame:
     """id, place (from 1) of the profiles around the root, in the order in which they are first seen."""
     seen = [direct(edges, root, own, spec, raw=True).select(F.col(far).alias("id"), F.lit(k).alias("branch"), "ord") for k, (own, far) in enumerate((("author", "subject"), ("subject", "author")))]
     return _numbered(seen[0].union(seen[1]).where((F.col("id") != root) & F.col("id").isNotNull()), "branch", "ord")
@@ -72,8 +77,10 @@ def _numbered(seen: DataFrame, *order: str) -> DataFrame:
     return first.select("id", F.row_number().over(W.orderBy("_first")).alias("place"))  # ids are bounded by the caps
 
 
-def _of(edges: DataFrame, side: str, ids: DataFrame) -> DataFrame:
+def _of(edges: Edges, side: str, ids: DataFrame) -> DataFrame:
     """Edges whose side is among the ids, with the id's place."""
+    if isinstance(edges, LookupStore):
+        edges = edges.find(side, [r.id for r in ids.select("id").collect()])  # bounded by the caps
     return edges.join(F.broadcast(ids.withColumnRenamed("id", side)), side)
 
 
@@ -81,13 +88,13 @@ def _among(edges: DataFrame, side: str, ids: DataFrame, how: str = "left_semi")
     return edges.join(F.broadcast(ids.select(F.col("id").alias(side))), side, how)
 
 
-def level1_inter(edges: DataFrame, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
+def level1_inter(edges: Edges, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
     """Edges between the profiles around the root: phase 1."""
     rows = first_n(_of(edges, "author", ids), "author", spec.inter_cap).where(spec.keep())
     return _among(rows, "subject", ids).withColumns({"phase": F.lit(1), "branch": F.lit(0), "level": F.lit(1)})
 
 
-def level2(edges: DataFrame, root: int, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
+def level2(edges: Edges, root: int, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
     """Edges from the first profiles around the root to strangers: phase 2."""
     parts, chosen = [], ids.where(F.col("place") <= spec.level2_profiles)
     for k, (own, far) in enumerate((("author", "subject"), ("subject", "author"))[: 1 + spec.both_ways]):
@@ -104,13 +111,13 @@ def level2_ids(found: DataFrame, root: int, ids: DataFrame, spec: ExpandSpec) ->
     return _numbered(_among(seen, "id", ids, "left_anti"), "place", "branch", "ord", "side")
 
 
-def level2_inter(edges: DataFrame, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
+def level2_inter(edges: Edges, ids: DataFrame, spec: ExpandSpec) -> DataFrame:
     """Edges between the strangers: phase 3."""
     rows = first_n(_of(edges, "author", ids), "author", spec.level2_inter_cap).where(spec.keep())
     return _among(rows, "subject", ids).withColumns({"phase": F.lit(3), "branch": F.lit(0), "level": F.lit(2)})
 
 
-def ego_network(edges: DataFrame, root: int, spec: ExpandSpec) -> DataFrame:
+def ego_network(edges: Edges, root: int, spec: ExpandSpec) -> DataFrame:
     """All phases in order: the edges' columns, level and seq (from 1); at most total_cap rows.
 
     Intermediate id sets and the level 2 edges are bounded by the caps and written.
