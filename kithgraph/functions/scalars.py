@@ -91,8 +91,9 @@ def to_fixed(number: Column, digits: int) -> Column:
     return F.when(F.isnan(size), "NaN").otherwise(F.concat(F.when(number < 0, "-").otherwise(""), text))
 
 
-def plural(count: Column, word: str) -> Column:
-    return F.concat(F.format_string("%d ", count), F.when(count == 1, word).otherwise(word + "s"))
+def plural(count: Column, word: str, many: str | None = None) -> Column:
+    """The count and the word; ``many`` is the plural where it isn't the word with an s."""
+    return F.concat(F.format_string("%d ", count), F.when(count == 1, word).otherwise(many or word + "s"))
 
 
 def ring_visible(level: Column, rings: dict[int, bool]) -> Column:

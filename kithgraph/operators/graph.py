@@ -11,8 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.functions.scalars import ring_visible, truthy
+from kithgraph.operators.joins import split_lookup
+from kithgraph.operators.ranking import placed, with_places
 from kithgraph.storage import written
 
+#: Targets in a block of an adjacency list.
+BLOCK = 1024
+
 
 def _ends(edges: DataFrame, root: int) -> DataFrame:
     """id, level, seq, side, of_root (the edge's subject is the root): subjects, and authors other than the root."""
@@ -26,10 +31,11 @@ def min_levels(edges: DataFrame, root: int) -> DataFrame:
     return _ends(edges, root).groupBy("id").agg(F.min("level").alias("level"))
 
 
-def nodes(edges: DataFrame, root: int, drop_reviewers_of_root: bool = False) -> DataFrame:
+def nodes(edges: DataFrame, root: int, drop_reviewers_of_root: bool = False, capped: bool = True) -> DataFrame:
     """id, level, kind, place: the root first (place 0), then in order of first sight, the subject of an edge before its author.
 
-    drop_reviewers_of_root: an edge to the root makes no node of its author (the review network's quirk).
+    drop_reviewers_of_root: an edge to the root makes no node of its author (the review network's quirk). capped: the edges are those of
+    one network, and one task places its nodes; else places come from range partitions, for tables of any size.
     """
     ends = _ends(edges, root)
     made = ends.where(F.col("id") != root)
@@ -37,7 +43,7 @@ def nodes(edges: DataFrame, root: int, drop_reviewers_of_root: bool = False) ->
     seen = made.groupBy("id").agg(F.min(F.struct("seq", "side", "by_root", "of_root")).alias("first"), F.count("*").alias("n"))
     given = (F.col("first.side") == 0) & ~F.col("first.by_root") | (F.col("first.side") == 1) & F.col("first.of_root")
     found = seen.join(min_levels(edges, root), "id").select("id", "level", F.when(F.col("n") > 1, "both").otherwise(F.when(given, "given").otherwise("received")).alias("kind"), "first")
-    found = found.withColumn("place", F.row_number().over(W.orderBy("first.seq", "first.side"))).drop("first")
+    found = with_places(found.select("id", "level", "kind", F.col("first.seq").alias("_seq"), F.col("first.side").alias("_side")), ["_seq", "_side"], capped).drop("_seq", "_side")
     start = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("id"), F.lit(0).alias("level"), F.lit("root").alias("kind"), F.lit(0).alias("place"))
     return start.unionByName(found)
 
@@ -48,10 +54,13 @@ def visible(found: DataFrame, rings: dict[int, bool], cap: int = 200) -> DataFra
 
 
 def links(edges: DataFrame, shown: DataFrame) -> DataFrame:
-    """source, target, level (of the farther end), seq and attributes of the edges between shown nodes; parallel edges stay."""
+    """source, target, level (of the farther end), seq and attributes of the edges between shown nodes; parallel edges stay.
+
+    Whether ``shown`` is broadcast is left to Spark, which knows its size.
+    """
     a = shown.select(F.col("id").alias("author"), F.col("level").alias("_a"))
     b = shown.select(F.col("id").alias("subject"), F.col("level").alias("_b"))
-    rows = edges.drop("level").join(F.broadcast(a), "author").join(F.broadcast(b), "subject")  # shown is capped
+    rows = edges.drop("level").join(a, "author").join(b, "subject")
     return rows.withColumn("level", F.greatest("_a", "_b")).drop("_a", "_b").withColumnRenamed("author", "source").withColumnRenamed("subject", "target")
 
 
@@ -85,6 +94,11 @@ def last_sentiment(rows: DataFrame, source: str = "author", target: str = "subje
     return rows.groupBy(source, target).agg(F.max_by("sentiment", order).alias("sentiment"))
 
 
+def level_total(rows: DataFrame) -> DataFrame:
+    """total, levels: all edges and the number of their distinct levels ("n vouches across k levels")."""
+    return rows.agg(F.count("*").alias("total"), F.countDistinct("level").alias("levels"))
+
+
 def legend(rows: DataFrame) -> DataFrame:
     """level, n, place of every level but 0, in order; the window sees a row a level."""
     counts = rows.where(F.col("level") != 0).groupBy("level").agg(F.count("*").alias("n"))
@@ -155,10 +169,48 @@ def mark_triangles(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
-    """source, targets (sorted set) of capped link lists."""
+    """source, targets (sorted set) of capped link lists; ``adjacency_blocks`` for whole tables."""
     return pairs.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
 
 
+def adjacency_blocks(pairs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """source, block (from 0), low, high, targets: each source's set of targets, sorted and cut into blocks of ``size`` (the last may be smaller).
+
+    Places in the order of (source, target) come from range partitions, so a hub's targets are numbered by many tasks, and no row holds
+    more than ``size`` of them. Pairs without source or target are left out.
+    """
+    known = pairs.select("source", "target").where(F.col("source").isNotNull() & F.col("target").isNotNull()).distinct()
+    rows = placed(known, "source", "target", out="_place", first=0)
+    first = rows.groupBy("source").agg(F.min("_place").alias("_first"))
+    rows = split_lookup(rows, first, "source", F.col("target"))
+    block = F.floor((F.col("_place") - F.col("_first")) / size).cast("long")
+    return rows.groupBy("source", block.alias("block")).agg(F.min("target").alias("low"), F.max("target").alias("high"), F.array_sort(F.collect_list("target")).alias("targets"))
+
+
+def common_targets(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """a, b, n: how many targets the sources a and b of each asked row (a, b; repeated ones count once) share.
+
+    Only blocks whose ranges overlap meet. The blocks of one source lie apart, so with both sources' blocks in order of their first targets
+    each overlap is that of a block with the last block of the other source before it: one sorted window a pair, over narrow
+    rows (a source's targets divided by the blocks' size), finds at most as many overlaps as there are blocks.
+    """
+    pairs = asked.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    narrow = blocks.select("source", "block", "low", "high")
+    sides = []
+    for k, (mine, other) in enumerate((("a", "b"), ("b", "a"))):
+        found = split_lookup(pairs, narrow.withColumnRenamed("source", mine), mine, F.col(other))
+        sides.append(found.select("a", "b", "low", F.lit(k).alias("side"), F.struct("block", "low", "high").alias("at")))
+    order = W.partitionBy("a", "b").orderBy("low", "side").rowsBetween(W.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("side") == k, F.col("at")), True).over(order).alias(name) for k, name in enumerate(("x", "y"))]
+    met = sides[0].unionByName(sides[1]).select("a", "b", *last).where((F.col("x.low") <= F.col("y.high")) & (F.col("y.low") <= F.col("x.high")))
+    met = met.select("a", "b", F.col("x.block").alias("xb"), F.col("y.block").alias("yb"))
+    for name, side, block in (("xs", "a", "xb"), ("ys", "b", "yb")):
+        table = blocks.select(F.struct(F.col("source"), F.col("block")).alias("_key"), F.col("targets").alias(name))
+        met = split_lookup(met.withColumn("_key", F.struct(F.col(side).alias("source"), F.col(block).alias("block"))), table, "_key", F.xxhash64("a", "b")).drop("_key")
+    counts = met.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("xs", "ys"))).alias("n"))
+    return pairs.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def review_view(edges: DataFrame, root: int, rings: dict[int, bool], sentiments: set[str], hide_isolated: bool = False, exact: bool = True, cap: int = 200):
     """(nodes, links) of the review network: shown sentiments and rings, reachable from the root, optionally without low degrees."""
     made = written(nodes(edges, root, drop_reviewers_of_root=exact), "nodes")

@@ -27,9 +27,10 @@ def without(searches: DataFrame, query: str) -> DataFrame:
 
 
 def parse_history(text: Column) -> Column:
-    """The array of searches in a JSON text; unreadable text is an empty history."""
+    """The array of searches in a JSON text; unreadable text, and anything but an array of objects with a query, is an empty history."""
     kind = f"array<struct<{RECENT}>>"
-    return F.coalesce(F.from_json(text, kind), F.array().cast(kind))
+    found = F.filter(F.from_json(text, kind), lambda s: s["query"].isNotNull())
+    return F.coalesce(F.when(text.rlike(r"^\s*\["), found), F.array().cast(kind))
 
 
 def upsert(searches: DataFrame, search: DataFrame, keep: int = STORED) -> DataFrame:

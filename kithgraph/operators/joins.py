@@ -11,8 +11,9 @@ SPLITS = 16
 def split_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "inner", splits: int = SPLITS) -> DataFrame:
     """``rows`` joined with the few rows that ``table`` has for their key, where many rows may share one key.
 
-    A row goes to one of ``splits`` parts of its key by a hash of ``spread`` (a column of ``rows`` that differs among a key's rows). A key's
-    rows of ``table`` are copied to those parts only that occur, which a pre-aggregated list of (key, part) tells, so a key that occurs once costs one copy.
+    A row goes to one of ``splits`` parts of its key by a hash of ``spread`` (a function of the columns of ``rows``, which
+    differs among a key's rows; rows equal in it are left to Spark's own splitting of skewed joins). A key's rows
+    of ``table`` are copied to those parts only that occur, which a pre-aggregated list of (key, part) tells, so a key that occurs once costs one copy.
     The columns of the two must differ but for ``key``. A null key finds nothing.
     """
     part = F.pmod(F.xxhash64(spread), F.lit(splits))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.storage import written
@@ -31,3 +32,8 @@ def placed(rows: DataFrame, *order: str | Column, out: str = "place", first: int
     sums = rows.sparkSession.createDataFrame(offsets, "_part int, _before long")
     joined = dealt.join(F.broadcast(sums), part.cast("int") == F.col("_part"))
     return joined.select(*[F.col(c) for c in rows.columns], (F.col("_before") + within).alias(out))
+
+
+def with_places(rows: DataFrame, order: list[str], capped: bool, out: str = "place") -> DataFrame:
+    """``placed``, or a window over all rows where a cap bounds them: one task then, but no job and no written table."""
+    return rows.withColumn(out, F.row_number().over(W.orderBy(*order))) if capped else placed(rows, *order, out=out)
