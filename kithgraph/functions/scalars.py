@@ -120,3 +120,9 @@ def toggle_ring(rings: dict[int, bool], ring: int) -> dict[int, bool]:
     if ring == 3 and not rings.get(2, False):
         after[2] = True
     return after
+
+
+def toggled(ring_2: Column, ring_3: Column, ring: Column) -> dict[int, Column]:
+    """``toggle_ring`` on columns: the next state of rings 2 and 3."""
+    after = F.when(ring == 2, ~ring_2).when((ring == 3) & ~ring_2, F.lit(True)).otherwise(ring_2)
+    return {2: after, 3: F.when(ring == 3, ~ring_3).otherwise(ring_3)}

@@ -6,7 +6,7 @@ parameters). ``exact`` keeps the application's quirks, ``intended`` mends them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,6 +105,11 @@ def legend(rows: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(W.orderBy("level")))
 
 
+def sentiment_shown(sentiment: Column, enabled: Column) -> Column:
+    """Whether a review is shown where these sentiments (an array) are on; with none on, nothing is."""
+    return F.coalesce((F.size(enabled) > 0) & F.array_contains(enabled, sentiment), F.lit(False))
+
+
 def visible_reviews(edges: DataFrame, found: DataFrame, rings: dict[int, bool], sentiments: set[str]) -> DataFrame:
     """Reviews of a shown sentiment between nodes whose rings are shown."""
     rows = edges.where(F.col("sentiment").isin(*sentiments) if sentiments else F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kithgraph.functions import drawing, scalars
 from kithgraph.operators import expand, graph, history, profile, timeline, tree
 from kithgraph.plans import sql
+from kithgraph.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from kithgraph.sources import envelopes, schemas, standins
 from kithgraph.sources.standins import table
 from kithgraph.storage import written
@@ -21,21 +22,6 @@ RING_1, ALL_RINGS = {1: True}, {1: True, 2: True, 3: True}
 SENTIMENTS = {"positive", "neutral", "negative"}
 NOW_MS = 1_706_745_600_000  # 2024-02-01
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(select: str | None, *stages: dict[str, str]):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(run):
-        QUERIES[run.__name__] = run
-        if select:
-            ORACLE_SQL[run.__name__] = sql.query(select, *stages)
-        return run
-
-    return register
-
 
 def _vouch_net(spark: SparkSession, d: str) -> DataFrame:
     return written(expand.ego_network(standins.vouches(spark, d), ROOT, expand.VOUCHES), "vouch-net")
@@ -101,11 +87,16 @@ def to_fixed(spark, d):
     return standins.profiles(spark, d).select("profile_id", *[scalars.to_fixed(amount, k).alias(f"fixed_{k}") for k in (1, 2, 4)])
 
 
-@query("""SELECT r2, r3, ring, CASE WHEN ring = 2 THEN NOT r2 WHEN ring = 3 AND NOT r2 THEN true ELSE r2 END AS next_2, CASE WHEN ring = 3 THEN NOT r3 ELSE r3 END AS next_3
-  FROM (VALUES (false), (true)) a(r2), (VALUES (false), (true)) b(r3), (VALUES (1), (2), (3)) c(ring)""")
+_SWITCHES = {"switch": "SELECT profile_id, profile_id % 2 = 1 AS r2, profile_id // 2 % 2 = 1 AS r3, CAST(profile_id % 3 + 1 AS INTEGER) AS ring FROM profiles"}
+
+
+@query("SELECT profile_id, r2, r3, ring, CASE WHEN ring = 2 THEN NOT r2 WHEN ring = 3 AND NOT r2 THEN true ELSE r2 END AS next_2, CASE WHEN ring = 3 THEN NOT r3 ELSE r3 END AS next_3 FROM switch", _SWITCHES)
 def toggle_ring(spark, d):
-    cases = [(r2, r3, ring, *[scalars.toggle_ring({1: True, 2: r2, 3: r3}, ring)[k] for k in (2, 3)]) for r2 in (False, True) for r3 in (False, True) for ring in (1, 2, 3)]
-    return spark.createDataFrame(cases, "r2 boolean, r3 boolean, ring int, next_2 boolean, next_3 boolean")
+    """Every profile's ring switches after one of them is used."""
+    bit = lambda n: F.floor(F.col("profile_id") / n) % 2 == 1
+    rows = standins.profiles(spark, d).select("profile_id", bit(1).alias("r2"), bit(2).alias("r3"), (F.col("profile_id") % 3 + 1).cast("int").alias("ring"))
+    after = scalars.toggled(F.col("r2"), F.col("r3"), F.col("ring"))
+    return rows.select("*", after[2].alias("next_2"), after[3].alias("next_3"))
 
 
 # Expansion
@@ -357,9 +348,19 @@ def xp_nearest(spark, d):
     return timeline.nearest(_points(spark, d), F.lit(1_705_300_000))
 
 
-@query("SELECT '2024-01-01' AS start_date")
+_WEEKS = {"weeks": "SELECT week, CASE WHEN week % 3 = 0 THEN '' ELSE strftime(DATE '2024-01-01' + CAST(week * 7 AS INTEGER), '%Y-%m-%d') END AS start_date, min(event_id) AS ord, count(*) AS n FROM (SELECT *, date_diff('day', DATE '2024-01-01', ts) // 7 AS week FROM events) GROUP BY week"}
+
+
+def _weeks(spark, d):
+    """The weeks that have events; some without a start."""
+    week = F.expr("datediff(ts, date'2024-01-01') div 7").cast("int")
+    rows = table(spark, d, "events").groupBy(week.alias("week")).agg(F.min("event_id").alias("ord"), F.count("*").alias("n"))
+    return rows.withColumn("start_date", F.when(F.col("week") % 3 == 0, "").otherwise(F.date_format(F.date_add(F.lit("2024-01-01"), F.col("week") * 7), "yyyy-MM-dd")))
+
+
+@query("SELECT arg_min(start_date, ord) AS start_date FROM weeks WHERE start_date <> ''", _WEEKS)
 def xp_first_start(spark, d):
-    return timeline.season_start(standins.week_calendar(spark))
+    return timeline.season_start(_weeks(spark, d))
 
 
 # History and cache
@@ -475,10 +476,15 @@ def arrow_places(spark, d):
     return rows.select("source", "target", "seq", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in found.items()])
 
 
-@query("SELECT * FROM (VALUES (1, 4, 2), (2, 0, 2), (3, 7, 2), (4, 0, 0)) t(kind, season, offered) WHERE kind < 4 UNION ALL SELECT 4, 0, 2")
+@query("""SELECT profile_id, CAST(CASE WHEN profile_id % 3 = 0 THEN profile_id % 5 WHEN profile_id % 4 > 0 THEN profile_id % 7 + 1 ELSE 0 END AS INTEGER) AS season, CAST(CASE WHEN profile_id % 4 > 0 THEN profile_id % 4 ELSE 2 END AS INTEGER) AS offered FROM profiles""")
 def default_season(spark, d):
-    rows = spark.createDataFrame([(1, [(3, "c"), (4, "d")], (4,)), (2, [(0, "a"), (1, "b")], None), (3, [(7, "x"), (8, "y")], None), (4, None, None)], "kind int, seasons array<struct<id:int,name:string>>, current struct<id:int>")
-    return rows.select("kind", timeline.default_season(F.col("current"), F.col("seasons")).alias("season"), F.size(timeline.offered_seasons(F.col("seasons"))).alias("offered"))
+    """Profiles whose source names no to three seasons, and every third a current one."""
+    first, count = F.col("profile_id") % 7 + 1, F.col("profile_id") % 4
+    all_ = F.transform(F.array(*map(F.lit, range(3))), lambda k: F.struct((first + k).cast("int").alias("id"), F.concat(F.lit("Season "), (first + k).cast("string")).alias("name")))
+    seasons = F.when(count > 0, F.slice(all_, 1, F.greatest(count, F.lit(1)).cast("int")))
+    current = F.when(F.col("profile_id") % 3 == 0, F.struct((F.col("profile_id") % 5).cast("int").alias("id")))
+    rows = standins.profiles(spark, d).select("profile_id", seasons.alias("seasons"), current.alias("current"))
+    return rows.select("profile_id", timeline.default_season(F.col("current"), F.col("seasons")).alias("season"), F.size(timeline.offered_seasons(F.col("seasons"))).alias("offered"))
 
 
 @query("SELECT profile_id, 'profileId%3A' || profile_id AS encoded, 'cache-vouches-' || profile_id || '-given' AS key FROM profiles")
@@ -560,11 +566,12 @@ def ego_without_room(spark, d):
     return expand.ego_network(standins.vouches(spark, d), ROOT, replace(expand.VOUCHES, node_cap=6)).select("author", "subject", "ord")
 
 
-@query("SELECT author, subject, sentiment FROM review WHERE false")
+@query("SELECT author, author % 8 <> 0 AS any_enabled, count(*) FILTER ((sentiment = 'positive' AND author % 2 = 1) OR (sentiment = 'neutral' AND author // 2 % 2 = 1) OR (sentiment = 'negative' AND author // 4 % 2 = 1)) AS shown FROM review GROUP BY author")
 def graph_without_sentiments(spark, d):
-    rows = standins.reviews(spark, d)
-    shown = rows.select(F.col("author").alias("id"), F.lit(1).alias("level")).distinct()
-    return graph.visible_reviews(rows, shown, ALL_RINGS, set()).select(F.col("source").alias("author"), F.col("target").alias("subject"), "sentiment")
+    """Authors who switched sentiments on, by the bits of their ids: who switched all off is shown nothing."""
+    switches = F.array(*[F.when(F.floor(F.col("author") / bit) % 2 == 1, s) for s, bit in (("positive", 1), ("neutral", 2), ("negative", 4))])
+    enabled = F.array_compact(switches)
+    return standins.reviews(spark, d).groupBy("author").agg(F.first(F.size(enabled) > 0).alias("any_enabled"), F.count(F.when(graph.sentiment_shown(F.col("sentiment"), enabled), 1)).alias("shown"))
 
 
 @query("SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY time, week) AS place FROM point")
@@ -627,3 +634,6 @@ def searches_shown(spark, d):
 @query("SELECT key FROM entries WHERE NOT starts_with(key, 'cache-')", _CACHE)
 def cache_cleared(spark, d):
     return history.removed(_cache(spark, d)).select("key")
+
+
+from kithgraph.plans import whole  # noqa: E402, F401  (registers its queries)

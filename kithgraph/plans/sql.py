@@ -63,6 +63,31 @@ VOUCH["v_link"] = """SELECT e.author AS source, e.subject AS target, e.seq, e.at
 REVIEW = _network("SELECT author, subject, sentiment AS attr, ord FROM review", "r_", ROOT, (50, 50, 100, 10, 20, 50, 200), "true", True)
 
 
+def networks(edges: str, p: str, caps: tuple[int, int, int, int, int, int, int], keep: str, both: bool) -> dict[str, str]:
+    """The networks of all profiles at once: as ``_network``, with root as a key."""
+    source, near, inter, profiles, far, far_inter, total = caps
+    known = lambda side: f"AND {side} <> 0" if both else ""
+    edge = "e.author, e.subject, e.attr, e.ord"
+    own = lambda side, n: f"SELECT {side} AS root, * FROM (SELECT *, row_number() OVER (PARTITION BY {side} ORDER BY ord) AS kn FROM {p}{n} WHERE {n} <= {source} AND {keep}) WHERE kn <= {near} AND {side} IN (SELECT profile_id FROM profiles)"
+    level2 = lambda side, far_side, n, branch: f"SELECT i.root, {edge}, 2 AS phase, i.place, {branch} AS branch, 2 AS level FROM {p}{n} e JOIN {p}ids i ON e.{side} = i.id WHERE i.place <= {profiles} AND e.{n} <= {far} AND {keep} AND e.{far_side} <> i.root {known('e.' + far_side)} AND (i.root, e.{far_side}) NOT IN (SELECT root, id FROM {p}ids)"
+    return {
+        f"{p}e AS MATERIALIZED": edges,
+        f"{p}na": f"SELECT *, row_number() OVER (PARTITION BY author ORDER BY ord) AS na FROM {p}e",
+        f"{p}ns": f"SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ord) AS ns FROM {p}e",
+        f"{p}g": own("author", "na"),
+        f"{p}r": own("subject", "ns"),
+        f"{p}l1": f"SELECT root, {edge}, 0 AS phase, 0 AS place, 0 AS branch, 1 AS level FROM {p}g e WHERE true {known('subject')} UNION ALL SELECT root, {edge}, 0, 0, 1, 1 FROM {p}r e WHERE true {known('author')}",
+        f"{p}ids AS MATERIALIZED": f"SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY f) AS place FROM (SELECT root, id, min((branch, ord)) AS f FROM (SELECT root, subject AS id, 0 AS branch, ord FROM {p}g UNION ALL SELECT root, author, 1, ord FROM {p}r) WHERE id <> root GROUP BY ALL)",
+        f"{p}inter": f"SELECT i.root, {edge}, 1 AS phase, i.place, 0 AS branch, 1 AS level FROM {p}na e JOIN {p}ids i ON e.author = i.id WHERE na <= {inter} AND {keep} AND (i.root, e.subject) IN (SELECT root, id FROM {p}ids)",
+        f"{p}l2 AS MATERIALIZED": level2("author", "subject", "na", 0) + (f" UNION ALL {level2('subject', 'author', 'ns', 1)}" if both else ""),
+        f"{p}ids2 AS MATERIALIZED": f"SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY f) AS place FROM (SELECT root, id, min((place, branch, ord, side)) AS f FROM (SELECT root, subject AS id, place, branch, ord, 0 AS side FROM {p}l2"
+        + (f" UNION ALL SELECT root, author, place, branch, ord, 1 FROM {p}l2" if both else "")
+        + f") WHERE id <> root AND (root, id) NOT IN (SELECT root, id FROM {p}ids) GROUP BY ALL)",
+        f"{p}inter2": f"SELECT i.root, {edge}, 3 AS phase, i.place, 0 AS branch, 2 AS level FROM {p}na e JOIN {p}ids2 i ON e.author = i.id WHERE na <= {far_inter} AND {keep} AND (i.root, e.subject) IN (SELECT root, id FROM {p}ids2)",
+        f"{p}nets": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY phase, place, branch, ord) AS seq FROM (SELECT * FROM {p}l1 UNION ALL SELECT * FROM {p}inter UNION ALL SELECT * FROM {p}l2 UNION ALL SELECT * FROM {p}inter2)) WHERE seq <= {total}",
+    }
+
+
 def review_view(rings: str, sentiments: str, hide: bool, p: str = "x_") -> dict[str, str]:
     """Shown nodes and links of the review network."""
     return {
@@ -90,5 +115,5 @@ TREE = {
 
 def query(select: str, *stages: dict[str, str]) -> str:
     """``select`` over the stand-ins and the given stages."""
-    parts = [f"{name} AS ({body})" for stage in (STANDINS, *stages) for name, body in stage.items()]
+    parts = [f"{name} ({body})" if name.endswith("MATERIALIZED") else f"{name} AS ({body})" for stage in (STANDINS, *stages) for name, body in stage.items()]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
