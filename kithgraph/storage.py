@@ -18,6 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Spark reads it by, for readers that take a path without scheme as a local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if hadoop.Path(path).toUri().getScheme():
+        return path
+    return hadoop.Path(path).makeQualified(hadoop.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()), hadoop.Path("/")).toString()
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
