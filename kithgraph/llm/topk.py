@@ -9,9 +9,11 @@ only; the kth score found there goes with it to all other shards in the second r
 
 Queries travel in groups of bounded size, and a task holds one shard and one group.
 
+Rows are told apart by their place in the order of (id, vector), so rows that share an id are queries and candidates
+of their own; a query leaves out its own row only. Equal scores rank by that place, and so by smaller id.
+
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, and
-neither do rows without an id; missing components of shorter vectors count as 0; of rows that share an
-id, the smallest vector counts; equal scores rank by smaller id; fewer candidates than k give fewer
+neither do rows without an id; missing components of shorter vectors count as 0; fewer candidates than k give fewer
 rows; an empty table gives no rows; other columns are not read.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.llm.common import table, written
+from kithgraph.operators.joins import split_lookup
+from kithgraph.operators.ranking import placed
 
 K = 20
 SCALE = 64
@@ -38,11 +42,11 @@ SHARD_LEAST, SHARD_MOST = 4096, 65536
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, vec (array of longs: floor(scale * x) of each component) of the rows that take part."""
+    """vec_id, vec (array of longs: floor(scale * x) of each component), row (the place by both) of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(scale * x.cast("double"))).alias("vec"))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return placed(rows, "vec_id", "vec", out="row")
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -54,6 +58,8 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 
 class KDTree:
+    """Points by unique numbers (ids), by which equal scores rank."""
+
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         self.ids, self.points = ids[order], points[order]
@@ -109,48 +115,50 @@ class KDTree:
 
 
 def _round(trees: DataFrame, asked: DataFrame, groups: int, width: int, k: int) -> DataFrame:
-    """query_id, vec_id, score for rows of ``asked`` (query_id, vec, shard, group, kth_score, kth_id)."""
+    """query, row, score for rows of ``asked`` (query: a row's number, vec, shard, group, known, kth_score, kth_row)."""
 
     def search(tree: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(tree) and len(queries):
-            bounds = [None if pd.isna(s) else (int(s), int(i)) for s, i in zip(queries["kth_score"], queries["kth_id"], strict=True)]
-            of = queries["query_id"].to_numpy(np.int64)
+            bounds = [(int(s), int(i)) if known else None for known, s, i in zip(queries["known"], queries["kth_score"], queries["kth_row"], strict=True)]
+            of = queries["query"].to_numpy(np.int64)
             kd = pickle.loads(tree["tree"].iloc[0])
             m = _matrix(queries["vec"], width)
             if m.dtype == np.int64:
                 kd.points, kd.low, kd.high = (x.astype(np.int64) for x in (kd.points, kd.low, kd.high))
             found = [(q, s, i) for q, (s, i) in zip(of, kd.search(m, of, k, bounds), strict=True)]
         return pd.DataFrame({
-            "query_id": np.repeat(np.array([q for q, _, _ in found], np.int64), [len(s) for _, s, _ in found] or 0),
-            "vec_id": np.concatenate([i for _, _, i in found] or [np.empty(0, np.int64)]).astype(np.int64),
+            "query": np.repeat(np.array([q for q, _, _ in found], np.int64), [len(s) for _, s, _ in found] or 0),
+            "row": np.concatenate([i for _, _, i in found] or [np.empty(0, np.int64)]).astype(np.int64),
             "score": np.concatenate([s for _, s, _ in found] or [np.empty(0)]).astype(np.int64),
         })
 
     spread = trees.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return spread.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInPandas(search, "query_id long, vec_id long, score long")
+    return spread.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInPandas(search, "query long, row long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of ``vectors`` other than its own (both: vec_id, vec; written)."""
+    """query_id, rank, vec_id, score: each query's k best rows of ``vectors`` other than itself (both: vec_id, vec, row; written; queries are rows of ``vectors``)."""
     size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
     shards = max(1, math.ceil(size.n / min(SHARD_MOST, max(SHARD_LEAST, size.n // 12))))
     groups, width = max(1, math.ceil(queries.count() / QUERY_GROUP)), size.width
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = KDTree(rows["vec_id"].to_numpy(np.int64), _matrix(rows["vec"], width))
+        tree = KDTree(rows["row"].to_numpy(np.int64), _matrix(rows["vec"], width))
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
 
-    trees = written(vectors.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, tree binary"), "kd-trees")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "vec", shard.alias("home"), F.pmod(F.xxhash64("vec_id", F.lit("group")), F.lit(groups)).cast("int").alias("group"))
-    none = F.lit(None).cast("long")
-    first = written(_round(trees, asked.withColumn("shard", F.col("home")).withColumns({"kth_score": none, "kth_id": none}), groups, width, k), "kd-first")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
-    others = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
+    trees = written(vectors.drop("vec_id").withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, tree binary"), "kd-trees")
+    asked = queries.select(F.col("row").alias("query"), "vec", shard.alias("home"), F.pmod(F.xxhash64("row", F.lit("group")), F.lit(groups)).cast("int").alias("group"))
+    zero = F.lit(0).cast("long")
+    first = written(_round(trees, asked.withColumn("shard", F.col("home")).withColumns({"known": F.lit(False), "kth_score": zero, "kth_row": zero}), groups, width, k), "kd-first")
+    best = W.partitionBy("query").orderBy(F.desc("score"), "row")
+    kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query", F.lit(True).alias("known"), F.col("score").alias("kth_score"), F.col("row").alias("kth_row"))
+    others = asked.join(kth, "query", "left").fillna(0, ["kth_score", "kth_row"]).fillna(False, ["known"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
     found = first.union(_round(trees, others, groups, width, k)) if shards > 1 else first
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ranked.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return split_lookup(ranked, vectors.select("row", "vec_id"), "row", F.col("query")).select("query_id", "rank", "vec_id", "score")  # a vector may be near to all
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +168,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.rid <> c.rid
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 20
 """

@@ -7,15 +7,12 @@ from kithgraph.llm.common import written
 
 
 def brute(rows, k, step):
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(64 * float(x))) for x in v]
-            best[i] = min(best.get(i, w), w)
+    kept = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in best if i % step == 0):
-        scored = sorted((-sum(a * b for a, b in zip(best[q], v)), i) for i, v in best.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for q, (i, w) in enumerate(kept):
+        if i % step == 0:
+            scored = sorted((-sum(a * b for a, b in zip(w, v)), j) for c, (j, v) in enumerate(kept) if c != q)
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -26,7 +23,7 @@ def test_against_all_pairs(spark, monkeypatch):
     r = random.Random(4)
     hot = [0.5, -0.25, 0.0, 1.0]
     rows = [(i, hot if i % 3 == 0 else [r.choice((-1.0, -0.5, 0.01, 0.5, 1.0)) for _ in range(4)]) for i in range(-40, 260)]
-    rows += [(300, None), (320, [1.0, None, 0.0, 0.0]), (340, [1.0, float("nan"), 0.0, 0.0]), (360, [float("inf"), 0.0, 0.0, 0.0]), (None, hot), (380, [1.0]), (400, []), (3, [9.0, 9.0, 9.0, 9.0]), (3, hot)]
+    rows += [(300, None), (320, [1.0, None, 0.0, 0.0]), (340, [1.0, float("nan"), 0.0, 0.0]), (360, [float("inf"), 0.0, 0.0, 0.0]), (None, hot), (380, [1.0]), (400, []), (3, [9.0, 9.0, 9.0, 9.0]), (3, hot), (40, [1.0, 1.0, 0.0, 0.0]), (60, hot), (60, hot), (2**53 + 1, hot), (-(2**53) - 1, hot)]
     vectors = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, score int")
     v = written(topk.quantised(vectors), "t")
     got = topk.top_k(v, v.where("vec_id % 20 = 0"), 7).collect()
