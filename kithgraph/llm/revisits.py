@@ -35,10 +35,15 @@ KEPT_HEADERS = (
 
 
 def canonical(url: Column) -> Column:
-    """Without scheme, www, default port, fragment and a closing slash; host in lower case; query kept in order."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(plain, "^[^/?]*", 0)), "^www[.]", ""), ":(80|443)$", "")
-    return F.concat(host, F.regexp_replace(F.regexp_extract(plain, "[/?].*$", 0), "/$", ""))
+    """Without scheme, www, the scheme's default port (without scheme: either), fragment and, where no query follows, the path's closing slash; host in lower case; query kept as it is."""
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    plain = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    scheme = F.lower(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(plain, "^[^/?]*", 0)), "^www[.]", "")
+    port = F.regexp_extract(host, ":([0-9]+)$", 1)
+    default = (port == "80") & scheme.isin("http", "") | (port == "443") & scheme.isin("https", "")
+    host = F.when(default, F.regexp_replace(host, ":[0-9]+$", "")).otherwise(host)
+    return F.concat(host, F.regexp_replace(F.regexp_extract(plain, "[/?].*$", 0), "^([^?]*)/$", "$1"))
 
 
 def _tag(headers: Column) -> Column:
@@ -121,13 +126,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH pages_ AS (
   SELECT page_id, md5(coalesce(html, '')) AS md5, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain,
+    lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme
   FROM pages
+), hosts AS (
+  SELECT *, regexp_replace(lower(regexp_extract(plain, '^[^/?]*')), '^www[.]', '') AS host FROM pages_
 ), keyed AS (
   SELECT page_id, md5, size,
-    regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '')
-      || regexp_replace(regexp_extract(plain, '[/?].*$'), '/$', '') AS key
-  FROM pages_
+    CASE WHEN (host LIKE '%:80' AND scheme IN ('http', '')) OR (host LIKE '%:443' AND scheme IN ('https', '')) THEN regexp_replace(host, ':[0-9]+$', '') ELSE host END
+      || regexp_replace(regexp_extract(plain, '[/?].*$'), '^([^?]*)/$', '\1') AS key
+  FROM hosts
 ), records AS (
   SELECT page_id AS record_id, page_id AS ts, 'response' AS kind, key, '"' || md5 || '"' AS tag, md5 AS digest, size AS length FROM keyed
   UNION ALL

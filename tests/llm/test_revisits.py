@@ -11,6 +11,15 @@ def test_canonical(spark):
     assert found == {"a.com/x/?q=1"}
 
 
+def test_different_pages_keep_their_keys(spark):
+    keys = {
+        "http://a.com/x?u=b/": "a.com/x?u=b/", "http://a.com/x?u=b": "a.com/x?u=b", "http://a.com/x/": "a.com/x", "http://a.com/x//": "a.com/x/", "a.com/": "a.com", "a.com?": "a.com?",
+        "https://a.com:80/": "a.com:80", "http://a.com:443/y": "a.com:443/y", "https://a.com:443": "a.com", "HTTP://a.com:80": "a.com", "ftp://a.com:80/": "a.com:80", "a.com:8080/": "a.com:8080", None: None,
+    }
+    rows = spark.createDataFrame([(u,) for u in keys], "u string")
+    assert {r.u: r.k for r in rows.select("u", revisits.canonical(F.col("u")).alias("k")).collect()} == keys
+
+
 SCHEMA = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string, length long, key string"
 
 
