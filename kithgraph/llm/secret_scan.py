@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithgraph.llm.common import numbered, table, written
+from kithgraph.llm.common import numbered, table, with_computed, written
 
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 16
@@ -140,15 +140,17 @@ def _steps(p: np.ndarray) -> np.ndarray:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(stratum, step, start, end, whether a base span holds it) of the judged runs."""
-    found = []
+    """(stratum, step, start, end, whether a base span holds it) of the judged runs. ``base`` is in order of start, as the runs are: both are walked once."""
+    found, k, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
         run, (start, end) = m.group(), m.span()
+        while k < len(base) and base[k][1] <= start:
+            reach, k = max(reach, base[k][2]), k + 1
         code = encoding(run)
         if code is not None:
             band = sum(len(run) >= b for b in BANDS) - 1
             step = int(_steps(np.array([battery(run, code)]))[0])
-            found.append((code * len(BANDS) + band, step, start, end, any(a <= start and end <= b for _, a, b in base)))
+            found.append((code * len(BANDS) + band, step, start, end, end <= reach))
     return found
 
 
@@ -247,21 +249,27 @@ def spans(scanned: DataFrame, rate: float = RATE) -> DataFrame:
     return rows.withColumn("spans", by_start)
 
 
+def masked(text: str | None, found: list[tuple[int, int]], mark: str) -> str | None:
+    """The text with ``mark`` for each (start, end), in order of start; overlapping ones are one."""
+    parts, at = [], 0
+    for start, end in found:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]]) if parts else text
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
-    """The documents with every span's text replaced by ``mark``; overlapping spans are one. n_chars follows."""
+    """The documents with every span's text replaced by ``mark``; overlapping spans are one. n_chars follows. A text is put together once, from its slices."""
     rows, names = numbered(docs)
     found = spans(written(scan(rows, names), "secrets"), rate)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
+    places = found.select(*names, F.transform("spans", lambda s: s["start"]).alias("starts"), F.transform("spans", lambda s: s["end"]).alias("ends"))
 
-    def step(done, s):
-        gap = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts, starts, ends = (batch.column(c).to_pylist() for c in ("text", "starts", "ends"))
+        return [pa.array([masked(t, list(zip(a, b, strict=True)), mark) for t, a, b in zip(texts, starts, ends, strict=True)], pa.string()), pa.array([len(a) > 0 for a in starts])]
 
-    clean = F.aggregate("spans", start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    hit = F.size("spans") > 0
-    rows = found.withColumns({"text": F.when(hit, clean).otherwise(text), "hit": hit})
+    rows = with_computed(places, names, {"clean": T.StringType(), "hit": T.BooleanType()}, work).withColumn("text", F.col("clean"))
     if "n_chars" in docs.columns:
         size = names[docs.columns.index("n_chars")]
         rows = rows.withColumn(size, F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size)))

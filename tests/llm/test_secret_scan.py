@@ -53,6 +53,36 @@ def test_spans_and_redaction(spark):
     assert S.spans(S.scan(docs.limit(0))).count() == 0
 
 
+def test_long_texts_take_time_in_proportion():
+    """16,000 runs inside and beside base spans; the containment is that of comparing all with all."""
+    import time
+
+    r = random.Random(4)
+    parts = [r.choice(("token=", "", "secret: ")) + "".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(16_000)]
+    spent = []
+    for n in (8_000, 16_000):
+        text = " ".join(parts[:n])
+        base = S.base_spans(text)
+        began = time.process_time()
+        found = S.candidates(text, base)
+        clean = S.masked(text, [(a, b) for _, a, b in base], "#")
+        spent.append(time.process_time() - began)
+        assert len(found) >= n * 0.9 and "=" not in clean.replace("token=", "")
+        if n == 8_000:
+            some = found[::40]
+            assert [x[4] for x in some] == [any(a <= s and e <= b for _, a, b in base) for _, _, s, e, _ in some]
+    assert spent[1] < 3 * spent[0] + 0.5 and spent[1] < 12
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé漢", max_size=12), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 5)), max_size=5))
+def test_masks_cover_spans_once(text, places):
+    found = sorted((min(a, len(text)), min(a + n, len(text))) for a, n in places if min(a + n, len(text)) > min(a, len(text)))
+    hidden = {i for a, b in found for i in range(a, b)}
+    assert S.masked(text, found, "#").replace("#", "") == "".join(c for i, c in enumerate(text) if i not in hidden)
+    assert S.masked(None, [], "#") is None
+
+
 def test_q_values_against_plain_counting():
     import numpy as np
 
