@@ -38,8 +38,11 @@ from pyspark.sql import functions as F
 
 from kithgraph.llm.common import shared_dir, table, written
 from kithgraph.llm.token_ids import encoder, vocabulary
+from kithgraph.storage import qualified
 
 BLOCK = 64 << 10
+#: Bytes of entries at which a file ends, so that files, and the keys that a writer keeps for the filter, don't grow with the corpus.
+SHARD = 256 << 20
 MAGIC = 0x4B47535354303031
 END_ID = 0
 BITS_PER_KEY, PROBES = 10, 7
@@ -156,27 +159,36 @@ class Reader:
         return found
 
 
-def write(docs: DataFrame, directory: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the shards; returns the manifest: path, first_key, docs, ids, base (ids in the shards before)."""
-    name = tokenizer or vocabulary()
+def write(docs: DataFrame, directory: str, tokenizer: str | None = None, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
+    """Writes the shards; returns the manifest: path, first_key, docs, ids, base (ids in the shards before). A task's file ends at SHARD bytes and another begins."""
+    name, directory = tokenizer or vocabulary(), qualified(docs.sparkSession, directory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, out, path = encoder(name), None, f"{directory}/{uuid.uuid4().hex}.sst"
+        encode, out, path, part = encoder(name), None, "", 0
+
+        def closed() -> pd.DataFrame:
+            out.close()
+            return pd.DataFrame({"path": [path], "first_key": [out.keys[0]], "part": [part], "docs": [len(out.keys)], "ids": [out.ids]})
+
         for rows in batches:
             for key, text in zip(rows["key"], rows["text"], strict=True):
                 ids = encode(text)
-                out = out or Writer(path, ids.itemsize)
+                if out is None:
+                    path = f"{directory}/{uuid.uuid4().hex}.sst"
+                    out = Writer(path, ids.itemsize)
                 out.add(bytes(key), np.append(ids, np.array(end_id, ids.dtype)))
+                if out.at >= shard:
+                    yield closed()
+                    out, part = None, part + 1
         if out:
-            out.close()
-            yield pd.DataFrame({"path": [path], "first_key": [out.keys[0]], "docs": [len(out.keys)], "ids": [out.ids]})
+            yield closed()
 
     turned = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
     key = F.coalesce(F.to_binary(F.lpad(F.hex(turned), 16, "0"), F.lit("hex")), F.lit(b""))
     ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ranges.select(key.alias("key"), "text").mapInPandas(run, "path string, first_key binary, docs long, ids long"), "sst-manifest")
-    before = W.orderBy("first_key").rowsBetween(W.unboundedPreceding, -1)  # a row for each shard
-    return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    manifest = written(ranges.select(key.alias("key"), "text").mapInPandas(run, "path string, first_key binary, part long, docs long, ids long"), "sst-manifest")
+    before = W.orderBy("first_key", "part").rowsBetween(W.unboundedPreceding, -1)  # a row for each shard
+    return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).drop("part")
 
 
 def read(manifest: DataFrame) -> DataFrame:

@@ -38,6 +38,32 @@ def test_table_round_trip(spark, library, tmp_path):
     assert sstable.read(sstable.write(docs.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_files_end_at_a_size(spark, tmp_path):
+    """One hot doc_id over several files, and the order across them."""
+    docs = spark.createDataFrame([(7 if i % 2 else i, f"text {i:05d} " * 400) for i in range(300)], "doc_id long, text string")
+    manifest = sstable.write(docs, f"file://{tmp_path}/t", shard=64 << 10)
+    parts = manifest.collect()
+    assert len(parts) >= 8 and max(r.ids for r in parts) < 100_000
+    got = sorted(((r.start, r.doc_id, len(r.ids) // 4) for r in sstable.read(manifest).collect()))
+    assert [i for _, i, _ in got] == sorted(i for _, i, _ in got) and len(got) == 300
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_paths_without_scheme_are_those_of_spark(spark, tmp_path):
+    from kithgraph.storage import qualified
+
+    assert qualified(spark, "/shared/t") == "file:/shared/t"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://head:8020")
+    try:
+        assert qualified(spark, "/shared/t") == "hdfs://head:8020/shared/t" and qualified(spark, "s3a://b/t") == "s3a://b/t" and qualified(spark, "file:///x") == "file:///x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert sstable.read(sstable.write(docs, f"{tmp_path}/plain")).count() == 1
+
+
 def test_damage_is_seen(tmp_path):
     path = f"{tmp_path}/a.sst"
     out = sstable.Writer(f"file://{path}", 2)
