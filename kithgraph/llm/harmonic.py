@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.llm.common import table, with_bucket_offsets, written
@@ -87,7 +86,7 @@ class Filler:
         self.next_id += 1
 
     def end(self) -> None:
-        """Pieces of other lengths are cut into powers of two; what fills no bin goes out without a sequence."""
+        """Pieces of other lengths are cut into powers of two; what fills no bin goes out without a sequence, numbered by length."""
         for n in [n for n in self.open if n & (n - 1)]:
             waiting, self.open[n] = self.open[n], []
             for doc_id, start, _, total, data in waiting:
@@ -100,8 +99,8 @@ class Filler:
         for n, waiting in self.open.items():
             first = len(self.out["offset"])
             self._close(n, waiting)
-            for column in ("sequence_id", "offset"):
-                self.out[column][first:] = [None] * len(waiting)
+            self.out["sequence_id"][first:] = [None] * len(waiting)
+            self.out["offset"][first:] = range(len(waiting))
 
     def batch(self) -> pa.RecordBatch:
         made = pa.RecordBatch.from_pydict({c: pa.array(self.out[c], kind) for c, kind in self.COLUMNS.items()})
@@ -110,7 +109,7 @@ class Filler:
 
 
 def filled(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
-    """The pieces of every document, with worker; those that filled no bin of their worker have no sequence_id and no offset."""
+    """The pieces of every document, with worker; those that filled no bin of their worker have no sequence_id, and their number among the worker's of that length as offset."""
     name, cuts, lengths = tokenizer or vocabulary(), fewest_pieces(capacity, slack), class_lengths(capacity, slack)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +130,7 @@ def filled(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 def merged(loose: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Sequences of the pieces (of power-of-two lengths) that filled no bin of their worker: k to a bin, then groups of a power of two."""
-    own = W.partitionBy("length", "worker").orderBy("doc_id", "start", "ids_crc32")  # fewer than k pieces
-    rows = loose.drop("sequence_id", "offset").withColumns({"within": F.row_number().over(own) - 1, "one": F.lit(1)})
+    rows = loose.drop("sequence_id").withColumnRenamed("offset", "within").withColumn("one", F.lit(1))
     rows = with_bucket_offsets(rows, ["length"], "worker", "one", "before")
     sizes = loose.groupBy(F.col("length").alias("of")).agg(F.count("*").alias("n"))  # a row a power of two
     rows = rows.join(F.broadcast(sizes), F.col("length") == F.col("of"))
