@@ -95,7 +95,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` in training order, each as often as it is taken.
 
     A part of a document ends after its last taken word. n_chars, where there is one, follows the text.
-    Range-sorted by position. Rows alike in every column (maps apart) are one row here, joined with the turns
+    Range-sorted by position; the order holds in the rows returned, and a later stage that deals them by a hash, as
+    packing does, ends it. Rows alike in every column (maps apart) are one row here, joined with the turns
     of all of them, so each of them is dealt its own words. Documents without words are taken with none, so
     they don't stand in the mix.
     """
