@@ -47,6 +47,8 @@ RANKED = 100_000
 WORDS, CLASS, BUCKETS = 2048, 64, 64
 STATE, EMBED = 32, 24
 WINDOW, LANES, LEAST_STEPS = 32, 256, 80
+#: Steps that scoring takes at a time: nothing is cut there, so it only says how often tables are read again.
+SPAN = 128
 ROUNDS = 2
 RATE = 6e-3
 #: Targets of a training step at least: where only the ends of long documents are left, their windows are joined to segments of so many.
@@ -179,13 +181,14 @@ class GatedLM:
 
     def _view(self, flat: np.ndarray) -> GatedLM:
         """From now on the parameters are parts of ``flat``."""
-        at = 0
-        for k in sorted(self.p):
-            size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape)
-            at += size
+        self.p = self._parted(flat)
         return self
 
+    def _parted(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of ``flat`` that stand where ``flat()`` puts each parameter."""
+        ends = itertools.accumulate(self.p[k].size for k in sorted(self.p))
+        return {k: flat[end - self.p[k].size : end].reshape(self.p[k].shape) for k, end in zip(sorted(self.p), ends, strict=True)}
+
     def _room(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
         """An array of undefined content that the next call with this name takes back: fresh memory for every window costs more than the work on it."""
         size = math.prod(shape)
@@ -197,7 +200,20 @@ class GatedLM:
         """The columns of update gate, reset gate and candidate, each contiguous."""
         return [np.ascontiguousarray(self.p[name][:, i * STATE : (i + 1) * STATE]) for i in range(3)]
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False, passing: bool = False):
+    def _inputs(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What each unit feeds to update gate, reset gate and candidate, and the recurrent weights of these; the gates' negated, as their sums are needed so."""
+        p = self.p
+        fed = p["embed"] @ p["input"] + p["gate"]
+        fed, loops = [np.ascontiguousarray(fed[:, i * STATE : (i + 1) * STATE]) for i in range(3)], self._parts("loop")
+        for a in (*fed[:2], *loops[:2]):
+            a *= -1
+        return fed, loops
+
+    def tables(self):
+        """What ``states``, ``log_probability`` and ``gradients`` derive from the parameters; good until these change."""
+        return self._inputs(), self._weights()
+
+    def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False, passing: bool = False, tables=None):
         """The state after each of the inputs x (time, lane), from h; a start sets its lane to zero first.
 
         With ``keep_all`` also what the way back needs: states before each step, both gates, candidate, and its recurrent part.
@@ -205,11 +221,7 @@ class GatedLM:
         """
         p, (steps, lanes) = self.p, x.shape
         kind = np.result_type(p["loop"].dtype, h.dtype)
-        fed = p["embed"] @ p["input"] + p["gate"]
-        fed = [np.ascontiguousarray(fed[:, i * STATE : (i + 1) * STATE]) for i in range(3)]
-        loops = self._parts("loop")
-        for a in (*fed[:2], *loops[:2]):
-            a *= -1  # the gates' sums are needed negated
+        fed, loops = self._inputs() if tables is None else tables[0]
         every = self._room("every", (steps + 1, lanes, STATE), kind) if keep_all or passing else np.empty((steps + 1, lanes, STATE), kind)
         every[0] = h
         size = steps if keep_all else 1
@@ -262,9 +274,9 @@ class GatedLM:
             a -= a.max(axis=1, keepdims=True) if most > 80 else a.dtype.type(most - 60)
         return np.exp(a, out=a)
 
-    def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_probability(self, h: np.ndarray, y: np.ndarray, tables=None) -> np.ndarray:
         """Natural log of P(unit y) at each state; of a bucket as a whole."""
-        outer, outer_base, inner, inner_base, bound = self._weights()
+        outer, outer_base, inner, inner_base, bound = self._weights() if tables is None else tables[1]
         order, c, cuts = self._sorted(y)
         y, found = y[order], np.empty(len(order))
         h = h.take(order, axis=0, out=self._room("taken", (len(order), STATE), h.dtype), mode="clip")
@@ -290,27 +302,28 @@ class GatedLM:
         with np.errstate(divide="ignore"):
             return np.log(e.reshape(-1)[picked] / (e @ ones[: a.shape[1]]))
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray):
-        """Of the mean cross-entropy over targets y >= 0, back to the start of the window; and the last state."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray, tables=None, into: dict[str, np.ndarray] | None = None):
+        """Of the mean cross-entropy over targets y >= 0, back to the start of the window; and the last state. With ``into``, those of the sum are added to it."""
         p, (steps, lanes) = self.p, x.shape
-        out, last, (every, gates, candidates, mixed, reset) = self.states(x, h0, keep_all=True)
+        tables = self.tables() if tables is None else tables
+        out, last, (every, gates, candidates, mixed, reset) = self.states(x, h0, keep_all=True, tables=tables)
         kind = every.dtype
-        outer, outer_base, inner, inner_base, bound = self._weights()
+        outer, outer_base, inner, inner_base, bound = tables[1]
         order, c, cuts = self._sorted(y.reshape(-1))
         target, h = y.reshape(-1)[order], self._room("states", (len(order), STATE), kind)
         out.reshape(-1, STATE).take(order, axis=0, out=h, mode="clip")
-        scale, ones = kind.type(1 / max(1, len(order))), np.ones(max(_CLASSES, CLASS, _ROWS), kind)
-        g = {k: np.zeros_like(p[k]) for k in ("class", "class_base", "word", "word_base")}
+        scale, ones = kind.type(1 / max(1, len(order)) if into is None else 1), np.ones(max(_CLASSES, CLASS, _ROWS), kind)
+        g = {k: np.zeros_like(a) for k, a in p.items()} if into is None else into
         back, turned = self._room("back", h.shape, kind), np.ascontiguousarray(outer.T)
 
-        def layer(at: int, to: int, weights, base, aim, into, into_base) -> np.ndarray:
+        def layer(at: int, to: int, weights, base, aim, found, found_base) -> np.ndarray:
             a = h[at:to] @ weights
             a += base
             self._exp(a, bound)
             a *= (scale / (a @ ones[: a.shape[1]]))[:, None]
             a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= scale
-            into += h[at:to].T @ a
-            into_base += ones[: to - at] @ a
+            found += h[at:to].T @ a
+            found_base += ones[: to - at] @ a
             return a
 
         for at in range(0, len(order), _ROWS):
@@ -360,20 +373,19 @@ class GatedLM:
         first, units = every[:-1].reshape(-1, STATE), x.reshape(-1)
         back, gone = d.reshape(-1, 4 * STATE), np.flatnonzero(reset)
         fed, looped = back[:, : 3 * STATE], back[:, STATE:]
-        g["loop"] = first.T @ looped
+        g["loop"] += first.T @ looped
         if len(gone):
             g["loop"] -= first[gone].T @ looped[gone]
         seen = self._room("seen", (len(units), EMBED), kind)
         p["embed"].take(units, axis=0, out=seen, mode="clip")
         turn = np.r_[STATE : 3 * STATE, :STATE]  # fed's columns in the order of the parameters
-        g["gate"] = (np.ones(len(units), kind) @ fed)[turn]
-        g["input"] = (seen.T @ fed)[:, turn]
+        g["gate"] += (np.ones(len(units), kind) @ fed)[turn]
+        g["input"] += (seen.T @ fed)[:, turn]
         moved = np.matmul(fed, p["input"][:, np.r_[2 * STATE : 3 * STATE, : 2 * STATE]].T, out=self._room("moved", (len(units), EMBED), kind))
         order = np.argsort(units.astype(np.uint16), kind="stable")
         units = units[order]
         cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
-        g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][units[cuts]] = np.add.reduceat(moved.take(order, axis=0, out=seen, mode="clip"), cuts, axis=0)
+        g["embed"][units[cuts]] += np.add.reduceat(moved.take(order, axis=0, out=seen, mode="clip"), cuts, axis=0)
         return g, last
 
     def train(self, pieces: list[np.ndarray], rate: float) -> int:
@@ -383,10 +395,12 @@ class GatedLM:
         w = self.flat()
         self._view(w)
         m, v, held, live, step, f = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w), 0, 0, np.float32
+        into, tables = self._parted(held), None
         least = min(SEGMENT, lanes * WINDOW // 2)
 
         def move() -> None:
-            nonlocal live, step
+            nonlocal live, step, tables
+            tables = None
             a = held * f(1 / live)
             a *= f(min(1.0, 1.0 / (math.sqrt(float(a @ a)) + 1e-9)))
             held[:], live, step = 0, 0, step + 1
@@ -403,11 +417,9 @@ class GatedLM:
             w[:] -= a
 
         for x, y, _, h in _windows(pieces, lanes, WINDOW):
-            g, last = self.gradients(x, y, h[: x.shape[1]])
-            h[: x.shape[1]] = last
-            n = int((y >= 0).sum())
-            held += f(n) * np.concatenate([g[k].ravel() for k in sorted(self.p)])
-            live += n
+            tables = tables or self.tables()
+            h[: x.shape[1]] = self.gradients(x, y, h[: x.shape[1]], tables, into)[1]
+            live += int((y >= 0).sum())
             if live >= least:
                 move()
         if live:
@@ -416,14 +428,14 @@ class GatedLM:
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Sum of natural log P(unit) of each whole sequence."""
-        out = np.zeros(len(sequences))
-        for x, y, of, h in _windows(sequences, LANES, WINDOW):
-            states, last, _ = self.states(x, h[: x.shape[1]], passing=True)
+        out, tables = np.zeros(len(sequences)), self.tables()
+        for x, y, of, h in _windows(sequences, LANES, SPAN):
+            states, last, _ = self.states(x, h[: x.shape[1]], passing=True, tables=tables)
             h[: x.shape[1]] = last
             states, y, of = states.reshape(-1, STATE), y.reshape(-1), of.reshape(-1)
             if not (live := y >= 0).all():
                 states, y, of = states[live], y[live], of[live]
-            out += np.bincount(of, self.log_probability(states, y), len(sequences))
+            out += np.bincount(of, self.log_probability(states, y, tables), len(sequences))
         return out
 
 
