@@ -5,7 +5,8 @@ excess reshared by weight) and a schedule: how fast it is read over training tim
 integral of the schedule, scaled to the target, is the source's cumulative demand. Its documents
 stand in a fixed pseudo-random order; the words before a document (in the second round: plus the
 source's size) are inverted through the demand, which gives the document's training position.
-Sorting by position deals the mix.
+Sorting by position deals the mix. The words before a document are prefix sums over ranges of the whole
+order (source, md5 of the id, id, size, row), so neither a hot source nor an id that many rows share or lack fills a task.
 
 Defined cases: null text has size 0, and a document of size 0 is taken with 0 words; null sources
 form a source of their own, last in order; repeated rows count as separate documents; an empty
@@ -66,17 +67,25 @@ def position(offset: Column, target: Column, knots: Sequence[tuple[float, float]
     return out
 
 
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``_b``, the number of the range of ``order`` that each lies in, written.
+
+    Ranges hold about equal numbers of rows whatever their keys, provided that few rows are equal in all of ``order``.
+    """
+    return written(rows.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "mix-ranges")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, schedules=SCHEDULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, the kept columns, and taken_k and position_k of each round (null if not taken).
 
     ``taken`` counts the words of all rounds; the document at which a source meets its target is taken in part.
     """
-    sized = written(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size")), "mix-sizes")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    ranked = sized.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
-    ranked = with_bucket_offsets(ranked, ["source"], "_b", "size", "_before")
-    inside = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, -1)
+    sized = written(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), order.alias("_h"), F.monotonically_increasing_id().alias("_tie")), "mix-sizes")
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
+    order = ["_h", "doc_id", "size", *keep, "_tie"]
+    ranked = with_bucket_offsets(ranged(sized, "source", *order), ["source"], "_b", "size", "_before")
+    inside = W.partitionBy("source", "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     ranked = ranked.withColumn("_c", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ranked = ranked.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     rounds = []

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -78,3 +79,29 @@ def test_positions_invert_the_schedules(spark):
         (t0, m0), (t1, m1) = knots
         for k, t in enumerate(at):
             assert abs((m0 * t + (m1 - m0) * t * t / 2) / whole - k / 10) < 1e-9
+
+
+def test_ids_that_many_rows_lack_or_share_are_split(spark, monkeypatch):
+    """Half of the rows without id, a third of one id, all of two sizes: no range holds much more than its share, and the words before each row follow the order."""
+    rows = [(None if i % 2 else 7 if i % 3 else i, "one two" if i % 5 else "three", "s0") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    seen, real = [], mixing.ranged
+    monkeypatch.setattr(mixing, "ranged", lambda *a: seen.append(real(*a)) or seen[-1])
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = mixing.mix(docs).collect()
+        groups = [r["count"] for r in seen[0].groupBy("source", "_b").count().collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(groups) == 4 and max(groups) < 2 * 8000 / 4
+    left, want = 1.5 * sum(size(t) for _, t, _ in rows), Counter()
+    dealt = sorted(((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), size(t), i) for i, t, _ in rows), key=lambda r: r[:2])
+    whole = sum(n for _, n, _ in dealt)
+    at = 0
+    for _, n, i in dealt:
+        parts = [max(0, min(n, int(left) - at - k * whole)) for k in (0, 1)]
+        want[(i, n, sum(parts))] += 1
+        at += n
+    assert Counter((r.doc_id, r.size, r.taken) for r in found) == want
