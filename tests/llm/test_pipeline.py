@@ -130,3 +130,25 @@ def test_ids_and_texts_stay_exact_in_every_stage(spark):
     mixed = cp.mixing.mixed_documents(docs)
     assert {(r.doc_id, r.text[:2]) for r in mixed.collect()} == {(r[0], r[1][:2]) for r in rows}
     assert {r.doc_id for r in cp.packing.packed_documents(mixed).collect()} == {2**53 + 1, None}
+
+
+def test_what_each_stage_returns_for_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "some words here", None, "a", 15), (2, "some words here", None, "a", 15), (3, "x" * 30_000, "en", None, 30_000)]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    found = {name: [tuple(r) for r in stage(spark, docs, DIR).collect()] for name, stage in cp.STAGES[:-1]}
+    kept = found["quality classifier"]
+    assert set(kept) <= set(rows) and kept.count(rows[2]) in (0, 2) and all(kept.count(r) <= rows.count(r) for r in kept)
+    single = found["SimHash near-dedup"]  # null and empty texts have the fingerprint zero
+    assert len(single) == 3 and set(single) <= set(rows) and {2, 3} < {r[0] for r in single}
+    redacted = found["secret scans"]
+    assert sorted(((r[0], r[1] or "") for r in redacted), key=str) == sorted(((r[0], r[1] or "") for r in rows), key=str)
+    mixed = sorted((r[0], len(r[1].split()), r[3]) for r in found["mixing sources to target weights"])
+    assert mixed == [(2, 2, "a"), (2, 3, "a"), (2, 3, "a"), (3, 1, None), (3, 1, None)]  # the null source stops at twice its word, source a gets 8.5 of its 6
+    pieces = cp.pack_sequences(spark, docs, DIR).collect()
+    assert sum(r.doc_id is None for r in pieces) == 1 and sorted(r.length for r in pieces if r.doc_id in (None, 1)) == [1, 1]
+    assert {r.doc_id for r in pieces} == {None, 1, 2, 3} and all(r.length <= 1024 for r in pieces)
+    for _, stage in cp.STAGES[:-1]:
+        empty = stage(spark, none, DIR)
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert cp.pack_sequences(spark, none, DIR).count() == 0
