@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,6 +71,11 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _covering(first: list[bytes], key: bytes) -> range:
+    """Numbers of the blocks or files, given by their first keys in order, that may hold this key; more than one where its entries go on."""
+    return range(max(0, bisect.bisect_left(first, key) - 1), bisect.bisect_right(first, key))
+
+
 class Writer:
     """Appends entries in ascending key order to one file."""
 
@@ -149,14 +155,21 @@ class Reader:
                 yield id_of(key), before, ids
                 before += len(ids)
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
-        """The ids of every entry of this document; no block is read if the filter excludes it."""
-        key, found = key_of(doc_id), []
+    def find(self, doc_id: int | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of ids before it in the shard, and ids, of every entry of this document; no block is read if the filter excludes it."""
+        key = key_of(doc_id)
         if not all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key, self.bits)):
-            return found
-        for number in range(max(0, bisect.bisect_left(self.first, key) - 1), bisect.bisect_right(self.first, key)):
-            found += [ids for k, ids in self._entries(number) if k == key]
-        return found
+            return
+        for number in _covering(self.first, key):
+            before = self.blocks[number][5]
+            for k, ids in self._entries(number):
+                if k == key:
+                    yield before, ids
+                before += len(ids)
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every entry of this document."""
+        return [ids for _, ids in self.find(doc_id)]
 
 
 def write(docs: DataFrame, directory: str, tokenizer: str | None = None, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
@@ -214,6 +227,48 @@ def read(manifest: DataFrame) -> DataFrame:
     return spread.mapInPandas(run, "doc_id long, start long, ids binary")
 
 
+def look_up(manifest: DataFrame, wanted: DataFrame, column: str = "doc_id") -> DataFrame:
+    """doc_id, start, ids as ``read`` gives them, of the documents whose ids stand in this column of ``wanted`` only.
+
+    An id is wanted once however often it stands there, null among them; an id without document gives no row, one
+    with several a row for each. Ids go to the files whose key ranges hold them, and a file is opened by one task, which
+    reads its footer, filter and index, and then only blocks that may hold a wanted id. Tasks get the files' first
+    keys and paths: a row for each 256 MB of ids, or for each task that wrote.
+    """
+    spark = manifest.sparkSession
+    files = manifest.orderBy("base").select("first_key", "path", "base").collect()
+    shared = spark.sparkContext.broadcast(([bytes(f.first_key) for f in files], [f.path for f in files], [f.base for f in files]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = shared.value[0]
+        for batch in batches:
+            pairs = [(i, k) for i in batch.column("doc_id").to_pylist() for k in _covering(first, key_of(i))]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in pairs], pa.int64()), "file": pa.array([k for _, k in pairs], pa.int32())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, paths, bases = shared.value
+        reader, opened = None, None
+        for batch in batches:
+            found, held = [], 0
+            for doc_id, number in zip(batch.column("doc_id").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                if number != opened:
+                    reader, opened = Reader(paths[number]), number
+                for before, ids in reader.find(doc_id):
+                    found.append((doc_id, bases[number] + before, ids.astype("<u4").tobytes()))
+                    held += len(found[-1][2])
+                    if held > 16 << 20:
+                        yield rows(found)
+                        found, held = [], 0
+            yield rows(found)
+
+    def rows(found) -> pa.RecordBatch:
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.binary()}
+        return pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], kind) for i, (c, kind) in enumerate(kinds.items())})
+
+    dealt = wanted.select(F.col(column).cast("long").alias("doc_id")).distinct().mapInArrow(deal, "doc_id long, file int")
+    return dealt.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(run, "doc_id long, start long, ids binary")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(write(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"))
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

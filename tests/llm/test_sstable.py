@@ -49,6 +49,22 @@ def test_files_end_at_a_size(spark, tmp_path):
     assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_look_up_across_files(spark, tmp_path):
+    """Ids in one file, in several and in none, null ids, and ids that doubles can't tell apart; the same rows as a scan."""
+    big = 2**53
+    ids = [*[7 if i % 3 == 0 else i for i in range(240)], *[None] * 40, -5, big, big + 1, big + 1, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(k, f"text {n:05d} " * 400 if n % 50 else None) for n, k in enumerate(ids)], "doc_id long, text string")
+    manifest = sstable.write(docs, f"file://{tmp_path}/t", shard=64 << 10)
+    assert manifest.count() >= 8
+    everything = sstable.read(manifest).collect()
+    for wanted in ([7], [None], [8, 7, 7, None, 10**9, -6, -5, big + 1, big + 2, 2**63 - 1, -(2**63)], [10**12], [], sorted({k for k in ids if k is not None})):
+        asked = spark.createDataFrame([(w, "x") for w in wanted], "id long, ids string")
+        got = sstable.look_up(manifest, asked, "id").collect()
+        assert sorted(got, key=lambda r: r.start) == sorted((r for r in everything if r.doc_id in wanted), key=lambda r: r.start)
+    nothing = sstable.write(docs.limit(0), f"file://{tmp_path}/e")
+    assert sstable.look_up(nothing, docs).count() == 0
+
+
 def test_paths_without_scheme_are_those_of_spark(spark, tmp_path):
     from kithgraph.storage import qualified
 
