@@ -20,3 +20,16 @@ def split_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, ho
     dealt = rows.withColumn("_part", part)
     parts = dealt.select(key, "_part").where(F.col(key).isNotNull()).distinct()
     return dealt.join(parts.join(table, key), [key, "_part"], how).drop("_part")
+
+
+def hot_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, hot: DataFrame, splits: int = SPLITS) -> DataFrame:
+    """``split_lookup`` as an inner join where the few keys that many rows share are known (``hot``, the column ``key``, small enough for all tasks).
+
+    Only their rows are dealt to parts, and only their rows of ``table`` are copied; all others meet once.
+    """
+    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(splits)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(marked, key, "left").withColumn("_part", part).drop("_hot")
+    copied = table.join(marked, key, "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [key, "_part"]).drop("_part")

@@ -53,7 +53,7 @@ def vouch_networks_of_everyone(spark, d):
 
 @query("SELECT root, author, subject, ord, level, seq FROM z_nets", _REVIEW_NETS)
 def review_networks_of_everyone(spark, d):
-    return many.ego_networks(standins.reviews(spark, d), _everyone(spark, d), expand.REVIEWS).select("root", "author", "subject", "ord", "level", "seq")
+    return many.ego_networks(standins.reviews(spark, d), _everyone(spark, d), expand.REVIEWS, ["author", "subject", "ord"]).select("root", "author", "subject", "ord", "level", "seq")
 
 
 @query("SELECT n AS total, k AS levels, n || CASE WHEN n = 1 THEN ' vouch' ELSE ' vouches' END || ' across ' || k || CASE WHEN k = 1 THEN ' level' ELSE ' levels' END AS label FROM (SELECT count(*) AS n, count(DISTINCT level) AS k FROM v_net)", sql.VOUCH)

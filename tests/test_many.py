@@ -99,3 +99,33 @@ def test_split_lookup_is_a_join(spark):
     right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "d")], "k long, w string")
     assert sorted(joins.split_lookup(rows, right, "k", F.col("v")).collect()) == sorted(rows.join(right, "k").collect())
     assert joins.split_lookup(rows, right, "k", F.col("v"), "left").count() == rows.join(right, "k", "left").count()
+
+
+def test_full_networks_send_nothing_on(spark):
+    """A hundred profiles that all review each other: a network is full at level 1, so its lists come back once and no edge is shuffled on its own."""
+    people = 100
+    edges = spark.range(people * 60).select((F.col("id") % people).alias("author"), (F.col("id") * 7919 % people).alias("subject"), F.lit("x" * 100).alias("note"), F.col("id").alias("ord"))
+    got = many.ego_networks(edges, spark.range(people), expand.REVIEWS, ["author", "subject", "ord"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["root", "author", "subject", "ord", "level", "seq"] and got.count() <= people * expand.REVIEWS.total_cap
+    assert "note" not in plan and not any("Window" in line and "root" in line for line in plan.splitlines())
+
+
+def test_hot_lookup_is_a_join(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v")).union(spark.createDataFrame([(None, 5)], "k long, v long"))
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "d")], "k long, w string")
+    hot = spark.createDataFrame([(1,), (77,)], "k long")
+    assert sorted(joins.hot_lookup(rows, right, "k", F.col("v"), hot).collect()) == sorted(rows.join(right, "k").collect())
+
+
+def test_hot_profiles_and_meeting_digests(spark, monkeypatch):
+    """Many tasks for hot profiles, and digests so short that most meet by chance, change nothing."""
+    monkeypatch.setattr(many, "HOT", 20)
+    monkeypatch.setattr(many, "DIGESTS", 4)
+    spec, rows = SPECS["small caps, both ways"], made(5, 60, 600)
+    found = defaultdict(list)
+    for r in sorted(many.ego_networks(table(spark, rows), spark.range(60), spec).collect(), key=lambda r: (r.root, r.seq)):
+        found[r.root].append(tuple(r)[1:])
+    brute = Brute(rows, spec)
+    for root in range(60):
+        assert found.pop(root, []) == [(*r, k + 1) for k, r in enumerate(brute.network(root))], root
