@@ -47,8 +47,8 @@ def _everyone(spark, d):
 
 @query("SELECT root, author, subject, ord, level, seq FROM w_nets", _VOUCH_NETS)
 def vouch_networks_of_everyone(spark, d):
-    """The two-hop vouch network of every profile, in one plan."""
-    return many.ego_networks(standins.vouches(spark, d), _everyone(spark, d), expand.VOUCHES).select("root", "author", "subject", "ord", "level", "seq")
+    """The two-hop vouch network of every profile."""
+    return many.ego_networks(standins.vouches(spark, d), _everyone(spark, d), expand.VOUCHES, ["author", "subject", "ord"]).select("root", "author", "subject", "ord", "level", "seq")
 
 
 @query("SELECT root, author, subject, ord, level, seq FROM z_nets", _REVIEW_NETS)
