@@ -195,11 +195,31 @@ def adjacency_blocks(pairs: DataFrame, size: int = BLOCK) -> DataFrame:
 def common_targets(blocks: DataFrame, asked: DataFrame) -> DataFrame:
     """a, b, n: how many targets the sources a and b of each asked row (a, b; repeated ones count once) share.
 
-    Only blocks whose ranges overlap meet. The blocks of one source lie apart, so with both sources' blocks in order of their first targets
+    Sources with at most BLOCK targets are one list each, and pairs of such sources meet list by list. Of all other pairs only blocks whose
+    ranges overlap meet. The blocks of one source lie apart, so with both sources' blocks in order of their first targets
     each overlap is that of a block with the last block of the other source before it: one sorted window a pair, over narrow
     rows (a source's targets divided by the blocks' size), finds at most as many overlaps as there are blocks.
     """
     pairs = asked.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    large = blocks.groupBy("source").agg(F.sum(F.size("targets")).alias("_n")).where(F.col("_n") > BLOCK).select("source")  # a row for more than BLOCK targets
+    marked = pairs
+    for name in ("a", "b"):
+        marked = marked.join(F.broadcast(large.select(F.col("source").alias(name), F.lit(True).alias(f"_{name}"))), name, "left")
+    marked = written(marked, "asked")  # read several times
+    wide = F.col("_a").isNotNull() | F.col("_b").isNotNull()
+    return _common_of_lists(blocks.join(F.broadcast(large), "source", "left_anti"), marked.where(~wide).select("a", "b")).unionByName(_common_of_blocks(blocks, marked.where(wide).select("a", "b")))
+
+
+def _common_of_lists(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    lists = blocks.groupBy("source").agg(F.flatten(F.collect_list("targets")).alias("list"))
+    rows = pairs
+    for mine, other, name in (("b", "a", "ys"), ("a", "b", "xs")):
+        rows = split_lookup(rows, lists.select(F.col("source").alias(mine), F.col("list").alias(name)), mine, F.col(other), "left")
+    n = F.when(F.col("xs").isNotNull() & F.col("ys").isNotNull(), F.size(F.array_intersect("xs", "ys"))).otherwise(0)
+    return rows.select("a", "b", n.cast("long").alias("n"))
+
+
+def _common_of_blocks(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     narrow = blocks.select("source", "block", "low", "high")
     sides = []
     for k, (mine, other) in enumerate((("a", "b"), ("b", "a"))):

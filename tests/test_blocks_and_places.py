@@ -41,6 +41,21 @@ def test_common_targets_by_blocks(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted((a, b, len(sets.get(a, set()) & sets.get(b, set()))) for a, b in asked)
 
 
+def test_small_sources_meet_without_blocks(spark):
+    """With sources of few targets no window orders blocks by pair: nothing is left for that path, and each pair is one row throughout."""
+    rows = [(s, (s * 7 + k * 3) % 50) for s in range(40) for k in range(s % 30)]
+    sets = {s: {t for x, t in rows if x == s} for s in range(40)}
+    blocks = graph.adjacency_blocks(spark.createDataFrame(rows, "source long, target long"), size=4)
+    lists = graph._common_of_lists(blocks, spark.range(40).crossJoin(spark.range(45).toDF("b")).toDF("a", "b"))
+    assert "Window" not in lists._jdf.queryExecution().toString()
+    assert sorted(map(tuple, lists.collect())) == [(a, b, len(sets[a] & sets.get(b, set()))) for a in range(40) for b in range(45)]
+
+
+def test_large_and_small_sources_mixed(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 20)
+    test_common_targets_by_blocks(spark)
+
+
 def test_places_without_one_window(spark):
     r = random.Random(4)
     rows = [(r.choice((7, r.randrange(60))), r.randrange(60), r.randrange(3), i) for i in range(700)]
