@@ -316,26 +316,31 @@ class GatedLM:
         g = {k: np.zeros_like(a) for k, a in p.items()} if into is None else into
         back, turned = self._room("back", h.shape, kind), np.ascontiguousarray(outer.T)
 
-        def layer(at: int, to: int, weights, base, aim, found, found_base) -> np.ndarray:
+        def layer(at: int, to: int, weights, base, aim, found, found_base) -> tuple[np.ndarray, np.ndarray]:
+            """The outputs' gradients, and the factor that each row still lacks: it goes to the states, which are narrower."""
             a = h[at:to] @ weights
             a += base
             self._exp(a, bound)
-            a *= (scale / (a @ ones[: a.shape[1]]))[:, None]
-            a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= scale
-            found += h[at:to].T @ a
-            found_base += ones[: to - at] @ a
-            return a
+            total = a @ ones[: a.shape[1]]
+            a.reshape(-1)[np.arange(to - at) * a.shape[1] + aim] -= total
+            share = scale / total
+            found += (a.T @ (h[at:to] * share[:, None])).T
+            found_base += share @ a
+            return a, share[:, None]
 
         for at in range(0, len(order), _ROWS):
             to = min(len(order), at + _ROWS)
-            a = layer(at, to, outer, outer_base, c[at:to], g["class"], g["class_base"])
+            a, share = layer(at, to, outer, outer_base, c[at:to], g["class"], g["class_base"])
             np.matmul(a, turned, out=back[at:to])
+            back[at:to] *= share
         for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
             of = slice(k * CLASS, (k + 1) * CLASS)
             for at in range(start, end, _ROWS):
                 to = min(end, at + _ROWS)
-                a = layer(at, to, inner[of].T, inner_base[of], target[at:to] - k * CLASS, g["word"][of].T, g["word_base"][of])
-                back[at:to] += a @ inner[of]
+                a, share = layer(at, to, inner[of].T, inner_base[of], target[at:to] - k * CLASS, g["word"][of].T, g["word_base"][of])
+                a = a @ inner[of]
+                a *= share
+                back[at:to] += a
         wanted = self._room("wanted", (steps * lanes, STATE), kind)
         if len(order) < len(wanted):
             wanted[:] = 0

@@ -117,3 +117,18 @@ def test_state_is_carried_in_training_and_only_starts_clear_it(small):
     assert sum((x == lm._START).sum() - (y < 0).sum() for x, y, _, _ in windows) == 1
     net = lm.GatedLM(seed=8)
     assert net.train([long, long[:50]], 1e-3) == 350
+
+
+def test_gradients_of_single_precision_follow_double_where_outputs_are_large(small):
+    """Shares are scaled on the states, not on the wider outputs: sums of exp far from 1 must not cost digits."""
+    r = np.random.default_rng(4)
+    net, exact = lm.GatedLM(seed=6), lm.GatedLM(seed=6)
+    for name in ("class", "word"):
+        net.p[name] *= 400
+    exact.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = r.integers(0, 25, (6, 4)), r.integers(-1, 24, (6, 4))
+    h = r.uniform(-1, 1, (4, lm.STATE))
+    assert net.tables()[1][-1] > 60
+    found, want = net.gradients(x, y, h.astype(np.float32))[0], exact.gradients(x, y, h)[0]
+    for name, g in want.items():
+        assert np.isfinite(found[name]).all() and np.abs(found[name] - g).max() < 1e-3 * max(1e-3, np.abs(g).max()), name
