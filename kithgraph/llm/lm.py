@@ -31,12 +31,12 @@ import heapq
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,16 +59,13 @@ FAN = 64
 _CHUNK = 4_000_000
 #: Rows of the output layer that are worked on at a time, so that they stay in the processor's cache.
 _ROWS = 1024
-_TEXTS = 512
+#: Bytes of text that are cut into words at a time.
+_BYTES = 1 << 22
 _END = b""
 _CLASSES = WORDS // CLASS + BUCKETS
 _START = WORDS + BUCKETS
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
@@ -77,28 +74,43 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_FOLD)
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """A text column as UTF-8; null is empty."""
-    return [t or b"" for t in batch.column(name).cast(pa.large_binary()).to_pylist()]
+def _cut(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in parts of about _BYTES bytes, a longer text alone."""
+    ends = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    start = 0
+    while start < len(texts):
+        to = max(start + 1, int(np.searchsorted(ends, ends[start] + _BYTES, "right")) - 1)
+        yield texts[start:to]
+        start = to
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many tokens each text has, and the tokens as bytes: its lower-cased words and the end (empty). Null is empty."""
+    kept = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # a space after the last word makes an empty one, the end; an empty text is one by itself
+    spaced = pc.if_else(pc.equal(kept, ""), kept, pc.binary_join_element_wise(kept, "", " "))
+    split = pc.ascii_split_whitespace(spaced)
+    return split.value_lengths().to_numpy().astype(np.int64), split.flatten().cast(pa.binary())
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """word (binary; empty: the end), n over the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size = [], 0
 
-        def found():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+        def found() -> pa.RecordBatch:
+            seen = pc.value_counts(pa.chunked_array(held))
+            return pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], names=["word", "n"])
 
         for batch in batches:
-            for text in _texts(batch):
-                seen.update(text.lower().split())
-            seen[_END] += batch.num_rows
-            if len(seen) > 400_000:
-                yield found()
-                seen.clear()
-        if seen:
+            for part in _cut(batch.column("text")):
+                held.append(tokens_of(part)[1])
+                size += len(held[-1])
+                if size >= _CHUNK:
+                    yield found()
+                    held, size = [], 0
+        if held:
             yield found()
 
     training = _held(docs.select("doc_id", "text")).where(~F.col("held_out")).select("text")
@@ -122,32 +134,32 @@ class Vocabulary:
         self.mass = np.maximum(mass, 1.0)
 
     def prepare(self):
-        """In a task: the look-up table, and log10(count + 1)."""
-        self.rank = _Ranks((w, i) for i, w in enumerate(self.words))
+        """In a task: the words as one array, log10(count + 1), units, and the bucket of the words that end in two bytes or are a single one. Later tasks of a process find it done."""
+        if hasattr(self, "ranked"):
+            return self
+        self.bucket = np.array([bucket_of(i.to_bytes(2, "big")) for i in range(1 << 16)], np.int32)
+        self.short = np.array([bucket_of(bytes([i])) for i in range(1 << 8)], np.int32)
         self.unit = np.array([i if i < WORDS else WORDS + bucket_of(w) for i, w in enumerate(self.words)], np.int32)
         self.log = np.log10(self.n + 1)
+        self.ranked = pa.array(self.words, pa.binary())
         return self
 
-    def encode_words(self, words: list[bytes], count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (-1: not ranked) and units of the network of the words; ``count`` of them, if ``words`` is an iterator."""
-        ranks = np.fromiter(map(self.rank.__getitem__, words), np.int32, len(words) if count is None else count)
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (-1: not ranked) and units of the network of the words (binary)."""
+        ranks = pc.fill_null(pc.index_in(words, value_set=self.ranked), -1).to_numpy()
         units, far = self.unit[np.maximum(ranks, 0)], np.flatnonzero(ranks < 0)
-        units[far] = WORDS - 1 - ranks[far]
-        ranks[far] = -1
+        if len(far):
+            ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :], np.frombuffer(words.buffers()[2], np.uint8)
+            last = ends[far + 1] - 1
+            before = data[np.maximum(last - 1, 0)].astype(np.int32)
+            units[far] = WORDS + np.where(last > ends[far], self.bucket[before << 8 | data[last]], self.short[data[last]])
         return ranks, units
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ranks and units of each token with the end, and the words that aren't ranked."""
-        words = [*words_of(text), _END]
+        words = tokens_of(pa.array([(text or "").encode("utf-8", "surrogatepass")]).view(pa.string()))[1]
         ranks, units = self.encode_words(words)
-        return ranks, units, [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
-
-
-class _Ranks(dict):
-    """word -> rank; -1 - its bucket for a word without rank."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - bucket_of(word)
+        return ranks, units, words.filter(pa.array(ranks < 0)).to_pylist()
 
 
 class GatedLM:
@@ -498,26 +510,26 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.prepare()
         mass = np.log10(words.mass)
-        for whole in batches:
-            for start in range(0, whole.num_rows, _TEXTS):
-                batch = whole.slice(start, _TEXTS)
-                texts = [[*t.lower().split(), _END] for t in _texts(batch)]
-                size = np.array([len(t) for t in texts], np.int64)
-                ranks, units = words.encode_words(itertools.chain.from_iterable(texts), int(size.sum()))
-                at = np.cumsum(np.append(0, size))[:-1]
-                seen = ranks >= 0
+        for batch in batches:
+            start = 0
+            for texts in _cut(batch.column("text")):
+                size, tokens = tokens_of(texts)
+                ranks, units = words.encode_words(tokens)
+                ends = np.cumsum(np.append(0, size))
+                at, seen = ends[:-1], ranks >= 0
                 log = words.log[ranks] * seen
                 wide = units >= WORDS
                 local = np.where(wide, log - mass[np.where(wide, units - WORDS, 0)], 0.0)
                 known = seen & (words.n[ranks] > 0)
-                flat, ends = units.astype("<u2").tobytes(), (2 * np.append(at, len(units))).tolist()
-                far = [np.flatnonzero(ranks[a // 2 : b // 2] < 0).tolist() for a, b in itertools.pairwise(ends)]
+                flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(2 * ends), pa.py_buffer(units.astype("<u2"))])
+                far = np.cumsum(np.append(0, ~seen))[ends].astype(np.int32)
                 columns = {
-                    **{c: batch.column(c) for c in ("doc_id", "held_out", "slot")},
+                    **{c: batch.column(c).slice(start, len(size)) for c in ("doc_id", "held_out", "slot")},
                     **dict(zip(sums, (pa.array(size), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(log, at)), pa.array(np.add.reduceat(local, at))), strict=True)),
-                    "units": pa.array([flat[a:b] for a, b in itertools.pairwise(ends)], pa.binary()),
-                    "rare": pa.array([[t[i] for i in f] for t, f in zip(texts, far, strict=True)], pa.list_(pa.binary())),
+                    "units": flat.cast(pa.binary()),
+                    "rare": pa.ListArray.from_arrays(pa.array(far), tokens.filter(pa.array(~seen))),
                 }
+                start += len(size)
                 yield pa.RecordBatch.from_pydict(columns)
 
     part = _held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("slot", F.xxhash64("doc_id", "text"))

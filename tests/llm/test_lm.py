@@ -1,8 +1,11 @@
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kithgraph.llm import lm
@@ -132,3 +135,47 @@ def test_gradients_of_single_precision_follow_double_where_outputs_are_large(sma
     found, want = net.gradients(x, y, h.astype(np.float32))[0], exact.gradients(x, y, h)[0]
     for name, g in want.items():
         assert np.isfinite(found[name]).all() and np.abs(found[name] - g).max() < 1e-3 * max(1e-3, np.abs(g).max()), name
+
+
+def test_words_and_units_are_those_of_plain_python(monkeypatch):
+    """Odd spaces, control characters, bytes that aren't ASCII, nulls; texts larger than a part stand alone in one."""
+    monkeypatch.setattr(lm, "_BYTES", 200)
+    r = random.Random(5)
+    letters = [" ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "A", "b", "Z", "é", "İ", "\x00", "日", "word"]
+    texts = [None, "", " ", "q", "x" * 500, *["".join(r.choice(letters) for _ in range(r.randrange(14))) for _ in range(3000)]]
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    counts = Counter(w for ws in want for w in ws)
+    vocabulary = lm.Vocabulary(counts.most_common(30), 1, 1, {}).prepare()
+    rank = {w: i for i, w in enumerate(vocabulary.words)}
+    at = 0
+    for part in lm._cut(pa.array(["before", *texts], pa.string())[1:]):
+        sizes, tokens = lm.tokens_of(part)
+        ranks, units = vocabulary.encode_words(tokens)
+        words = [w for ws in want[at : at + len(part)] for w in ws]
+        assert sizes.tolist() == [len(ws) for ws in want[at : at + len(part)]] and tokens.to_pylist() == words
+        assert ranks.tolist() == [rank.get(w, -1) for w in words]
+        assert units.tolist() == [rank.get(w, lm.WORDS + lm.bucket_of(w)) for w in words]
+        assert len(part) == 1 or sum(len((t or "").encode()) for t in texts[at : at + len(part)]) <= 200
+        at += len(part)
+    assert at == len(texts)
+    assert vocabulary.encode("A \ud800b q")[2] == [w for w in (b"a", b"\xed\xa0\x80b", b"q") if w not in rank]
+
+
+def test_encoding_takes_less_than_a_look_up_of_each_word():
+    """Words are cut and ranked by the column, so that they never become Python objects."""
+    r = random.Random(6)
+    words = [f"word{i}" for i in range(20_000)]
+    text = " ".join(r.choices([*words, *(f"other{i}" for i in range(2000))], k=400_000))
+    vocabulary = lm.Vocabulary([(w.encode(), 5) for w in words], 1, 1, {}).prepare()
+    rank = {w: i for i, w in enumerate(vocabulary.words)}
+
+    def best(work):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = best(lambda: np.fromiter(map(rank.get, [*text.encode().lower().split(), b""], [-1] * 400_001), np.int32))
+    assert best(lambda: vocabulary.encode(text)) < 0.75 * plain
