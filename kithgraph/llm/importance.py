@@ -7,7 +7,9 @@ from the two, and the product of the matrix with the gains gives each document's
 documents of highest score are a sample without replacement, drawn in proportion to exp(weight / 1000).
 
 The driver sees one number a bucket. Rows are dealt by block, so copies, hot words and very long texts cost what their words cost; a
-text is read in slices, and a document has at most as many entries as there are buckets. Ranks come from a range sort, not from one window.
+text is read in slices, and a document has at most as many entries as there are buckets. Blocks are small, as Spark's reader unpacks 4,096
+rows of a file at once, whatever they hold: a document of more entries than a block comes in parts, whose sums are added by its row number.
+Ranks come from a range sort, not from one window.
 
 Defined cases: a null or empty text, and one without words, has no features and weight 0; rows without doc_id are counted in all sums but have no
 score, take no part in the draw, nor in the number of documents it is a share of; repeated rows are documents of their own (equal
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,10 @@ LONGEST = 1
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
-#: A block ends at so many rows or entries; a longer document is a block of its own.
-BLOCK_ROWS, BLOCK_ENTRIES = 1024, 1 << 16
+#: A block has at most so many rows and entries; each part of a longer document is a block of its own.
+BLOCK_ROWS, BLOCK_ENTRIES = 128, 512
+#: Blocks go from and through Python in batches of about so many documents or entries, and so many blocks.
+SENT_ROWS, SENT_ENTRIES, SENT_BLOCKS = 1 << 13, 1 << 16, 128
 #: A text is read in slices of about so many bytes.
 SLICE = 1 << 20
 #: Words kept with their buckets by a Python worker, at most; further ones are hashed each time.
@@ -92,40 +97,57 @@ def counts(text: bytes | None, bucket: _Buckets, longest: int = LONGEST) -> tupl
     return words, buckets, sums[buckets]
 
 
-BLOCK = "doc_id array<long>, words array<long>, starts array<int>, buckets array<int>, counts array<long>"
+#: A text has under 2^31 bytes, so under 2^30 words: counts of its entries are ints.
+BLOCK = "first long, part boolean, doc_id array<long>, words array<long>, starts array<int>, buckets array<int>, counts array<int>"
 
+#: Row number, whether this is a part of the document, doc_id, words, buckets, counts.
+_Doc = tuple[int, bool, int | None, int, np.ndarray, np.ndarray]
 
-def csr_blocks(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
-    """Blocks of the matrix: doc_id and words of each row, the places where rows start (and the end), and buckets and counts of the entries."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = _Buckets(buckets)
-        owners, words, starts, entries, sizes = [], [], [0], [], []
+def _documents(batches: Iterator[pa.RecordBatch], bucket: _Buckets, longest: int) -> Iterator[_Doc]:
+    """Documents in order, longer ones in parts; the first part has the words."""
+    for batch in batches:
+        for row, owner, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            n, where, many = counts(text.as_py(), bucket, longest)
+            for at in range(0, max(len(where), 1), BLOCK_ENTRIES):
+                yield row, len(where) > BLOCK_ENTRIES, owner, 0 if at else n, where[at : at + BLOCK_ENTRIES], many[at : at + BLOCK_ENTRIES]
 
-        def block() -> pa.RecordBatch:
-            parts = [pa.array(owners, pa.int64()), pa.array(words, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.concatenate(entries), pa.int32()), pa.array(np.concatenate(sizes), pa.int64())]
-            made = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in parts], names=["doc_id", "words", "starts", "buckets", "counts"])
-            for kept in (owners, words, starts, entries, sizes):
-                kept.clear()
-            starts.append(0)
-            return made
 
-        for batch in batches:
-            for owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                n, where, many = counts(text.as_py(), bucket, longest)
-                if owners and starts[-1] + len(where) > BLOCK_ENTRIES:
-                    yield block()
-                owners.append(owner)
-                words.append(n)
-                starts.append(starts[-1] + len(where))
-                entries.append(where)
-                sizes.append(many)
-                if len(owners) >= BLOCK_ROWS:
-                    yield block()
-        if owners:
-            yield block()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, BLOCK)
+def _blocks(docs: list[_Doc], cuts: list[int]) -> pa.RecordBatch:
+    """One row for each block; blocks begin at ``cuts``."""
+    row, part, owner, words, where, many = zip(*docs, strict=True)
+    at, ends = np.array([*cuts, len(docs)]), np.cumsum([0, *map(len, where)])
+    lists = [
+        (pa.array(owner, pa.int64()), at),
+        (pa.array(words, pa.int64()), at),
+        (pa.array(np.concatenate([ends[a : b + 1] - ends[a] for a, b in pairwise(at)]), pa.int32()), at + np.arange(len(at))),
+        (pa.array(np.concatenate(where), pa.int32()), ends[at]),
+        (pa.array(np.concatenate(many), pa.int32()), ends[at]),
+    ]
+    made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for values, offsets in lists]
+    return pa.RecordBatch.from_arrays([pa.array([row[c] for c in cuts], pa.int64()), pa.array([part[c] for c in cuts], pa.bool_()), *made], names=["first", "part", "doc_id", "words", "starts", "buckets", "counts"])
+
+
+def csr_blocks(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+    """Blocks of the matrix: the first row's number (the others follow it), whether the block is a part of one document, doc_id and words of
+    each row, the places where rows start (and the end), and buckets and counts of the entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, cuts, held, width = [], [], 0, 0
+        for doc in _documents(batches, _Buckets(buckets), longest):
+            size = len(doc[4])
+            if not cuts or doc[1] or found[-1][1] or len(found) - cuts[-1] >= BLOCK_ROWS or width + size > BLOCK_ENTRIES:
+                if held >= SENT_ENTRIES or len(found) >= SENT_ROWS:
+                    yield _blocks(found, cuts)
+                    found, cuts, held = [], [], 0
+                cuts.append(len(found))
+                width = 0
+            found.append(doc)
+            held, width = held + size, width + size
+        if found:
+            yield _blocks(found, cuts)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, BLOCK)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -152,17 +174,30 @@ def gains(documents: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
-    """doc_id, words, n_features, weight: the product of the matrix with the gains."""
+    """row, part, doc_id, words, n_features, weight: the product of the matrix with the gains, for each document or part of one."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                owner, words, starts, where, many = (batch.column(c)[k].values for c in ("doc_id", "words", "starts", "buckets", "counts"))
-                many, starts = many.to_numpy(), starts.to_numpy()
-                totals = [np.concatenate(([0], np.cumsum(x)))[starts] for x in (many, many * gain[where.to_numpy()])]
-                yield pa.RecordBatch.from_arrays([owner, words, *[pa.array(np.diff(t)) for t in totals]], names=["doc_id", "words", "n_features", "weight"])
+            for k in range(0, batch.num_rows, SENT_BLOCKS):
+                some = batch.slice(k, SENT_BLOCKS)
+                owner, words, starts, where, many = (some.column(c) for c in ("doc_id", "words", "starts", "buckets", "counts"))
+                here, entries = owner.value_lengths().to_numpy(), where.value_lengths().to_numpy()
+                places = starts.flatten().to_numpy() + np.repeat(np.cumsum(entries) - entries, here + 1)
+                between = np.cumsum(here + 1)[:-1] - 1  # from a block's end to the next one's start
+                many = many.flatten().to_numpy()
+                totals = [np.delete(np.diff(np.concatenate(([0], np.cumsum(x)))[places]), between) for x in (many, many * gain[where.flatten().to_numpy()])]
+                row = np.repeat(some.column("first").to_numpy() - (np.cumsum(here) - here), here) + np.arange(here.sum())
+                part = np.repeat(some.column("part").to_numpy(zero_copy_only=False), here)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(part), owner.flatten(), words.flatten(), *map(pa.array, totals)], names=["row", "part", "doc_id", "words", "n_features", "weight"])
+
+    return blocks.mapInArrow(product, "row long, part boolean, doc_id long, words long, n_features long, weight long")
+
 
-    return blocks.mapInArrow(product, "doc_id long, words long, n_features long, weight long")
+def whole(found: DataFrame) -> DataFrame:
+    """row, doc_id, words, n_features, weight of each document: what came in parts is added up."""
+    sums = ("words", "n_features", "weight")
+    parts = found.where("part").groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
+    return found.where("NOT part").select("row", "doc_id", *sums).unionByName(parts)
 
 
 def noisy(weight: Column, doc_id: Column, seed: int = SEED) -> Column:
@@ -175,8 +210,8 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     """doc_id, n_features, weight, score, rank (null where not drawn) of every row of ``docs`` (doc_id, text), for ``target`` texts (text)."""
     blocks = written(csr_blocks(docs, buckets, longest), "csr-blocks")
     aim = column_sums(csr_blocks(target.select(F.lit(None).alias("doc_id"), "text"), buckets, longest), buckets)
-    found = weights(blocks, gains(column_sums(blocks, buckets), aim))
-    rows = written(found.withColumn("score", noisy(F.col("weight"), F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id()), "weights")
+    found = written(weights(blocks, gains(column_sums(blocks, buckets), aim)), "weights")
+    rows = written(whole(found).withColumn("score", noisy(F.col("weight"), F.col("doc_id"), seed)), "scores")
     in_draw = (F.col("words") >= least_words) & F.col("score").isNotNull()
     ranked = placed(rows.where(in_draw), F.desc("score"), F.asc("doc_id"), F.asc("row"), out="rank")
     drawn = rows.where(in_draw).count() * percent // 100

@@ -94,6 +94,29 @@ def test_blocks_hold_every_row_and_are_bounded(spark, monkeypatch):
     assert sums.sum() == 9000 and (sums == np.bincount([k for i in range(3000) for k in counted(f"a b {i}", 100).elements()], minlength=100)).all()
 
 
+def test_blocks_stay_small_where_documents_are_long(spark):
+    """Spark's reader unpacks 4,096 blocks of a file at once, whatever they hold."""
+    r = random.Random(5)
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in range(60)]
+    docs += [(i, " ".join(f"w{7 * k % 7919}" for k in range(n))) for i, n in ((500, 511), (501, 512), (502, 513), (503, 4000), (503, 4000), (None, 4000), (504, 30_000), (505, 0))]
+    docs += [(1000 + i, "a b") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    blocks = importance.csr_blocks(df).collect()
+    assert max(len(b.buckets) for b in blocks) * 4096 * 28 < 64 << 20 and max(len(b.doc_id) for b in blocks) * 4096 * 44 < 64 << 20  # bytes with Parquet's levels
+    seen = {}
+    for b in blocks:
+        assert len(b.starts) == len(b.doc_id) + 1 == len(b.words) + 1 and b.starts[0] == 0 and b.starts[-1] == len(b.buckets) == len(b.counts)
+        assert not b.part or len(b.doc_id) == 1
+        for k, (i, words) in enumerate(zip(b.doc_id, b.words, strict=True)):
+            of, at = seen.setdefault(b.first + k, [i, 0, Counter()]), slice(b.starts[k], b.starts[k + 1])
+            assert of[0] == i
+            of[1] += words
+            of[2].update(dict(zip(b.buckets[at], b.counts[at], strict=True)))
+    assert [seen[k] for k in sorted(seen)] == [[i, len(t.split()), counted(t, 10_000)] for i, t in docs]
+    target = ["w1 w2 a", docs[0][1]]
+    assert got(importance.resampled(df.repartition(3), spark.createDataFrame([(t,) for t in target], "text string"))) == brute(docs, target, 10, 20, 10_000, 1)
+
+
 def test_the_draw_leans_to_the_target(spark):
     r = random.Random(8)
     docs = [(i, " ".join(r.choice("abcde" if i % 4 else "vwxyz") for _ in range(25))) for i in range(400)]
